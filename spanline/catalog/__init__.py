@@ -2,7 +2,13 @@
 
 from importlib import import_module
 
-MODULES = ("interval_queries",)
+MODULES = (
+    "interval_queries",
+    "join_queries",
+    "vote_queries",
+    "segment_queries",
+    "event_queries",
+)
 
 
 def load() -> None:

@@ -183,7 +183,7 @@ def snap_begin(spark, sf):
 @query(
     "w08_union_intervals",
     f"""with {FRAMES},
-x as (select grp, t - 21600000000 as b, t + k * 600000000 as e from frames),
+x as (select grp, t - 21600000000 as b, t + k::bigint * 600000000 as e from frames),
 m as (select *, max(e) over (partition by grp order by b, e
         rows between unbounded preceding and 1 preceding) as reach from x),
 g as (select *, sum(case when b <= reach then 0 else 1 end) over (partition by grp order by b, e
@@ -294,7 +294,7 @@ def sampling_grid(spark, sf):
         F.lit("burst").alias("status"),
     )
     both = iv(spark, sf).select("grp", "b", "e", "status").unionByName(bursts)
-    return ops.sampling_grid(both, GRP, steps, 2 * HOUR, layout=events_layout(spark, sf))
+    return ops.sampling_grid(both, GRP, steps, 2 * HOUR)
 
 
 @query(

@@ -405,6 +405,10 @@ def sampling_grid(
     finer = sorted(sizes | {base_step_us})[:-1]
     reach = {f"_until{s}": _reach_of_step(s) for s in finer}
     cover = stepped.select(*keys, "b", "e", "step_us")
+    if layout is None:
+        # grid sizes follow from the intervals; no need to build the grid to count it
+        per = F.floor((F.col("e") - F.col("b")) / F.col("step_us")) + 3
+        layout = Layout.of_sizes(stepped.groupBy(*keys).agg(F.sum(per).alias("n")))
     looked = nearest_rows(points, cover, keys, "t", "b", highest=reach, layout=layout)
     hidden = F.lit(False)
     for s in finer:

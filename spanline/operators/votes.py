@@ -237,14 +237,52 @@ def pivot_wide(
 
 
 def nest_rounds(
-    rounds: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], out: str
+    rounds: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fields: Sequence[str],
+    out: str,
+    layout: Layout | None = None,
+    part_rows: int = 100_000,
 ) -> DataFrame:
     """Rounds into one document row per key, an ordered array of structs.
 
-    A document is one match; its size is bounded by what one match holds.
+    A key too big for one array becomes several documents, numbered by ``part``,
+    of at most ``part_rows`` consecutive rounds each; otherwise ``part`` is 0.
     """
+    from spanline.operators.intervals import chunk_sequences
+
+    layout = layout or Layout.inspect(rounds, keys)
     item = F.struct(*order, *[f for f in fields if f not in order])
-    return rounds.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(out))
+    if layout.split:
+        rounds = chunk_sequences(rounds, keys, order, part_rows, layout)
+        part = F.col("chunk")
+    else:
+        part = F.lit(0).cast("bigint")
+    return (
+        rounds.withColumn("part", part)
+        .groupBy(*keys, "part")
+        .agg(F.array_sort(F.collect_list(item)).alias(out))
+    )
+
+
+def ordered_arrays(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    out: str,
+    layout: Layout | None = None,
+) -> DataFrame:
+    """One array of values per key, in order: a label sequence.
+
+    Sequences are single samples; a key over the row limit is refused, not cut.
+    """
+    layout = layout or Layout.inspect(df, keys)
+    if layout.split:
+        raise ValueError(f"a sequence keyed by {list(keys)} exceeds the group limit")
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    return df.groupBy(*keys).agg(F.transform(items, lambda x: x["_v"]).alias(out))
 
 
 def distinct_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -42,11 +42,13 @@ class Layout:
     @staticmethod
     def inspect(df: DataFrame, keys: Sequence[str]) -> "Layout":
         """Count rows per key (map-side combined) and compare with the limit."""
-        limit = max_group_rows(df.sparkSession)
-        if keys:
-            sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        else:
-            sizes = df.agg(F.count(F.lit(1)).alias("n"))
+        one = F.count(F.lit(1)).alias("n")
+        return Layout.of_sizes(df.groupBy(*keys).agg(one) if keys else df.agg(one))
+
+    @staticmethod
+    def of_sizes(sizes: DataFrame) -> "Layout":
+        """Decide from a table with one row per group and its row count ``n``."""
+        limit = max_group_rows(sizes.sparkSession)
         row = sizes.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
         top, total = row["top"] or 0, row["total"] or 0
         if top <= limit:

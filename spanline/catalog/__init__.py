@@ -8,6 +8,9 @@ MODULES = (
     "vote_queries",
     "segment_queries",
     "event_queries",
+    "scalar_queries",
+    "source_queries",
+    "feature_queries",
 )
 
 

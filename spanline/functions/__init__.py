@@ -1 +1 @@
-"""functions"""
+"""Column expressions used inside table jobs."""

@@ -296,13 +296,19 @@ def _join_word(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def split_jamo(names: pd.Series) -> pd.Series:
-    """Hangul syllables to compatibility letters; other characters stay."""
+def _split_series(names: pd.Series) -> pd.Series:
     return names.map(_split_word, na_action="ignore")
 
 
-@F.pandas_udf("string")
-def join_jamo(names: pd.Series) -> pd.Series:
-    """Compatibility letters back to syllables."""
+def _join_series(names: pd.Series) -> pd.Series:
     return names.map(_join_word, na_action="ignore")
+
+
+def split_jamo(name: str | Column) -> Column:
+    """Hangul syllables to compatibility letters; other characters stay."""
+    return F.pandas_udf(_split_series, "string")(_c(name))
+
+
+def join_jamo(name: str | Column) -> Column:
+    """Compatibility letters back to syllables."""
+    return F.pandas_udf(_join_series, "string")(_c(name))

@@ -237,12 +237,9 @@ def suppress_repeats(
     ]
 
     def fold(rows: list[dict]) -> list[dict]:
-        def num(x):
-            return None if x is None or x != x else int(x)
-
         kept: list[dict] = []
         for r in rows:
-            gained, used, ended = int(r["gained"]), num(r["used"]), num(r["ended"])
+            gained, used, ended = r["gained"], r["used"], r["ended"]
             if kept and r["_special"]:
                 last = kept[-1]
                 if used is not None and used - gained < quick and not r["_was_alive"]:
@@ -257,7 +254,7 @@ def suppress_repeats(
                 ):
                     last.update(used=used, ended=ended)
                     continue
-            kept.append(dict(r, gained=gained, used=used, ended=ended))
+            kept.append(dict(r))
         return kept
 
     schema = ", ".join(

@@ -161,10 +161,6 @@ def dedup_observations(
     )
 
 
-def _isna(x) -> bool:
-    return x is None or x != x
-
-
 def _loose_key(df: DataFrame, npcs: Sequence[str]) -> DataFrame:
     """Fields close events must share: the killer only counts for hero victims."""
     npc = is_npc("second_hero", npcs)
@@ -182,7 +178,7 @@ _LOOSE = ["second_hero", "second_side", "_k1", "_k2", "_npc"]
 
 def _close(a: dict, b: dict) -> bool:
     """Rows of one loose key are close unless two known killers of an NPC differ."""
-    if not a["_npc"] or _isna(a["first_hero"]) or _isna(b["first_hero"]):
+    if not a["_npc"] or a["first_hero"] is None or b["first_hero"] is None:
         return True
     return a["first_hero"] == b["first_hero"]
 
@@ -221,7 +217,7 @@ def merge_similar(
                     longer, shorter = (
                         (row, other) if row["duration"] > other["duration"] else (other, row)
                     )
-                    fill = _isna(longer["first_hero"]) and longer["first_side"] in ("left", "right")
+                    fill = longer["first_hero"] is None and longer["first_side"] in ("left", "right")
                     start = other["b"]
                     first_ord = other["ord"]
                     hero = shorter["first_hero"] if fill else longer["first_hero"]

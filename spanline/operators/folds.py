@@ -7,11 +7,13 @@ earlier one.  Episodes of a hot timeline then spread over all executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spanline.ordered import Layout, MaxBefore, RunSum, scan
 
@@ -44,12 +46,33 @@ def timeline_fold(
     fn: Callable[[list[dict]], list[dict]],
     schema: str,
 ) -> DataFrame:
-    """Apply ``fn`` to the ordered rows of each group, given and returned as dicts."""
-    order = list(order)
+    """Apply ``fn`` to the ordered rows of each group, given and returned as dicts.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").to_dict("records")
-        return pd.DataFrame(fn(rows), columns=names)
+    Spark partitions by group and sorts (spilling if need be); a task then walks
+    its sorted Arrow batches and folds one group at a time, so thousands of small
+    groups share one batch instead of costing a call each.
+    """
+    keys = list(keys)
+    out_type = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        current = None
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if group and key != current:
+                    done.extend(fn(group))
+                    group = []
+                current = key
+                group.append(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow)
+        if group:
+            yield pa.RecordBatch.from_pylist(fn(group), schema=arrow)
 
-    names = [f.split()[0] for f in schema.split(", ")]
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return (
+        df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_type)
+    )

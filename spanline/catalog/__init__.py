@@ -12,6 +12,7 @@ MODULES = (
     "source_queries",
     "feature_queries",
     "stream_queries",
+    "plan_queries",
 )
 
 

@@ -16,6 +16,7 @@ from spanline.catalog.stand_ins import (
 )
 from spanline.operators import events as ev
 from spanline.operators import tables as tb
+from spanline.session import small_table
 from spanline.timeunits import DAY, HOUR
 
 HEROES = ["click", "view", "error", "purchase", "signup"]
@@ -81,7 +82,7 @@ def observations(spark, sf):
 
 def abilities(spark):
     rows = [(h, [f"{h}_a", "resurrect"] if h == "view" else [f"{h}_a"]) for h in HEROES]
-    return spark.createDataFrame(rows, "hero string, allowed array<string>")
+    return small_table(spark, rows, "hero string, allowed array<string>")
 
 
 def repaired(spark, sf):
@@ -113,7 +114,7 @@ def _sides(spark, sf):
 def valid_feed(spark, sf):
     heroes = _sides(spark, sf).withColumn("e", F.col("e") + 12 * HOUR)
     alive = _sides(spark, sf).filter(F.col("e") > F.col("b"))
-    npcs = spark.createDataFrame([("turret", "click")], "npc string, hero string")
+    npcs = small_table(spark, [("turret", "click")], "npc string, hero string")
     return ev.valid_observation(
         repaired(spark, sf), heroes, alive, npcs, ["round"], events_layout(spark, sf)
     )
@@ -354,3 +355,14 @@ def common(spark, sf):
     return tb.common(
         o.filter("o_orderstatus = 'F'").select("id"), o.filter("o_orderstatus = 'P'").select("id")
     )
+
+
+@query(
+    "h33_collapse_rows",
+    f"""with {FRAMES}, x as (select grp, t, event_id, k % 4 as id,
+   lag(k % 4) over (partition by grp order by t, event_id) as p from frames)
+select grp, t, event_id, id from x where id <> 0 and id is distinct from p""",
+)
+def collapse_rows(spark, sf):
+    f = frames(spark, sf).select("grp", "t", "event_id", (F.col("k") % 4).alias("id"))
+    return ev.collapse_ids(f, GRP, ["t", "event_id"], "id", layout=events_layout(spark, sf))

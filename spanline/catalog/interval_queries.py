@@ -21,6 +21,7 @@ from spanline.catalog.stand_ins import (
 )
 from spanline.operators import intervals as ops
 from spanline.operators import votes
+from spanline.session import small_table
 from spanline.timeunits import DAY, HOUR, micros
 
 RULES = {"click": 1 * HOUR, "view": 2 * HOUR, "error": 4 * HOUR, "purchase": 6 * HOUR}
@@ -285,7 +286,8 @@ select distinct grp, t from p where not exists (
   select 1 from s where s.grp = p.grp and s.st < p.st and s.b <= p.t and p.t <= s.e)""",
 )
 def sampling_grid(spark, sf):
-    steps = spark.createDataFrame(
+    steps = small_table(
+        spark,
         [("click", HOUR), ("purchase", HOUR // 2), ("burst", HOUR // 2)],
         "status string, step_us bigint",
     )

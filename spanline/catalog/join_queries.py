@@ -17,6 +17,7 @@ from spanline.catalog.stand_ins import (
     table,
 )
 from spanline.operators import joins as ops
+from spanline.session import small_table
 from spanline.timeunits import HOUR, micros
 
 # Probe times: every event shifted by two hours, so that some fall into gaps.
@@ -184,7 +185,7 @@ def overlap_duration(spark, sf):
     )
     return ops.overlap_duration(
         iv(spark, sf), r, GRP, "sid", "signup", events_layout(spark, sf)
-    )
+    ).drop("seen")
 
 
 @query(
@@ -324,8 +325,8 @@ def require_cause(spark, sf):
         F.when(F.col("grp") % 2 == 0, "left").otherwise("right").alias("side"),
         "b", "e", "status",
     )
-    rules = spark.createDataFrame(
-        CAUSE_RULES, "effect string, relation string, cause string, lead_us bigint"
+    rules = small_table(
+        spark, CAUSE_RULES, "effect string, relation string, cause string, lead_us bigint"
     )
     causes = s.withColumn("e", F.col("e") + 6 * HOUR)
     return ops.require_cause(s, causes, rules, ["round"], layout=events_layout(spark, sf))
@@ -380,14 +381,17 @@ def nearest_name(spark, sf):
 
 @query("jn16_fuzzy_assign")
 def fuzzy_assign(spark, sf):
-    """Customers of a nation, slot by slot, get the closest free supplier name of it."""
-    names = table(spark, sf, "customer").select(
-        F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("slot"),
-        F.lower("c_name").alias("name"),
+    """Customers of a region, slot by slot, get the closest free nation name of it."""
+    nation = table(spark, sf, "nation").select(
+        "n_nationkey", F.col("n_regionkey").alias("grp"), F.lower("n_name").alias("nation")
     )
-    roster = table(spark, sf, "supplier").select(
-        F.col("s_nationkey").alias("grp"), F.lower("s_name").alias("name")
+    names = table(spark, sf, "customer").join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
+    ).select(
+        "grp", F.col("c_custkey").alias("slot"),
+        F.concat(F.lit("natio"), (F.col("c_custkey") % 40).cast("string")).alias("name"),
     )
+    roster = nation.select("grp", F.col("nation").alias("name"))
     return ops.fuzzy_assign(names, roster, GRP)
 
 

@@ -12,6 +12,7 @@ from spanline.functions import html as ht
 from spanline.functions import text as tx
 from spanline.functions import tokens as tk
 from spanline.operators import tables as tb
+from spanline.session import small_table
 from spanline.timeunits import ceil_to, floor_to, micros, safe_round
 
 VOCAB = ["click", "error", "purchase", "signup", "view"]
@@ -32,7 +33,8 @@ def mask_labels(spark, sf):
         F.when(F.col("value") > 50, "zoom").otherwise("not_zoom").alias("left_bar"),
         F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("map"),
     )
-    rules = spark.createDataFrame(
+    rules = small_table(
+        spark,
         [
             ("game", "error", "left_bar", "n/a"),
             ("game", "error", "map", "n/a"),

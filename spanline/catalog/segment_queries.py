@@ -19,6 +19,7 @@ from spanline.catalog.stand_ins import (
 )
 from spanline.operators import derive as dv
 from spanline.operators import segment as sg
+from spanline.session import small_table
 from spanline.timeunits import DAY, HOUR, micros
 
 
@@ -357,8 +358,8 @@ def effects(spark, sf):
         F.col("grp").alias("slot"),
         "b", "e", "status",
     )
-    rules = spark.createDataFrame(
-        CAUSE_RULES, "effect string, relation string, cause string, lead_us bigint"
+    rules = small_table(
+        spark, CAUSE_RULES, "effect string, relation string, cause string, lead_us bigint"
     )
     wide = s.withColumn("e", F.col("e") + 6 * HOUR)
     return dv.effects(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Bind an expression once and use it several times inside another."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def argmax_index(scores: str | Column) -> Column:
     """0-based position of the first maximum."""
     s = _c(scores)

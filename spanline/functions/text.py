@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanline.functions.arrays import lookup
+from spanline.functions.arrays import let, lookup
 
 # Team code -> team name.
 TEAM_CODES = {
@@ -139,17 +139,20 @@ def parse_title(channel: str | Column, title: str | Column) -> Column:
     for name in TITLE_PATTERNS:
         if name != "any":
             by_channel = F.when(which == name, fields(name)).otherwise(by_channel)
-    got = F.coalesce(by_channel, fields("any"))
-    event = F.when(got["sub"].isNull(), got["main"]).otherwise(
-        F.concat_ws(" - ", got["main"], got["sub"])
-    )
-    return F.struct(
-        F.trim(got["team_one"]).alias("team_one"),
-        F.trim(got["team_two"]).alias("team_two"),
-        got["description"].alias("description"),
-        got["game_number"].alias("game_number"),
-        event.alias("event"),
-    )
+
+    def result(got: Column) -> Column:
+        event = F.when(got["sub"].isNull(), got["main"]).otherwise(
+            F.concat_ws(" - ", got["main"], got["sub"])
+        )
+        return F.struct(
+            F.trim(got["team_one"]).alias("team_one"),
+            F.trim(got["team_two"]).alias("team_two"),
+            got["description"].alias("description"),
+            got["game_number"].alias("game_number"),
+            event.alias("event"),
+        )
+
+    return let(F.coalesce(by_channel, fields("any")), result)
 
 
 def _month_number(name: Column) -> Column:

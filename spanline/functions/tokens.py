@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanline.functions.arrays import let
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -30,56 +32,74 @@ def parse_event(
     # Side words, the two suffixes and the environment word.
     sides = _lit_array(["left", "right"])
     hero_set, ability_set = _lit_array(heroes), _lit_array(abilities)
-    all_t = _c(tokens)
-    environmental = F.array_contains(all_t, "environmental")
-    t = F.filter(all_t, lambda x: x != "environmental")
-    is_ability = F.transform(t, lambda x: F.array_contains(ability_set, x))
-    cut = F.array_position(is_ability, True)
-    head = F.when(cut > 0, F.slice(t, 1, F.greatest(cut - 1, F.lit(0)).cast("int"))).otherwise(t)
-    tail = F.filter(
-        F.when(cut > 0, F.slice(t, F.greatest(cut, F.lit(1)).cast("int"), F.size(t))).otherwise(
-            F.array().cast("array<string>")
-        ),
-        lambda x: ~F.array_contains(ability_set, x),
-    )
-    used = F.filter(t, lambda x: F.array_contains(ability_set, x))
+    no_tokens = F.array().cast("array<string>")
+    pairs = [
+        v for h in heroes for v in (F.lit(h), _lit_array(allowed.get(h, [])).cast("array<string>"))
+    ]
+    allowed_map = F.create_map(*pairs)
 
     def last(arr: Column) -> Column:
         return F.try_element_at(arr, F.lit(-1))
 
-    killer = last(F.filter(head, lambda x: F.array_contains(hero_set, x)))
-    killer_side = last(F.filter(head, lambda x: F.array_contains(sides, x)))
-    helpers = F.filter(
-        head,
-        lambda x: ~F.array_contains(hero_set, x)
-        & ~F.array_contains(sides, x)
-        & ~x.endswith("npc"),
-    )
-    assists = F.array_distinct(F.transform(helpers, lambda x: F.regexp_replace(x, "_assist$", "")))
-    assists = F.filter(assists, lambda x: ~x.eqNullSafe(killer))
-    raw = last(used)
-    headshot = F.when(raw.isNotNull(), raw.endswith("headshot"))
-    ability = F.regexp_replace(raw, " headshot$", "")
-    pairs = [v for h in heroes for v in (F.lit(h), _lit_array(allowed.get(h, [])).cast("array<string>"))]
-    fits = F.array_contains(F.try_element_at(F.create_map(*pairs), killer), ability)
-    ability = F.when(
-        killer.isNotNull() & ~F.coalesce(fits, F.lit(False)), F.lit("primary")
-    ).otherwise(ability)
-    victims = F.transform(tail, lambda x: F.regexp_replace(x, "_assist$", ""))
-    victim_side = last(F.filter(victims, lambda x: F.array_contains(sides, x)))
-    victim = last(
-        F.filter(victims, lambda x: x.endswith("_npc") | F.array_contains(hero_set, x))
-    )
-    return F.struct(
-        killer.alias("first_hero"),
-        killer_side.alias("first_side"),
-        assists.alias("assists"),
-        ability.alias("ability"),
-        environmental.alias("environmental"),
-        headshot.alias("headshot"),
-        F.regexp_replace(victim, "_npc$", "").alias("second_hero"),
-        victim_side.alias("second_side"),
-    )
+    def cut(t: Column) -> Column:
+        return F.struct(
+            t.alias("t"),
+            F.array_position(F.transform(t, lambda x: F.array_contains(ability_set, x)), True)
+            .cast("int")
+            .alias("at"),
+        )
+
+    def halves(c: Column) -> Column:
+        t, at = c["t"], c["at"]
+        found = at > 0
+        head = F.when(found, F.slice(t, 1, F.greatest(at - 1, F.lit(0)))).otherwise(t)
+        rest = F.when(found, F.slice(t, F.greatest(at, F.lit(1)), F.size(t))).otherwise(no_tokens)
+        return F.struct(
+            head.alias("head"),
+            F.filter(rest, lambda x: ~F.array_contains(ability_set, x)).alias("tail"),
+            last(F.filter(rest, lambda x: F.array_contains(ability_set, x))).alias("raw"),
+        )
+
+    def roles(h: Column) -> Column:
+        victims = F.transform(h["tail"], lambda x: F.regexp_replace(x, "_assist$", ""))
+        helpers = F.filter(
+            h["head"],
+            lambda x: ~F.array_contains(hero_set, x)
+            & ~F.array_contains(sides, x)
+            & ~x.endswith("npc"),
+        )
+        return F.struct(
+            last(F.filter(h["head"], lambda x: F.array_contains(hero_set, x))).alias("killer"),
+            last(F.filter(h["head"], lambda x: F.array_contains(sides, x))).alias("killer_side"),
+            F.array_distinct(
+                F.transform(helpers, lambda x: F.regexp_replace(x, "_assist$", ""))
+            ).alias("helpers"),
+            F.regexp_replace(h["raw"], " headshot$", "").alias("ability"),
+            F.when(h["raw"].isNotNull(), h["raw"].endswith("headshot")).alias("headshot"),
+            last(
+                F.filter(victims, lambda x: x.endswith("_npc") | F.array_contains(hero_set, x))
+            ).alias("victim"),
+            last(F.filter(victims, lambda x: F.array_contains(sides, x))).alias("victim_side"),
+        )
+
+    def event(r: Column) -> Column:
+        fits = F.array_contains(F.try_element_at(allowed_map, r["killer"]), r["ability"])
+        ability = F.when(
+            r["killer"].isNotNull() & ~F.coalesce(fits, F.lit(False)), F.lit("primary")
+        ).otherwise(r["ability"])
+        return F.struct(
+            r["killer"].alias("first_hero"),
+            r["killer_side"].alias("first_side"),
+            F.filter(r["helpers"], lambda x: ~x.eqNullSafe(r["killer"])).alias("assists"),
+            ability.alias("ability"),
+            F.array_contains(_c(tokens), "environmental").alias("environmental"),
+            r["headshot"].alias("headshot"),
+            F.regexp_replace(r["victim"], "_npc$", "").alias("second_hero"),
+            r["victim_side"].alias("second_side"),
+        )
+
+    plain = F.filter(_c(tokens), lambda x: x != "environmental")
+    return let(let(let(let(plain, cut), halves), roles), event)
 
 
 def encode_event(event: str | Column, heroes: Sequence[str], npcs: Sequence[str]) -> Column:

@@ -346,3 +346,16 @@ def attribute_deaths(
         out, [*keys, "t", "hero", "side"], ["first_hero", "first_side", "ability", "duration"]
     )
 
+
+
+def collapse_ids(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    id_col: str,
+    blank: int = 0,
+    layout: Layout | None = None,
+) -> DataFrame:
+    """Rows of id sequences without blanks and immediate repeats; for sequences of any length."""
+    df = scan(df, keys, order, {"_p": Prev(id_col)}, layout)
+    return df.filter((F.col(id_col) != blank) & ~F.col(id_col).eqNullSafe(F.col("_p"))).drop("_p")

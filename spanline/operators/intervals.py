@@ -55,15 +55,11 @@ def run_length_encode(
     """Samples to ``(keys, b, e, status, n)``: a new interval where the label changes."""
     layout = layout or Layout.inspect(df, keys)
     runs = _islands(df, keys, [t, *order], label, layout)
+    # the label is constant in a run; as a grouping column it keeps the aggregate hash-based
     return (
-        runs.groupBy(*keys, "_island")
-        .agg(
-            F.min(t).alias("b"),
-            F.max(t).alias("e"),
-            F.first(label).alias("status"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .drop("_island")
+        runs.groupBy(*keys, "_island", F.col(label).alias("status"))
+        .agg(F.min(t).alias("b"), F.max(t).alias("e"), F.count(F.lit(1)).alias("n"))
+        .select(*keys, "b", "e", "status", "n")
     )
 
 
@@ -80,14 +76,14 @@ def coalesce_intervals(
     layout = layout or Layout.inspect(iv, keys)
     out = (
         _islands(iv, keys, ORDER, "status", layout)
-        .groupBy(*keys, "_island")
-        .agg(F.min("b").alias("b"), F.max("e").alias("e"), F.first("status").alias("status"))
+        .groupBy(*keys, "_island", "status")
+        .agg(F.min("b").alias("b"), F.max("e").alias("e"))
     )
     if origin is not None:
         out = out.withColumn(
             "b", F.when(F.col("_island") == 1, F.lit(origin)).otherwise(F.col("b"))
         )
-    return out.drop("_island")
+    return out.select(*keys, "b", "e", "status")
 
 
 def _limit_for(thresholds: int | Mapping[str, int]) -> Column:
@@ -346,6 +342,21 @@ def min_length(
     return df.filter(length > min_us if strict else length >= min_us)
 
 
+BLOCK = 10_000
+
+
+def _ticks(df: DataFrame, last: Column, out: str) -> DataFrame:
+    """Rows times 0..``last``, generated in blocks so that no row holds a long array."""
+    n = last.cast("bigint")
+    df = df.withColumn("_last", n).withColumn(
+        "_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / BLOCK)))
+    )
+    inside = F.sequence(
+        F.col("_blk") * BLOCK, F.least(F.col("_last"), F.col("_blk") * BLOCK + BLOCK - 1)
+    )
+    return df.withColumn(out, F.explode(inside)).drop("_last", "_blk")
+
+
 def uniform_grid(
     seqs: DataFrame,
     keys: Sequence[str],
@@ -354,9 +365,8 @@ def uniform_grid(
 ) -> DataFrame:
     """Ticks every ``step_us`` over each sequence trimmed at both ends."""
     ticks = trim_sequences(seqs.select(*keys, "b", "e"), trim=trim_us)
-    points = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("e") - F.col("b")) / step_us))
     return (
-        ticks.withColumn("tick", F.explode(points))
+        _ticks(ticks, F.floor((F.col("e") - F.col("b")) / step_us), "tick")
         .withColumn("t", F.col("b") + F.col("tick") * step_us)
         .select(*keys, "t", "tick")
     )
@@ -388,14 +398,12 @@ def sampling_grid(
     stepped = iv.join(steps.select("status", "step_us"), "status", "left").withColumn(
         "step_us", F.coalesce("step_us", F.lit(base_step_us))
     )
-    points = stepped.select(
+    # the tick after the last whole step is pulled back to the interval's end
+    last = F.ceil((F.col("e") - F.col("b")) / F.col("step_us"))
+    points = _ticks(stepped, last, "_k").select(
         *keys,
         "step_us",
-        F.explode(
-            F.array_distinct(
-                F.concat(F.expr("sequence(b, e, step_us)"), F.array("e"))
-            )
-        ).alias("t"),
+        F.least(F.col("b") + F.col("_k") * F.col("step_us"), F.col("e")).alias("t"),
     )
     # Steps come from a small rules table; one lookup answers "covered by a finer
     # step?" for all of them, without joining points to intervals pairwise.

@@ -255,7 +255,8 @@ def overlap_duration(
     ignore: str = "n/a",
     layout: Layout | None = None,
 ) -> DataFrame:
-    """Full length of the intervals starting inside each range, per status.
+    """Full length (``dur``) of the intervals starting inside each range, per status, and when
+    the status was first ``seen``.
 
     A range in which none starts takes the interval that covers its begin.  Both
     sides are disjoint within a key, so every interval has at most one range to
@@ -269,8 +270,11 @@ def overlap_duration(
         F.col("_r")[range_id].alias(range_id),
         "status",
         (F.col("e") - F.col("b")).alias("dur"),
+        F.col("b").alias("seen"),
+    )
+    inside = inside.groupBy(*keys, range_id, "status").agg(
+        F.sum("dur").alias("dur"), F.min("seen").alias("seen")
     )
-    inside = inside.groupBy(*keys, range_id, "status").agg(F.sum("dur").alias("dur"))
     bare = r.join(inside.select(*keys, range_id).distinct(), [*keys, range_id], "left_anti")
     fallback = (
         nearest_rows(bare, known, keys, "b", "b", before="_i", table_first=False, layout=layout)
@@ -280,6 +284,7 @@ def overlap_duration(
             range_id,
             F.col("_i.status").alias("status"),
             (F.col("_i.e") - F.col("_i.b")).alias("dur"),
+            F.col("_i.b").alias("seen"),
         )
     )
     return inside.unionByName(fallback)
@@ -501,15 +506,19 @@ def fuzzy_assign(
     slot: str = "slot",
     name: str = "name",
     roster_name: str = "name",
+    max_roster: int = 1_000,
     layout: Layout | None = None,
 ) -> DataFrame:
     """Give each name of a group the closest roster name not yet taken, in slot order.
 
-    Exact matches take their roster name first.  A group's roster is an array; once
-    it is used up later names stay as they are, so only the first
-    ``size(roster)`` open names of a group enter the fold.
+    Exact matches take their roster name first.  A group's roster is an array of a
+    few names (refused above ``max_roster``); once it is used up later names stay as
+    they are, so only the first ``size(roster)`` open names of a group enter the fold.
     """
     keys = list(keys)
+    biggest = Layout.largest(roster, keys)
+    if biggest > max_roster:
+        raise ValueError(f"a roster of {biggest} names")
     teams = roster.groupBy(*keys).agg(F.array_sort(F.collect_set(roster_name)).alias("_roster"))
     df = names.join(teams, keys, "left").withColumn(
         "_roster", F.coalesce("_roster", F.array().cast("array<string>"))

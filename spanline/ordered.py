@@ -45,6 +45,12 @@ class Layout:
         one = F.count(F.lit(1)).alias("n")
         return Layout.of_sizes(df.groupBy(*keys).agg(one) if keys else df.agg(one))
 
+    @staticmethod
+    def largest(df: DataFrame, keys: Sequence[str]) -> int:
+        """Rows of the largest group."""
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        return sizes.agg(F.max("n")).first()[0] or 0
+
     @staticmethod
     def of_sizes(sizes: DataFrame) -> "Layout":
         """Decide from a table with one row per group and its row count ``n``."""

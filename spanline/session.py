@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MAX_GROUP_ROWS = "spanline.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
@@ -58,3 +61,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.gettempdir()
     return f"{base}/spanline-{name}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A rules or lookup table written in code.
+
+    Arrow input becomes a local relation whose size Spark knows, so joins with it
+    can be broadcast; a plain list would become an RDD of unknown size.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    data = [dict(zip(arrow.names, row, strict=True)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=arrow))

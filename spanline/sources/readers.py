@@ -71,17 +71,35 @@ def explode_states(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFra
     )
 
 
-def pack_states(iv: DataFrame, keys: Sequence[str], out: str = "states") -> DataFrame:
-    """The inverse: ``(keys, side, slot, attr, b, e, status)`` to one nested document per key."""
-    item = F.struct(
-        (F.col("b") / 1e6).alias("begin"), (F.col("e") / 1e6).alias("end"), "status"
+def pack_states(
+    iv: DataFrame, keys: Sequence[str], out: str = "states", part_rows: int = 100_000
+) -> DataFrame:
+    """The inverse: ``(keys, side, slot, attr, b, e, status)`` to one nested document per key.
+
+    A key with too many intervals for one document gives several, numbered by
+    ``part``; together they hold every interval once and in order.
+    """
+    from spanline.operators.intervals import chunk_sequences
+    from spanline.ordered import Layout
+
+    timeline = [*keys, "side", "slot", "attr"]
+    layout = Layout.inspect(iv, keys)
+    if layout.split:
+        # equal part numbers of a key's timelines meet in one document
+        iv = chunk_sequences(iv, timeline, ["b", "e"], part_rows, layout)
+        part = F.col("chunk")
+    else:
+        part = F.lit(0).cast("bigint")
+    item = F.struct((F.col("b") / 1e6).alias("begin"), (F.col("e") / 1e6).alias("end"), "status")
+    doc = (
+        iv.withColumn("part", part)
+        .groupBy("part", *timeline)
+        .agg(F.array_sort(F.collect_list(item)).alias("l"))
     )
-    attr = iv.groupBy(*keys, "side", "slot", "attr").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    for key in ("attr", "slot", "side"):
-        by = {"attr": ["side", "slot"], "slot": ["side"], "side": []}[key]
+    for key, by in (("attr", ["side", "slot"]), ("slot", ["side"]), ("side", [])):
         entry = F.map_from_entries(F.collect_list(F.struct(key, "l")))
-        attr = attr.groupBy(*keys, *by).agg(entry.alias("l"))
-    return attr.withColumnRenamed("l", out)
+        doc = doc.groupBy("part", *keys, *by).agg(entry.alias("l"))
+    return doc.withColumnRenamed("l", out)
 
 
 def lower_strings(df: DataFrame) -> DataFrame:

@@ -129,10 +129,13 @@ def wide_timeline(
 
 
 def game_meta(rounds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Arrays of round begins and ends per game; a game has few rounds."""
-    pairs = F.array_sort(F.collect_list(F.struct("b", "e")))
-    return rounds.groupBy(*keys).agg(pairs.alias("_p")).select(
+    """Arrays of round begins and ends per game (in parts, if a game is too long for one)."""
+    from spanline.operators.votes import nest_rounds
+
+    docs = nest_rounds(rounds, keys, ["b", "e"], [], "_p")
+    return docs.select(
         *keys,
+        "part",
         F.transform("_p", lambda x: x["b"]).alias("begins"),
         F.transform("_p", lambda x: x["e"]).alias("ends"),
     )

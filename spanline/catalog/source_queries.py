@@ -178,7 +178,11 @@ def _stats_docs(spark, sf):
 
     Each level is grouped before the next; an order has a handful of lines.
     """
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey").agg(
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity", "l_tax"
+    )
+    # one exchange on the document key serves all four levels
+    li = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey").agg(
         F.sum("l_quantity").alias("qty"), F.max("l_tax").alias("tax")
     )
     stats = F.create_map(F.lit("qty"), F.col("qty"), F.lit("tax"), F.col("tax"))

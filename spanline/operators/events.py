@@ -114,18 +114,32 @@ def valid_observation(
         "_victim", F.coalesce("_owner", "second_hero")
     )
 
-    def present(d: DataFrame, iv: DataFrame, side: str, hero: str, out: str) -> DataFrame:
-        ranges = iv.select(
+    def keyed(iv: DataFrame, side: str, hero: str) -> DataFrame:
+        return iv.select(
             *keys, F.col("side").alias(side), F.col("status").alias(hero), "b", "e"
         )
-        d = covered_until(d, ranges, [*keys, side, hero], "t", layout)
-        return d.withColumn(out, F.coalesce(F.col("_until") >= F.col("t"), F.lit(False))).drop(
-            "_until"
-        )
 
-    df = present(df, hero_iv, "first_side", "first_hero", "_killer_on")
-    df = present(df, hero_iv, "second_side", "_victim", "_victim_on")
-    df = present(df, alive_iv, "second_side", "_victim", "_alive")
+    def here(until: str) -> Column:
+        return F.coalesce(F.col(until) >= F.col("t"), F.lit(False))
+
+    killers = [*keys, "first_side", "first_hero"]
+    df = covered_until(df, keyed(hero_iv, "first_side", "first_hero"), killers, "t", layout)
+    df = df.withColumn("_killer_on", here("_until")).drop("_until")
+    # presence and life of the victim share key and time: one pass over both tables
+    played = keyed(hero_iv, "second_side", "_victim").withColumn("_life", F.lit(False))
+    lived = keyed(alive_iv, "second_side", "_victim").withColumn("_life", F.lit(True))
+    df = nearest_rows(
+        df,
+        played.unionByName(lived),
+        [*keys, "second_side", "_victim"],
+        "t",
+        "b",
+        highest={
+            "_on_until": lambda r: F.when(~r["_life"], r["e"]),
+            "_alive_until": lambda r: F.when(r["_life"], r["e"]),
+        },
+        layout=layout,
+    ).withColumns({"_victim_on": here("_on_until"), "_alive": here("_alive_until")})
     ok = (
         (F.col("first_hero").isNull() | F.col("_killer_on"))
         & F.col("_victim_on")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.ordered import Layout, Next, RunSum, nearest_rows, scan
@@ -275,19 +275,24 @@ def overlap_duration(
     inside = inside.groupBy(*keys, range_id, "status").agg(
         F.sum("dur").alias("dur"), F.min("seen").alias("seen")
     )
-    bare = r.join(inside.select(*keys, range_id).distinct(), [*keys, range_id], "left_anti")
-    fallback = (
-        nearest_rows(bare, known, keys, "b", "b", before="_i", table_first=False, layout=layout)
-        .filter(F.col("_i.e") > F.col("b"))
-        .select(
-            *keys,
-            range_id,
-            F.col("_i.status").alias("status"),
-            (F.col("_i.e") - F.col("_i.b")).alias("dur"),
-            F.col("_i.b").alias("seen"),
-        )
+    before = nearest_rows(
+        r, known, keys, "b", "b", before="_i", table_first=False, layout=layout
+    )
+    fallback = before.filter(F.col("_i.e") > F.col("b")).select(
+        *keys,
+        range_id,
+        F.col("_i.status").alias("status"),
+        (F.col("_i.e") - F.col("_i.b")).alias("dur"),
+        F.col("_i.b").alias("seen"),
+    )
+    both = inside.withColumn("_own", F.lit(1)).unionByName(fallback.withColumn("_own", F.lit(0)))
+    # a range has at most one row per status of the vocabulary plus its fallback
+    w = Window.partitionBy(*keys, range_id)
+    return (
+        both.withColumn("_best", F.max("_own").over(w))
+        .filter(F.col("_own") == F.col("_best"))
+        .drop("_own", "_best")
     )
-    return inside.unionByName(fallback)
 
 
 def valid_at(

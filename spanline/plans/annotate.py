@@ -50,16 +50,20 @@ def clean_timelines(
     """Cleaned intervals of the hero, alive and charge attributes per player slot."""
     keys = ["round", "side", "slot"]
 
+    # One pass over the samples encodes every attribute; the intervals are far fewer
+    # and used several times, so they are written once, and so are cleaned timelines.
+    encoded = cut_lineage(
+        run_length_encode(labels, [*keys, "attr"], "t", "label", order, layout).drop("n")
+    )
+
     def raw(attr: str) -> DataFrame:
-        own = labels.filter(F.col("attr") == attr)
-        return run_length_encode(own, keys, "t", "label", order, layout).drop("n")
+        return encoded.filter(F.col("attr") == attr).drop("attr")
 
     alive = {"alive": rules.alive, "dead": rules.alive}
-    # every timeline is used several times and far smaller than the samples: written once
     return {
         "hero": cut_lineage(anchor_smooth(raw("hero"), keys, rules.hero, layout=layout)),
         "alive": cut_lineage(filter_min_duration(raw("alive"), keys, alive, layout=layout)),
-        "charge": cut_lineage(raw("charge")),
+        "charge": raw("charge"),
     }
 
 

@@ -60,9 +60,14 @@ def rounds_of_recordings(
     layout = layout or Layout.inspect(labels, [key])
     keys = [key]
 
+    # One pass over the samples encodes every attribute; the intervals are far fewer
+    # and used several times, so they are written once.
+    encoded = cut_lineage(
+        run_length_encode(labels, [key, "attr"], "t", "label", order, layout).drop("n")
+    )
+
     def states(attr: str) -> DataFrame:
-        own = labels.filter(F.col("attr") == attr)
-        return run_length_encode(own, keys, "t", "label", order, layout).drop("n")
+        return encoded.filter(F.col("attr") == attr).drop("attr")
 
     game = filter_min_duration(states("game"), keys, {"not_game": rules.flicker}, layout=layout)
     game = relabel_pauses(game, keys, rules.short_pause, rules.between_games, layout=layout)
@@ -74,8 +79,6 @@ def rounds_of_recordings(
         "smaller_window": rules.small_window,
     }
     game = filter_min_duration(game, keys, limits, protect_initial=True, layout=layout)
-    # states and rounds are far smaller than samples and used several times: written once
-    game = cut_lineage(game)
     rounds, parts = segment_rounds(game, keys, rules.round, layout=layout)
     rounds = cut_lineage(rounds)
     for attr, out in (("map", "map"), ("attacking_side", "attacking_side")):

@@ -224,7 +224,7 @@ def suppress_repeats(
     else:
         df = df.withColumn("_was_alive", F.lit(True))
     order = ["gained"]
-    df = scan(df, keys, order, {"_until": MaxBefore("ended")}, layout)
+    df = scan(df, keys, order, {"_until": MaxBefore("ended")}, layout, True)
     afresh = ~F.col("_special") | (
         F.col("used").isNull()
         & (F.col("_until").isNull() | (F.col("_until") <= F.col("gained") - quick))

@@ -160,7 +160,7 @@ def dedup_observations(
     ``(keys, event..., b, duration, n)``."""
     by = [*keys, *event]
     layout = layout or Layout.inspect(df, by)
-    df = scan(df, by, [t], {"_pt": Prev(t)}, layout)
+    df = scan(df, by, [t], {"_pt": Prev(t)}, layout, True)
     new = F.col("_pt").isNull() | (F.col(t) - F.col("_pt") > gap)
     df = df.withColumn("_new", new.cast("bigint")).drop("_pt")
     df = scan(df, by, [t], {"_run": RunSum("_new")}, layout)

@@ -33,7 +33,7 @@ def episodes(
     """
     layout = layout or Layout.inspect(df, keys)
     b = F.col(begin) if isinstance(begin, str) else begin
-    df = scan(df, keys, order, {"_reach": MaxBefore(reach)}, layout)
+    df = scan(df, keys, order, {"_reach": MaxBefore(reach)}, layout, True)
     cut = F.col("_reach").isNull() | (b > F.col("_reach"))
     df = df.withColumn("_cut", cut.cast("bigint")).drop("_reach")
     return scan(df, keys, order, {out: RunSum("_cut")}, layout).drop("_cut")

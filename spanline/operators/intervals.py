@@ -36,7 +36,7 @@ def _islands(
     breaks: Column | None = None,
 ) -> DataFrame:
     """Number runs of equal ``label`` (``breaks`` forces further cuts)."""
-    df = scan(df, keys, order, {"_prev": Prev(label), "_seen": Prev(F.lit(1))}, layout)
+    df = scan(df, keys, order, {"_prev": Prev(label), "_seen": Prev(F.lit(1))}, layout, True)
     new = F.col("_seen").isNull() | ~F.col(label).eqNullSafe(F.col("_prev"))
     if breaks is not None:
         new = new | F.coalesce(breaks, F.lit(False))
@@ -111,7 +111,7 @@ def filter_min_duration(
     layout = layout or Layout.inspect(iv, keys)
     merged = coalesce_intervals(iv, keys, origin, layout)
     seen = scan(
-        merged, keys, ORDER, {"_p": Prev(F.lit(1)), "_n": Next(F.lit(1))}, layout
+        merged, keys, ORDER, {"_p": Prev(F.lit(1)), "_n": Next(F.lit(1))}, layout, True
     )
     keep = (
         _limit_for(thresholds).isNull()
@@ -160,11 +160,12 @@ def anchor_smooth(
     """
     layout = layout or Layout.inspect(iv, keys)
     iv = coalesce_intervals(iv, keys, None, layout)
-    iv = scan(iv, keys, ORDER, {"_seen": Prev(F.lit(1))}, layout)
+    iv = scan(iv, keys, ORDER, {"_seen": Prev(F.lit(1))}, layout, True)
     anchor = F.col("_seen").isNull() | (
         (F.col("e") - F.col("b") > min_us) & (F.col("status") != ignore)
     )
-    iv = scan(iv, keys, ORDER, {"_anchor": LastValue(F.when(anchor, F.col("status")))}, layout)
+    steps = {"_anchor": LastValue(F.when(anchor, F.col("status")))}
+    iv = scan(iv, keys, ORDER, steps, layout, True)
     kept = iv.filter(F.col("status") == F.col("_anchor")).drop("_anchor", "_seen")
     return coalesce_intervals(kept, keys, None, layout)
 
@@ -234,7 +235,7 @@ def union_intervals(
 ) -> DataFrame:
     """Merge overlapping or touching intervals into disjoint ``(keys, b, e)``."""
     layout = layout or Layout.inspect(iv, keys)
-    df = scan(iv, keys, ORDER, {"_reach": MaxBefore("e")}, layout)
+    df = scan(iv, keys, ORDER, {"_reach": MaxBefore("e")}, layout, True)
     new = F.col("_reach").isNull() | (F.col("b") > F.col("_reach"))
     df = df.withColumn("_new", new.cast("bigint")).drop("_reach")
     df = scan(df, keys, ORDER, {"_island": RunSum("_new")}, layout)
@@ -256,7 +257,7 @@ def gap_sessions(
     """Number sessions ``_session``: a row more than ``gap`` after the last one opens a new one."""
     layout = layout or Layout.inspect(df, keys)
     o = [t, *order]
-    df = scan(df, keys, o, {"_pt": Prev(t)}, layout)
+    df = scan(df, keys, o, {"_pt": Prev(t)}, layout, True)
     new = F.col("_pt").isNull() | (F.col(t) - F.col("_pt") > gap)
     df = df.withColumn("_new", new.cast("bigint")).drop("_pt")
     return scan(df, keys, o, {"_session": RunSum("_new")}, layout).drop("_new")

@@ -594,7 +594,7 @@ def lookahead_pending(
     is near ``x2``, the second if ``x3`` is near ``x1``, all later ones always.
     """
     ev = events.select(*keys, F.col(t).alias("_t"), F.col(tie).alias("_id"))
-    ev = scan(ev, keys, ["_t", "_id"], {"_n": RunSum(F.lit(1)), "_x2": Next("_t")}, layout)
+    ev = scan(ev, keys, ["_t", "_id"], {"_n": RunSum(F.lit(1)), "_x2": Next("_t")}, layout, True)
     ev = scan(ev, keys, ["_t", "_id"], {"_x3": Next("_x2")}, layout)
     df = nearest_rows(points, ev, keys, t, "_t", after="_x", tie="_id", layout=layout)
     stop = df.withColumn("_stop", F.col(t) + admit)

@@ -92,7 +92,7 @@ def mark_rounds(
     the last ``not_game`` and whether a pause came while the round ran, so running
     values give it without stepping through rows.
     """
-    df = scan(iv, keys, ORDER, {"_rn": RunSum(F.lit(1))}, layout)
+    df = scan(iv, keys, ORDER, {"_rn": RunSum(F.lit(1))}, layout, True)
     s, rn = F.col("status"), F.col("_rn")
     df = scan(
         df,
@@ -108,12 +108,13 @@ def mark_rounds(
             "_nb": Next("b"),
         },
         layout,
+        True,
     )
     running = F.col("_open").isNotNull() & (
         F.col("_stop").isNull() | (F.col("_stop") < F.col("_open"))
     )
     df = scan(
-        df, keys, ORDER, {"_pauser": LastValue(F.when((s == pause) & running, rn))}, layout
+        df, keys, ORDER, {"_pauser": LastValue(F.when((s == pause) & running, rn))}, layout, True
     )
     paused = F.col("_pauser").isNotNull() & (
         F.col("_pauser") > F.coalesce("_game", F.lit(-1))
@@ -121,10 +122,10 @@ def mark_rounds(
     df = df.withColumn(
         "state", F.when(paused, "paused").when(running, "open").otherwise("none")
     )
-    df = scan(df, keys, ORDER, {"_before": Prev("state")}, layout)
+    df = scan(df, keys, ORDER, {"_before": Prev("state")}, layout, True)
     starts = s.isin(*openers) & (F.coalesce("_before", F.lit("none")) == "none")
     df = df.withColumn("_starts", starts.cast("bigint"))
-    return scan(df, keys, ORDER, {"round": RunSum("_starts")}, layout)
+    return scan(df, keys, ORDER, {"round": RunSum("_starts")}, layout, True)
 
 
 def segment_rounds(
@@ -172,7 +173,7 @@ def segment_rounds(
         F.when(s == pause, F.lit("Ingame pause")).otherwise(F.lit("Out of game pause")),
     )
     df = df.withColumns({"kind": kind, "type": typ})
-    df = scan(df, keys, ORDER, {"_pt": Prev("type")}, layout)
+    df = scan(df, keys, ORDER, {"_pt": Prev("type")}, layout, True)
     off = F.col("type") == "Out of game pause"
     new = ~F.coalesce(off & (F.col("_pt") == "Out of game pause"), F.lit(False))
     df = df.withColumn("_newp", new.cast("bigint"))
@@ -240,7 +241,7 @@ def segment_games(
     layout = layout or Layout.inspect(rounds, keys)
     df = scan(
         rounds, keys, order, {"_p": Prev(map_col), "_s": Prev(F.lit(1)), "_rn": RunSum(F.lit(1))},
-        layout,
+        layout, True,
     )
     new = F.col("_s").isNull() | ~F.col("_p").eqNullSafe(F.col(map_col))
     df = df.withColumn("_new", new.cast("bigint"))

@@ -11,7 +11,8 @@ them to :func:`scan`.  There are two plans for the same result:
   holding a third of all rows is spread over many pieces.  Steps run inside the
   pieces, one edge row per piece is carried across pieces, and the carry is
   joined back.  Piece numbers are frozen by a reliable checkpoint before they
-  are used twice, so a lost executor cannot change them.
+  are used twice, so a lost executor cannot change them; scans that follow each
+  other share the pieces.
 
 Nothing is dropped, capped or sampled in either plan.
 """
@@ -235,21 +236,28 @@ def scan(
     order: Sequence[str],
     steps: Mapping[str, Step],
     layout: Layout | None = None,
+    more: bool = False,
 ) -> DataFrame:
-    """Add one column per step, computed along ``order`` inside each ``keys`` group."""
+    """Add one column per step, computed along ``order`` inside each ``keys`` group.
+
+    ``more`` says that a scan with the same keys and order follows on the same rows
+    (or some of them): a split table then keeps its pieces for it.
+    """
     keys, order = list(keys), list(order)
     layout = layout or Layout.inspect(df, keys)
     if not layout.split:
         fwd = Window.partitionBy(*keys).orderBy(*order)
         back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
         return df.withColumns({n: s.whole(fwd, back) for n, s in steps.items()})
-    return _scan_split(df, keys, order, steps, layout)
+    return _scan_split(df, keys, order, steps, layout, more)
 
 
-def _scan_split(df, keys, order, steps, layout):
-    ranged = df.repartitionByRange(layout.pieces, *keys, *order).withColumn(
-        _PIECE, F.spark_partition_id()
-    )
+def _scan_split(df, keys, order, steps, layout, more):
+    ranged = _PIECE not in df.columns
+    if ranged:
+        df = df.repartitionByRange(layout.pieces, *keys, *order).withColumn(
+            _PIECE, F.spark_partition_id()
+        )
     inside = [_PIECE, *keys]
     fwd = Window.partitionBy(*inside).orderBy(*order)
     back = Window.partitionBy(*inside).orderBy(*[F.col(c).desc() for c in order])
@@ -259,7 +267,11 @@ def _scan_split(df, keys, order, steps, layout):
     }
     for name, step in steps.items():
         columns.update(step.local(name, fwd, back))
-    local = cut_lineage(ranged.withColumns(columns))
+    local = df.withColumns(columns)
+    if ranged or more:
+        # Fixes the piece numbers, and keeps a chain of scans from recomputing itself.
+        # The last scan of a chain is derived twice from its checkpoint, without a shuffle.
+        local = cut_lineage(local)
 
     kept: dict[str, Column] = {}
     for name, step in steps.items():
@@ -276,10 +288,11 @@ def _scan_split(df, keys, order, steps, layout):
     )
     on = F.lit(True)
     for c in inside:
-        on = on & local[c].eqNullSafe(carries[f"{c}__k"])
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}__k"))
     joined = local.join(carries, on, "left")
     out = joined.withColumns({n: s.merged(n) for n, s in steps.items()})
-    return cut_lineage(out.select(*df.columns, *steps))
+    names = [c for c in df.columns if more or c != _PIECE]
+    return out.select(*names, *steps)
 
 
 def nearest_rows(

@@ -291,7 +291,7 @@ def first_n(spark, sf):
     )
 
 
-@query("tk05_shuffled")
+@query("tk05_shuffled", "select event_id from events")
 def shuffled(spark, sf):
     return tb.shuffled(table(spark, sf, "events").select("event_id"), "event_id", 7)
 

@@ -379,7 +379,18 @@ def nearest_name(spark, sf):
     return ops.nearest_name(obs, roster, "name", "rname")
 
 
-@query("jn16_fuzzy_assign")
+@query(
+    "jn16_fuzzy_assign",
+    """with recursive names as (select n_regionkey as grp, c_custkey as slot, 'natio' || (c_custkey % 40)::varchar as name,
+   row_number() over (partition by n_regionkey order by c_custkey) as i from customer join nation on c_nationkey = n_nationkey),
+roster as (select n_regionkey as grp, list(lower(n_name) order by lower(n_name)) as free from nation group by 1),
+go as (select grp, 0::bigint as i, null::varchar as pick, free from roster
+  union all
+  select g.grp, n.i, p.pick, list_filter(g.free, lambda r: r <> p.pick) from go g join names n on n.grp = g.grp and n.i = g.i + 1,
+  lateral (select list_min(list_transform(g.free, lambda r: {'d': levenshtein(n.name, r), 'r': r})).r as pick) p
+  where len(g.free) > 0)
+select names.grp, slot, name, coalesce(pick, name) as assigned from names left join go on go.grp = names.grp and go.i = names.i""",
+)
 def fuzzy_assign(spark, sf):
     """Customers of a region, slot by slot, get the closest free nation name of it."""
     nation = table(spark, sf, "nation").select(

@@ -429,7 +429,14 @@ def levenshtein(spark, sf):
     return j.select("c_custkey", F.levenshtein("c_mktsegment", F.upper("n_name")).alias("d"))
 
 
-@query("h14_jamo")
+@query(
+    "h14_jamo",
+    """with c as (select c_custkey, c_name, (c_custkey * 7919) % 11172 as n from customer)
+select c_custkey, chr((44032 + n)::int) || c_name as name, substr('ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ', n // 588 + 1, 1)
+  || substr('ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ', n % 588 // 28 + 1, 1)
+  || case when n % 28 = 0 then '' else substr('ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ', n % 28, 1) end
+  || c_name as letters, chr((44032 + n)::int) || c_name as joined from c""",
+)
 def jamo(spark, sf):
     """Names with a Hangul syllable picked by key, split into letters and joined again."""
     k = F.col("c_custkey")

@@ -160,6 +160,27 @@ rounds as (select grp, round::bigint as round, min(rb) as b, max(re) as e from s
 select grp, round, b, e from rounds where e - b > 28800000000"""
 
 
+PARTS_SQL = (
+    ROUNDS_SQL.replace("select grp, round, b, e from rounds where e - b > 28800000000", "")
+    + """, big as (select * from rounds where e - b > 28800000000),
+x as (select o.*, st.round, st.state, lag(st.state) over (partition by o.grp order by o.rn) as before,
+   lead(o.status) over (partition by o.grp order by o.rn) as ns, lead(o.b) over (partition by o.grp order by o.rn) as nb
+   from o join st on st.grp = o.grp and st.rn = o.rn),
+y as (select *, case when status = 'error' then 'Ingame pause' else 'Out of game pause' end as typ from x where state = 'paused'),
+p as (select *, case when typ = 'Out of game pause' and lag(typ) over w = typ and lag(rn) over w = rn - 1
+   then 0 else 1 end as f from y window w as (partition by grp order by rn)),
+pieces as (select *, sum(f) over (partition by grp order by rn rows unbounded preceding) as piece from p),
+parts as (
+  select grp, round, 'pause' as kind, typ as type, min(b) as b, max(coalesce(nb, e)) as e from pieces group by grp, round, piece, typ
+  union all select grp, round, 'smaller_window', null, b, e from x
+    where status = 'purchase' and state = 'open' and (coalesce(before, 'none') = 'none' or ns = 'view')
+  union all select grp, round, 'replay', null, b, e from x where status = 'signup' and state = 'open' and ns = 'view'),
+rel as (select q.grp, q.round::bigint as round, kind, type, q.b - big.b as b, q.e - big.b as e
+   from parts q join big on big.grp = q.grp and big.round = q.round)
+"""
+)
+
+
 def _rounds(spark, sf):
     return sg.segment_rounds(
         iv(spark, sf), GRP, 8 * HOUR, "view", "click", "error", "signup", "purchase", "split",
@@ -172,13 +193,19 @@ def segment_rounds(spark, sf):
     return _rounds(spark, sf)[0]
 
 
-@query("w21_round_parts")
+@query("w21_round_parts", PARTS_SQL + "select grp, round, kind, type, b, e from rel")
 def round_parts(spark, sf):
     """Typed pauses, replays and small windows of every round."""
     return _rounds(spark, sf)[1]
 
 
-@query("w27_probe_start")
+@query(
+    "w27_probe_start",
+    PARTS_SQL
+    + """select big.grp, big.round, coalesce((select e from rel where rel.grp = big.grp and rel.round = big.round
+    and b < 18000000000 order by case kind when 'smaller_window' then 1 when 'replay' then 2 else 3 end, b, e limit 1)
+  + 3600000000, 0)::bigint as start from big""",
+)
 def probe_start(spark, sf):
     rounds, parts = _rounds(spark, sf)
     return sg.probe_start(parts, rounds, GRP, 5 * HOUR, HOUR)

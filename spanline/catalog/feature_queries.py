@@ -128,7 +128,26 @@ def outcome_classifier(spark, sf):
 LABELS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("ml06_viterbi_smooth")
+STAY, MOVE = float(np.log(0.6)), float(np.log(0.1))
+
+
+@query(
+    "ml06_viterbi_smooth",
+    f"""with recursive {FRAMES},
+s as (select grp, t * 1000 + event_id % 1000 as t, list_transform(['click','error','purchase','signup','view'],
+   lambda v: case when label = v then -0.5::double else -1.5::double end) as o from frames),
+r as (select *, row_number() over (partition by grp order by t) as rn, count(*) over (partition by grp) as n from s),
+fwd as (select grp, rn, list_transform(o, lambda x: {float(np.log(0.2))!r}::double + x) as best from r where rn = 1
+  union all select r.grp, r.rn, list_transform(range(1, 6), lambda j: list_max(list_transform(range(1, 6),
+     lambda i: f.best[i] + case when i = j then {STAY!r}::double else {MOVE!r}::double end)) + r.o[j])
+  from fwd f join r on r.grp = f.grp and r.rn = f.rn + 1),
+back as (select f.grp, f.rn, list_position(f.best, list_max(f.best)) as s from fwd f join r on r.grp = f.grp and r.rn = f.rn
+   where r.rn = r.n
+  union all select f.grp, f.rn, list_position(c.v, list_max(c.v)) from back b join fwd f on f.grp = b.grp and f.rn = b.rn - 1,
+   lateral (select list_transform(range(1, 6), lambda i: f.best[i] + case when i = b.s then {STAY!r}::double
+     else {MOVE!r}::double end) as v) c)
+select r.grp, r.t, (s - 1)::int as state from back join r on r.grp = back.grp and r.rn = back.rn""",
+)
 def viterbi_smooth(spark, sf):
     """Smoothed labels of every user's event stream under sticky transitions."""
     k = len(LABELS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanline.operators.joins import bounded_values, in_any_range
 from spanline.ordered import Layout, RunSum, scan
+from spanline.session import cut_lineage
 
 
 def label_index(
@@ -129,6 +130,7 @@ def viterbi_smooth(
     t: str = "t",
     scores_col: str = "scores",
     block: int = 20_000,
+    fan: int = 1_000,
     layout: Layout | None = None,
 ) -> DataFrame:
     """Most likely label path per timeline, from per-sample log scores.
@@ -137,13 +139,14 @@ def viterbi_smooth(
     cut into blocks of ``block`` samples, each block gives one small matrix from
     entry to exit state, the matrices of a timeline are chained to fix the state at
     every block border, and each block then traces its own path.  No task holds
-    more than a block of samples or the block matrices of one timeline.
+    more than a block of samples or a few thousand small matrices.
     ``trans`` and ``init`` are log probabilities; ties take the lowest state.
     """
     from spanline.operators.folds import timeline_fold
     from spanline.operators.intervals import chunk_sequences
 
     keys = list(keys)
+    layout = layout or Layout.inspect(scores, keys)
     k = len(init)
     trans = np.asarray(trans, dtype=float)
     init = np.asarray(init, dtype=float)
@@ -176,26 +179,44 @@ def viterbi_smooth(
     ddl = ", ".join([*key_ddl, "chunk bigint", "m array<double>"])
     blocks = timeline_fold(df, [*keys, "chunk"], [t], matrix, ddl)
 
+    def product(rows: list[dict]) -> list[dict]:
+        total = np.asarray(rows[0]["m"]).reshape(k, k)
+        for r in rows[1:]:
+            total = (total[:, :, None] + np.asarray(r["m"]).reshape(k, k)[None]).max(axis=1)
+        head = {c: rows[0][c] for c in keys}
+        return [dict(head, chunk=rows[0]["wide"], m=[float(x) for x in total.ravel()])]
+
     def chain(rows: list[dict]) -> list[dict]:
+        """Entry and exit state of each matrix; ends in ``leave`` of ``rows`` if they have it."""
+        fixed = "entry" in rows[0]
         mats = [np.asarray(r["m"]).reshape(k, k) for r in rows]
-        score = mats[0].max(axis=0)
-        entry_of = [mats[0].argmax(axis=0)]
+        first = mats[0][rows[0]["entry"]][None, :] if fixed else mats[0]
+        score, entry_of = first.max(axis=0), [first.argmax(axis=0)]
         for m in mats[1:]:
             cand = score[:, None] + m
             entry_of.append(cand.argmax(axis=0))
             score = cand.max(axis=0)
-        state = int(score.argmax())
+        state = rows[0]["leave"] if fixed else int(score.argmax())
         out = []
-        for row, entry in zip(reversed(rows), reversed(entry_of), strict=True):
-            before = int(entry[state])
-            out.append(
-                dict({c: row[c] for c in keys}, chunk=row["chunk"], entry=before, leave=state)
-            )
+        for n in range(len(rows) - 1, -1, -1):
+            before = rows[0]["entry"] if fixed and n == 0 else int(entry_of[n][state])
+            head = {c: rows[n][c] for c in keys}
+            out.append(dict(head, chunk=rows[n]["chunk"], entry=before, leave=state))
             state = before
         return out
 
-    ddl = ", ".join([*key_ddl, "chunk bigint", "entry int", "leave int"])
-    borders = timeline_fold(blocks, keys, ["chunk"], chain, ddl)
+    ends = ", ".join([*key_ddl, "chunk bigint", "entry int", "leave int"])
+    if layout.split:
+        # long timelines: multiply a thousand blocks at a time, chain the products,
+        # then fix the borders inside each product
+        blocks = cut_lineage(blocks.withColumn("wide", F.floor(F.col("chunk") / fan)))
+        wide = timeline_fold(blocks, [*keys, "wide"], ["chunk"], product, ddl)
+        outer = timeline_fold(wide, keys, ["chunk"], chain, ends)
+        outer = outer.withColumnRenamed("chunk", "wide")
+        inner = blocks.join(outer, [*keys, "wide"])
+        borders = timeline_fold(inner, [*keys, "wide"], ["chunk"], chain, ends)
+    else:
+        borders = timeline_fold(blocks, keys, ["chunk"], chain, ends)
 
     def trace(rows: list[dict]) -> list[dict]:
         entry, state = rows[0]["entry"], rows[0]["leave"]

@@ -171,20 +171,31 @@ def exclude_transition_zone(
     Edges are ``[b, b + guard)`` and ``[e - guard, e]``; the interior is
     ``[b + guard, e - guard)``.
     """
-    last_us = F.lit(1)
-    head = iv.select(*keys, "b", (F.col("b") + guard - last_us).alias("e"))
-    tail = iv.select(*keys, (F.col("e") - guard).alias("b"), "e")
-    edged = covered_until(points, head.unionByName(tail), keys, t, layout)
-    kept = edged.filter(
-        F.col("_until").isNull() | (F.col("_until") < F.col(t))
-    ).drop("_until")
-    inner = iv.select(
-        *keys, (F.col("b") + guard).alias("b"), (F.col("e") - guard - last_us).alias("e")
-    ).filter(F.col("e") >= F.col("b"))
-    flagged = covered_until(kept, inner, keys, t, layout)
-    return flagged.withColumn(
-        "inside", F.coalesce(F.col("_until") >= F.col(t), F.lit(False))
-    ).drop("_until")
+    g, tick = F.lit(guard), F.lit(1)
+    pieces = F.array(
+        F.struct(F.col("b").alias("b"), (F.col("b") + g - tick).alias("e"), F.lit(True).alias("edge")),
+        F.struct((F.col("e") - g).alias("b"), F.col("e").alias("e"), F.lit(True).alias("edge")),
+        F.struct(
+            (F.col("b") + g).alias("b"), (F.col("e") - g - tick).alias("e"), F.lit(False).alias("edge")
+        ),
+    )
+    zones = iv.select(*keys, F.explode(pieces).alias("_z")).select(*keys, "_z.b", "_z.e", "_z.edge")
+    looked = nearest_rows(
+        points,
+        zones.filter(F.col("e") >= F.col("b")),
+        keys,
+        t,
+        "b",
+        highest={
+            "_edge": lambda r: F.when(r["edge"], r["e"]),
+            "_inner": lambda r: F.when(~r["edge"], r["e"]),
+        },
+        layout=layout,
+    )
+    kept = looked.filter(F.col("_edge").isNull() | (F.col("_edge") < F.col(t)))
+    return kept.withColumn(
+        "inside", F.coalesce(F.col("_inner") >= F.col(t), F.lit(False))
+    ).drop("_edge", "_inner")
 
 
 def not_within(
@@ -432,6 +443,10 @@ def require_cause(
     return ruled.unionByName(free)
 
 
+def _reach_of(name: str):
+    return lambda row: F.when(row["name"] == name, row["e"])
+
+
 def eligibility_mask(
     scores: DataFrame,
     ranges: DataFrame,
@@ -444,16 +459,25 @@ def eligibility_mask(
     """Scores with an entry at minus infinity where no range of its rule covers ``t``.
 
     ``rules`` maps a score position to the range name (column ``name`` of
-    ``ranges``) that allows it.  One lookup per distinct name.
+    ``ranges``) that allows it.  One pass answers all names.
     """
-    masked = scores
-    for i, name in enumerate(sorted(set(rules.values()))):
-        own = ranges.filter(F.col("name") == name)
-        masked = covered_until(masked, own, keys, t, layout)
-        ok = F.coalesce(F.col("_until") >= F.col(t), F.lit(False))
-        masked = masked.withColumn(f"_ok{i}", ok).drop("_until")
-    col = F.col(scores_col)
     names = sorted(set(rules.values()))
+    looked = nearest_rows(
+        scores,
+        ranges.filter(F.col("name").isin(*names)).select(*keys, "name", "b", "e"),
+        keys,
+        t,
+        "b",
+        highest={f"_until{i}": _reach_of(name) for i, name in enumerate(names)},
+        layout=layout,
+    )
+    masked = looked.withColumns(
+        {
+            f"_ok{i}": F.coalesce(F.col(f"_until{i}") >= F.col(t), F.lit(False))
+            for i in range(len(names))
+        }
+    ).drop(*[f"_until{i}" for i in range(len(names))])
+    col = F.col(scores_col)
     blocked = F.array(
         *[
             F.when(~F.col(f"_ok{names.index(name)}"), F.lit(pos)).otherwise(F.lit(-1))

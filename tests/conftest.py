@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from spanline.session import MAX_GROUP_ROWS, local_session  # noqa: E402
+from spanline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,10 +16,3 @@ def spark():
     yield s
     s.stop()
 
-
-@pytest.fixture
-def split(spark):
-    """Every timeline over five rows takes the split plan."""
-    spark.conf.set(MAX_GROUP_ROWS, "5")
-    yield
-    spark.conf.unset(MAX_GROUP_ROWS)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from spanline.operators import derive, events, features, joins, segment
+from spanline.ordered import Layout
 
 K = ["g"]
 EVENT = "g int, first_hero string, first_side string, second_hero string, second_side string, b bigint, duration bigint, ord bigint"
@@ -211,8 +212,8 @@ def best_path(scores, trans, init):
     return path[::-1]
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_viterbi(spark, block):
+@pytest.mark.parametrize("block, split", [(1, False), (3, False), (1000, False), (1, True), (2, True)])
+def test_viterbi(spark, block, split):
     rng = np.random.default_rng(5)
     trans = np.log(rng.dirichlet(np.ones(3), 3))
     init = np.log(rng.dirichlet(np.ones(3)))
@@ -222,7 +223,10 @@ def test_viterbi(spark, block):
         data += [(g, i, [float(x) for x in s[i]]) for i in range(n)]
         want.update({(g, i): p for i, p in enumerate(best_path(s, trans, init))})
     df = spark.createDataFrame(data, "g int, t bigint, scores array<double>")
-    got = features.viterbi_smooth(df, trans, init, K, block=block).collect()
+    layout = Layout(split, 4)
+    got = features.viterbi_smooth(
+        df, trans, init, K, block=block, fan=4, layout=layout
+    ).collect()
     assert {(r.g, r.t): r.state for r in got} == want
 
 

@@ -33,7 +33,7 @@ def rows(df):
 
 def both(spark, make):
     plain = rows(make())
-    spark.conf.set(MAX_GROUP_ROWS, "5")
+    spark.conf.set(MAX_GROUP_ROWS, "40")
     try:
         split = rows(make())
     finally:

@@ -17,6 +17,9 @@ GRP = ["grp"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # the tables hold TIMESTAMP_NTZ in UTC; casts to TIMESTAMP follow the session zone
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

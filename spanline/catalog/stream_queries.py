@@ -16,6 +16,7 @@ from spanline.timeunits import micros
 
 
 def _events(spark, sf):
+    table(spark, sf, "events")  # sets the session zone
     return ops.read_events(spark, sf, glob="events.parquet").select(
         F.col("user_id").alias("grp"), "ts", F.col("event_type").alias("label"), "event_id"
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanline.operators.intervals import coalesce_intervals, run_length_encode
+from spanline.session import cut_lineage
 
 EVENT_SCHEMA = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -117,7 +118,8 @@ def stream_rle(
         new = run_length_encode(batch, keys, t, label, order).drop("n")
         if batch_id > 0:
             new = new.unionByName(spark.read.parquet(f"{state}/batch={batch_id - 1}"))
-        merged = coalesce_intervals(new, keys)
+        # used for state and output: computed once
+        merged = cut_lineage(coalesce_intervals(new, keys))
         open_b = merged.groupBy(*keys).agg(F.max("b").alias("_open"))
         marked = merged.join(open_b, keys)
         for path, keep in (

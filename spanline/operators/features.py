@@ -239,18 +239,20 @@ def score_batches(
     id_col: str,
     vector: str,
     base: str = "base",
+    max_model_bytes: int = 256 * 1024 * 1024,
 ) -> DataFrame:
     """Index of the best class per row, with the model of the row's mode or the base one.
 
     A model is a matrix of class weights (class x dimension); models travel with
     the task and rows are scored in Arrow batches.
     """
+    size = sum(np.asarray(w).nbytes for w in models.values())
+    if size > max_model_bytes:
+        raise ValueError(f"models of {size} bytes are too large to ship with every task")
     shared = df.sparkSession.sparkContext.broadcast(
         {m: np.asarray(w, dtype=float) for m, w in models.items()}
     )
     id_type = df.schema[id_col].dataType.simpleString()
-    arrow = pa.schema([(id_col, pa.int64()), ("best", pa.int32()), ("score", pa.float64())])
-
     def run(batches):
         weights = shared.value
         for batch in batches:
@@ -265,7 +267,8 @@ def score_batches(
                 s = x[own] @ weights.get(mode, weights[base]).T
                 best[own], score[own] = s.argmax(axis=1), s.max(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(best), pa.array(score)], schema=arrow
+                [batch.column(id_col), pa.array(best), pa.array(score)],
+                names=[id_col, "best", "score"],
             )
 
     return df.select(id_col, by, vector).mapInArrow(

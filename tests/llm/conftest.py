@@ -1,0 +1,15 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
+
+from spanline.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    yield local_session("4", 4)

@@ -38,11 +38,11 @@ with recursive w as (
   from w
 ), n as (
   select doc_id, count(*) n from s group by doc_id
-), both as (
+), common as (
   select a.doc_id a, b.doc_id b, count(*) i
   from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
 ), link as (
-  select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b
   where 100 * i >= 75 * (x.n + y.n - i)
 ), reach as (
   select doc_id, doc_id r from documents

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanline.llm.common import table
 
@@ -59,3 +60,55 @@ def op10(spark, sf_dir):
     from spanline.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_benchmark_decontamination",
+    rf"""
+with dw as (
+  select doc_id, coalesce(regexp_extract_all({LOWER_SQL},
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) ws from documents
+), bw as (
+  select item_id, regexp_extract_all({LOWER_SQL},
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark
+), sized as (
+  select item_id, ws, least(13, len(ws)) k from bw where len(ws) > 0
+), win as (
+  select distinct item_id, k, unnest(
+    list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) g
+  from sized
+), at as (
+  select doc_id, k, unnest(range(1, len(ws) - k + 2)) p,
+    unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) g
+  from dw, (select distinct k from sized) where len(ws) >= k
+), hit as (
+  select doc_id, item_id, p, at.k from at join win on at.k = win.k and at.g = win.g
+), places as (
+  select doc_id, count(distinct w) n_hit from (
+    select doc_id, unnest(range(p, p + k)) w from hit) group by doc_id
+), items as (
+  select doc_id, count(distinct item_id) n_items,
+    array_to_string(list_sort(list(distinct item_id::varchar)), ',') ids
+  from hit group by doc_id
+)
+select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit,
+  coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(n_hit > 0 and 20 * n_hit >= len(ws), false) contaminated
+from dw left join places using (doc_id) left join items using (doc_id)
+""",
+)
+def op7(spark, sf_dir):
+    from spanline.llm.decontaminate import find_matches, judged
+
+    found = judged(
+        find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    )
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )

@@ -77,12 +77,12 @@ with dw as (
   select distinct item_id, k, unnest(
     list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) g
   from sized
-), at as (
+), spots as (
   select doc_id, k, unnest(range(1, len(ws) - k + 2)) p,
     unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) g
   from dw, (select distinct k from sized) where len(ws) >= k
 ), hit as (
-  select doc_id, item_id, p, at.k from at join win on at.k = win.k and at.g = win.g
+  select doc_id, item_id, p, spots.k from spots join win on spots.k = win.k and spots.g = win.g
 ), places as (
   select doc_id, count(distinct w) n_hit from (
     select doc_id, unnest(range(p, p + k)) w from hit) group by doc_id

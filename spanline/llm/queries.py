@@ -112,3 +112,31 @@ def op7(spark, sf_dir):
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query(
+    "op4_line_dedup",
+    rf"""
+with line as (
+  select doc_id, unnest(range(len(ls))) pos, unnest(ls) line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents)
+), keyed as (
+  select doc_id, pos, line, {LOWER_SQL.replace("text", "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} k
+  from line
+), first as (
+  select k, min(doc_id) f from keyed where length(k) >= 10 group by k having count(distinct doc_id) > 1
+), judged as (
+  select doc_id, pos, line, coalesce(doc_id > f, false) dropped from keyed left join first using (k)
+)
+select doc_id, count(*) n_lines, count(*) filter (dropped) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) kept_sha256
+from judged group by doc_id
+""",
+)
+def op4(spark, sf_dir):
+    from spanline.llm.line_dedup import keep_bitmaps, with_kept_text
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_kept_text(docs, keep_bitmaps(docs)).select(
+        "doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )

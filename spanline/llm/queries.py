@@ -140,3 +140,11 @@ def op4(spark, sf_dir):
     return with_kept_text(docs, keep_bitmaps(docs)).select(
         "doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("op9_sharding")
+def op9(spark, sf_dir):
+    from spanline.llm.sharding import assign_shards
+
+    out = assign_shards(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc.doc_id", *[c for c in out.columns if c != "doc"])

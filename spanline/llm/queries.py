@@ -148,3 +148,53 @@ def op9(spark, sf_dir):
 
     out = assign_shards(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc.doc_id", *[c for c in out.columns if c != "doc"])
+
+
+def _mixing_sql() -> str:
+    """The bisection as a chain of tables: e for the entropy, f for the repetition."""
+    one = 64**5
+    parts = ["e0 as (select 0 lo), f0 as (select 0 lo)"]
+    for k in range(1, 6):
+        size = 64 ** (5 - k)
+        for name in "ef":
+            parts.append(f"""{name}g{k} as (
+  select g, (ln(sum(r)) - sum(r * ln(r)) / sum(r)) / ln(count(*)) ent, any_value(total) * max(r / t) / sum(r) rep
+  from (select lo + i * {size} g, t, total, pow(t / total, (lo + i * {size}) / {one}.0::double) r
+    from src, tot, {name}{k - 1}, (select unnest(range(65)) i))
+  where g <= {one} group by g)""")
+        parts.append(f"e{k} as (select max(g) lo from eg{k} where ent >= 0.97)")
+        back = f"min(g) - {size}" if size > 1 else "min(g)"
+        parts.append(f"""f{k} as (
+  select case when min(g) = any_value(lo) then any_value(lo) else {back} end lo
+  from fg{k}, f{k - 1} where rep <= 4)""")
+    return rf"""
+with w as (
+  select doc_id, source, text, 1 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) n
+  from documents group by all
+), src as (
+  select source, sum(n)::double t from w group by source
+), tot as (
+  select sum(t) total from src
+), {", ".join(parts)}, raised as (
+  select source, t, total, pow(t / total, greatest(e5.lo, f5.lo) / {one}.0::double) r from src, tot, e5, f5
+), plan as (
+  select source, t, round(r / (sum(r) over ()) * total)::bigint part, r / (sum(r) over ()) * 65536 quota from raised
+), drawn as (
+  select doc_id, source, n, part, quota, t, unnest(range(greatest(ceil(part / t)::bigint, 1))) epoch
+  from w join plan using (source)
+), placed as (
+  select *, md5('0|' || epoch || '|' || doc_id) k from drawn
+), ahead as (
+  select *, sum(n) over (partition by source, epoch order by k) - n + epoch * t pos from placed
+)
+select doc_id, source, n n_tokens, epoch, floor(pos / quota)::bigint as block,
+  row_number() over (partition by floor(pos / quota) order by k, source) - 1 slot
+from ahead where pos < part
+"""
+
+
+@query("op5_source_mixing", _mixing_sql())
+def op5(spark, sf_dir):
+    from spanline.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -198,3 +198,15 @@ def op5(spark, sf_dir):
     from spanline.llm.mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    from spanline.llm.language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = F.col("doc_id")
+    model = train(docs.filter(~held_out(out)))
+    return identify(docs, model, ["doc_id"]).select(
+        "doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score"
+    )

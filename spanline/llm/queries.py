@@ -210,3 +210,96 @@ def op8(spark, sf_dir):
     return identify(docs, model, ["doc_id"]).select(
         "doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query(
+    "op3_exact_top_k",
+    """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 10
+""",
+)
+def op3(spark, sf_dir):
+    from spanline.llm.topk import top_k, whole_vectors
+
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024.0)
+    return top_k(vectors.filter("id % 100 = 0"), vectors, 10)
+
+
+URL_HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '\.$', '')"
+
+
+@query(
+    "op1_url_filter",
+    rf"""
+with p as (
+  select page_id, url, {URL_HOST_SQL} host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) path,
+    date '2024-01-01' + (page_id * 7919 % 365)::int fetched
+  from pages
+), names as (
+  select distinct unnest([host, host || '/' || path]) k from p where host <> '' and path <> ''
+), drawn as (
+  select k, ('0x' || substr(md5(k), 1, 7))::bigint a, ('0x' || substr(md5(k), 8, 7))::bigint b from names
+), entry as (
+  select k, date '2024-01-01' + (a // 8 % 240)::int as day, 'add' as action from drawn where a % 8 < 3
+  union all
+  select k, date '2024-01-01' + (a // 8 % 240 + 10 + b % 90)::int, 'remove' from drawn where a % 8 < 2
+  union all
+  select k, date '2024-01-01' + (a // 8 % 240 + 60 + b % 150)::int, 'add' from drawn where a % 8 < 1
+), decided as (
+  select k, day, max(action) as action from entry group by k, day
+), span as (
+  select k, day b, coalesce(lead(day) over (partition by k order by day), date '9999-12-31') e, action from decided
+), keys as (
+  select distinct page_id, url, fetched, unnest(list_concat(
+    list_transform(range(1, greatest(len(string_split(host, '.')), 2)),
+      lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    case when path <> '' then [host || '/' || path] else [] end)) k
+  from p where host <> ''
+), hit as (
+  select page_id, url, fetched, max(struct_pack(n := length(k), k := k, b := b)) best
+  from keys join span using (k) where action = 'add' and b <= fetched and fetched < e
+  group by all
+)
+select p.page_id, p.url, p.fetched, best is not null blocked, best.k as rule, best.b as since
+from p left join hit using (page_id, url, fetched)
+""",
+)
+def op1(spark, sf_dir):
+    """Pages carry no fetch date and there is no list, so both are derived from the pages."""
+    from spanline.llm.url_filter import host, judge, path_start
+
+    url = F.col("url")
+    start = F.lit("2024-01-01").cast("date")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.date_add(start, F.expr("cast(page_id * 7919 % 365 as int)")).alias("fetched")
+    )
+    names = (
+        pages.select(host(url).alias("h"), path_start(url).alias("p"))
+        .filter("h is not null and p <> ''")
+        .select(F.explode(F.array("h", F.concat_ws("/", "h", "p"))).alias("key"))
+        .distinct()
+    )
+    part = lambda at: F.conv(F.substring(F.md5("key"), at, 7), 16, 10).cast("bigint")
+    drawn = names.select("key", part(1).alias("a"), part(8).alias("b"))
+    day = lambda days: F.date_add(start, F.expr(f"cast({days} as int)"))
+    plan = [
+        (3, "a div 8 % 240", "add"),
+        (2, "a div 8 % 240 + 10 + b % 90", "remove"),
+        (1, "a div 8 % 240 + 60 + b % 150", "add"),
+    ]
+    events = [
+        F.when(F.col("a") % 8 < below, F.struct(day(days).alias("day"), F.lit(action).alias("action")))
+        for below, days, action in plan
+    ]
+    entries = drawn.select("key", F.explode(F.array_compact(F.array(*events))).alias("e")).select("key", "e.day", "e.action")
+    return judge(pages, entries).select("capture.*", "blocked", "rule", "since")

@@ -303,3 +303,17 @@ def op1(spark, sf_dir):
     ]
     entries = drawn.select("key", F.explode(F.array_compact(F.array(*events))).alias("e")).select("key", "e.day", "e.action")
     return judge(pages, entries).select("capture.*", "blocked", "rule", "since")
+
+
+@query("op2_substring_dedup")
+def op2(spark, sf_dir):
+    from spanline.llm.substring_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op6_quality_classifier")
+def op6(spark, sf_dir):
+    from spanline.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc.doc_id", "posterior", "score", "kept")

@@ -166,4 +166,4 @@ def judged(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return judged(find_matches(docs, benchmark, window)).filter("not contaminated").select("doc.*")
+    return judged(find_matches(docs, benchmark, window=window)).filter("not contaminated").select("doc.*")

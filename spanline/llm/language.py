@@ -154,7 +154,7 @@ class Model:
     def __init__(self, rows: list[tuple[str, bytes]]):
         rows = sorted(rows)
         self.langs = [lang for lang, _ in rows]
-        packed = np.array([np.frombuffer(p, np.float32) for _, p in rows]).reshape(len(rows), -1)
+        packed = np.array([np.frombuffer(p, np.float32) for _, p in rows]).reshape(len(rows), BUCKETS + len(NAMES))
         self.scores = np.ascontiguousarray(packed[:, :BUCKETS].T)
         letters = packed[:, BUCKETS:]
         self.writes = (letters >= 0.01 * np.maximum(letters.sum(1, keepdims=True), 1)).T
@@ -166,8 +166,9 @@ class Model:
         sums = np.add.reduceat(self.scores[words.trigram], words.edges, axis=0)
         may = self.writes[words.script]
         known = may.any(1)
-        sums = np.where(may, sums, -np.inf)
-        sums = np.where(known[:, None], np.maximum(sums - sums.max(1, keepdims=True), -50.0), 0.0)
+        top = np.where(may, sums, -np.inf).max(1, keepdims=True, where=may | ~known[:, None], initial=-1e30)
+        sums = np.where(may, np.maximum(sums - top, -50.0), -50.0)
+        sums[~known] = 0.0
         return sums.astype(np.float32), known
 
 
@@ -242,7 +243,7 @@ class _Labels:
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of ``labelled (doc_id, text, lang)``, from about ``per_language`` rows a language at most."""
-    rows = labelled.filter("text is not null and lang is not null")
+    rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     part = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_part"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(part, "lang").filter(draw < F.col("_part")).select("lang", "text")

@@ -5,8 +5,8 @@ can be given as hubs of two).  Linked documents start round robin.  In each roun
 
 1. the number of each hub's members per shard is counted, combined before the shuffle;
 2. each document looks at the shards of its hubs that rank above its own by members
-   (ties by a hash of hub and shard), and proposes to move to the first one with room, or
-   to the top one where none has;
+   (ties by a hash of hub and shard), and proposes to move to one of those with room, drawn
+   by how much room, or to the top one where none has;
 3. quotas bound the moves: between two shards as many go each way as come back, and what
    is left over shares the target's free places.  Proposals are taken in the order of
    their hubs, so that members move together.
@@ -30,35 +30,50 @@ from spanline.llm.common import Shared, running_total
 
 BUCKETS = 1024
 ROUNDS = 8
+SLACK = 16
 
 
 def _bucket(c: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), c), F.lit(BUCKETS))
 
 
+def _by_hub(hub: str, salt: int) -> Column:
+    """Buckets that keep small hubs together; a large hub still takes 16."""
+    return _bucket(F.col(hub), salt) * 16 + F.pmod(F.xxhash64("row"), F.lit(16))
+
+
 def _one() -> Column:
     return F.lit(1).cast("bigint")
 
 
-def _proposals(members: DataFrame, labels: DataFrame, room: DataFrame) -> DataFrame:
+def _proposals(members: DataFrame, labels: DataFrame, room: DataFrame, step: int) -> DataFrame:
     """``(row, source, target, order)`` of documents that would rather be elsewhere."""
     placed = members.join(labels, "row")
     cells = placed.groupBy("hub", "shard").agg(F.count(_one()).alias("n"))
     # one row per shard at most in a hub's window
     rank = Window.partitionBy("hub").orderBy(F.col("n").desc(), F.xxhash64("hub", "shard"), "shard")
-    free = cells.join(F.broadcast(room), "shard").withColumn("_rank", F.row_number().over(rank))
+    free = cells.join(F.broadcast(room), "shard")
     ahead = rank.rowsBetween(Window.unboundedPreceding, -1)
-    first_free = F.min(F.when(F.col("free") > 0, F.struct("_rank", "shard", "n")))
-    top = F.min(F.struct("_rank", "shard", "n"))
+    top = F.first(F.struct("shard", "n"))
+    options = F.collect_list(F.when(F.col("free") > 0, F.struct("free", "shard", "n")))
     better = free.select(
         F.col("hub").alias("_hub"),
         F.col("shard").alias("source"),
-        F.coalesce(first_free.over(ahead), top.over(ahead)).alias("_better"),
-        "n",
-    ).filter("_better is not null")
+        options.over(ahead).alias("_options"),
+        top.over(ahead).alias("_top"),
+    ).filter("_top is not null")
     # (hub, shard) cells, so a hub's members split over its shards; then one proposal per document
-    wish = placed.join(better, (F.col("hub") == F.col("_hub")) & (F.col("shard") == F.col("source"))).select(
-        "row", "hub", "source", F.col("_better.shard").alias("target"), F.col("_better.n").alias("gain")
+    drawn = F.expr(
+        """aggregate(_options, named_struct('left', _draw, 'found', cast(null as struct<shard: int, n: bigint>)),
+             (a, x) -> named_struct('left', a.left - x.free, 'found',
+               if(a.found is null and a.left < x.free, named_struct('shard', x.shard, 'n', x.n), a.found))).found"""
+    )
+    wish = (
+        placed.join(better, (F.col("hub") == F.col("_hub")) & (F.col("shard") == F.col("source")))
+        .withColumn("_room", F.expr("aggregate(_options, 0L, (s, x) -> s + x.free)"))
+        .withColumn("_draw", F.when(F.col("_room") > 0, F.pmod(F.xxhash64("row", F.lit(step)), "_room")))
+        .withColumn("_better", F.coalesce(drawn, "_top"))
+        .select("row", "hub", "source", F.col("_better.shard").alias("target"), F.col("_better.n").alias("gain"))
     )
     best = F.max_by(F.struct("target", "hub"), F.struct("gain", F.xxhash64("hub", "target")))
     return (
@@ -86,10 +101,8 @@ def _accepted(proposals: DataFrame, room: DataFrame) -> DataFrame:
             + F.when(F.col("_total") > 0, F.least(over, F.expr("free * (n - swap) div _total"))).otherwise(0)
         ).alias("quota"),
     )
-    # by hub first; a large hub still takes 16 buckets
-    spread = _bucket(F.col("order"), 1) * 16 + F.pmod(F.xxhash64("row"), F.lit(16))
     ranked = running_total(
-        proposals, ["source", "target"], spread, ["order", "row"], _one(), "rank"
+        proposals, ["source", "target"], _by_hub("order", 1), ["order", "row"], _one(), "rank"
     )
     return ranked.join(
         F.broadcast(quota), (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_t"))
@@ -104,14 +117,13 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared,
     spark = rows.sparkSession
     n = rows.count()
     least, more = divmod(n, shards)
-    capacity = spark.range(shards).select(
-        F.col("id").cast("int").alias("shard"), F.when(F.col("id") < more, least + 1).otherwise(least).alias("capacity")
-    )
+    size = F.when(F.col("id") < more, least + 1).otherwise(least)
+    capacity = spark.range(shards).select(F.col("id").cast("int").alias("shard"), size.alias("capacity"))
 
-    def room(labels: DataFrame) -> DataFrame:
+    def room(labels: DataFrame, slack: int = 0) -> DataFrame:
         load = labels.groupBy("shard").agg(F.count(_one()).alias("_load"))
         return capacity.join(load, "shard", "left").select(
-            "shard", (F.col("capacity") - F.coalesce("_load", F.lit(0))).alias("free")
+            "shard", (F.col("capacity") + slack - F.coalesce("_load", F.lit(0))).alias("free")
         )
 
     linked = members.select("row").distinct()
@@ -121,8 +133,8 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared,
     )
     step = 0
     for step in range(1, rounds + 1):
-        here = room(labels)
-        wanted = shared.keep(_proposals(members, labels, here), f"proposals-{step}")
+        here = room(labels, least // SLACK)
+        wanted = shared.keep(_proposals(members, labels, here, step), f"proposals-{step}")
         moves = shared.keep(_accepted(wanted, here), f"moves-{step}")
         moved = labels.join(moves, "row", "left").select("row", F.coalesce("target", "shard").alias("shard"))
         labels = shared.keep(moved, f"labels-{step}")
@@ -131,14 +143,26 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared,
         if not some:
             break
 
-    fillers = running_total(
+    # what is over a shard's size goes to the free places first, hub by hub
+    hubs = members.groupBy("row").agg(F.min("hub").alias("hub"))
+    ranked = shared.keep(
+        running_total(labels.join(hubs, "row"), ["shard"], _by_hub("hub", 5), ["hub", "row"], _one(), "rank").join(
+            F.broadcast(capacity), "shard"
+        ),
+        "ranked",
+    )
+    inside, over = ranked.filter("rank < capacity").select("row", "shard"), ranked.filter("rank >= capacity")
+    n_over = over.count()
+    first = running_total(over.select("row", "hub"), [], _by_hub("hub", 6), ["hub", "row"], _one(), "place")
+    rest = running_total(
         rows.select("row").join(linked, "row", "left_anti"), [], _bucket(F.col("row"), 3), ["row"], _one(), "place"
     )
+    fillers = first.select("row", "place").union(rest.select("row", F.col("place") + n_over))
     # one number per shard: the free places up to it
-    free = {r["shard"]: r["free"] for r in room(labels).collect()}
+    free = {r["shard"]: r["free"] for r in room(inside).collect()}
     upto = list(accumulate(free[k] for k in range(shards)))
     shard = F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= F.col("place")))
-    placed = shared.keep(labels.unionByName(fillers.select("row", shard.alias("shard"))), "placed")
+    placed = shared.keep(inside.unionByName(fillers.select("row", shard.alias("shard"))), "placed")
     return running_total(placed, ["shard"], _bucket(F.col("row"), 4), ["row"], _one(), "slot")
 
 

@@ -156,7 +156,7 @@ select o_orderkey, team1, team2, result,
   case when player1 in (from n) then 'unknown_player' else player1 end as player1,
   case when player2 in (from n) then 'unknown_player' else player2 end as player2,
   version, round(date_diff('day', begin, d)::double / date_diff('day', begin, z), 6) as progress
-from f left join versions on d >= begin and d < z""",
+from f left join versions on d >= begin and (d < z or z is null)""",
 )
 def match_table(spark, sf):
     from spanline.operators.segment import version_intervals
@@ -175,7 +175,7 @@ def match_table(spark, sf):
         tag("p", c % 211).alias("player1"), tag("p", k % 307).alias("player2"),
     )
     starts = o.select(F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("begin")).distinct()
-    versions = version_intervals(starts, "begin").filter(F.col("end").isNotNull()).withColumn(
+    versions = version_intervals(starts, "begin").withColumn(
         "version", F.date_format("begin", "yyyy-MM-dd")
     )
     out = matches.match_table(
@@ -187,18 +187,23 @@ def match_table(spark, sf):
     )
 
 
+#: Every value of ``p_brand``.
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+
+
 @query(
     "pick_table",
     """with p as (select l_suppkey as player, l_returnflag as map, p_brand as hero, sum(l_quantity) as qty
    from lineitem join part on l_partkey = p_partkey group by 1, 2, 3),
 s as (select player, map, hero, qty / sum(qty) over (partition by player, map) as share from p)
-select player, map, round(coalesce(sum(share) filter (hero = 'Brand#1'), 0), 6)::double as "Brand#1",
-  round(coalesce(sum(share) filter (hero = 'Brand#2'), 0), 6)::double as "Brand#2" from s group by 1, 2""",
+select player, map, """
+    + ", ".join(f"round(coalesce(sum(share) filter (hero = '{b}'), 0), 6)::double as \"{b}\"" for b in BRANDS)
+    + " from s group by 1, 2",
 )
 def pick_table(spark, sf):
     rows = pick_rows(spark, sf).withColumnRenamed("qty", "time")
-    wide = matches.pick_table(rows, ["Brand#1", "Brand#2"])
+    wide = matches.pick_table(rows, BRANDS)
     return wide.select(
-        "player", "map", *[F.round(F.col(f"`{b}`"), 6).alias(b) for b in ("Brand#1", "Brand#2")]
+        "player", "map", *[F.round(F.col(f"`{b}`"), 6).alias(b) for b in BRANDS]
     )
 

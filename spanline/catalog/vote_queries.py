@@ -179,7 +179,7 @@ def seqs(spark, sf):
     """Roles of a conversation in turn order."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     lay = layout_for(spark, sf, "conversations", "conv_id")
-    return ops.ordered_arrays(turns, ["conv_id"], ["turn"], "role", "seq", lay)
+    return ops.ordered_arrays(turns, ["conv_id"], ["turn"], "role", "seq", lay).drop("part")
 
 
 @query(
@@ -292,12 +292,15 @@ def earliest_latest(spark, sf):
     return ops.earliest_latest(iv(spark, sf), GRP, "purchase")
 
 
+#: Every value of ``p_type``.
+PART_TYPES = ["ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE"]
+
+
 @query(
     "ag20_pivot_wide",
-    """select l_suppkey as player, round(sum(case when p_type = 'ECONOMY' then l_quantity else 0 end), 2) as "ECONOMY",
-  round(sum(case when p_type = 'STANDARD' then l_quantity else 0 end), 2) as "STANDARD",
-  round(sum(case when p_type = 'PROMO' then l_quantity else 0 end), 2) as "PROMO"
-from lineitem join part on l_partkey = p_partkey group by 1""",
+    "select l_suppkey as player, "
+    + ", ".join(f"round(sum(case when p_type = '{t}' then l_quantity else 0 end), 2) as \"{t}\"" for t in PART_TYPES)
+    + " from lineitem join part on l_partkey = p_partkey group by 1",
 )
 def pivot_wide(spark, sf):
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
@@ -306,9 +309,8 @@ def pivot_wide(spark, sf):
         F.col("l_suppkey").alias("player"), F.col("p_type").alias("hero"),
         F.col("l_quantity").alias("qty"),
     )
-    heroes = ["ECONOMY", "STANDARD", "PROMO"]
-    wide = ops.pivot_wide(rows, ["player"], "hero", "qty", heroes)
-    return wide.withColumns({h: F.round(h, 2) for h in heroes})
+    wide = ops.pivot_wide(rows, ["player"], "hero", "qty", PART_TYPES)
+    return wide.withColumns({h: F.round(h, 2) for h in PART_TYPES})
 
 
 @query(

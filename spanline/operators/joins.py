@@ -93,16 +93,10 @@ def asof_forward(
     """Status of the first interval ending strictly after ``t``; past the end, of the last."""
     table = iv.select(*keys, "b", "e", F.col("status").alias("_s"))
     hit = nearest_rows(
-        points, table, keys, t, "e", after="_iv", tie="b", layout=layout
-    )
-    last = iv.groupBy(*keys).agg(
-        F.max_by("status", F.struct("b", "e")).alias("_last")
-    )
-    return (
-        hit.join(last, list(keys), "left")
-        .withColumn(out, F.coalesce(F.col("_iv._s"), F.col("_last")))
-        .drop("_iv", "_last")
+        points, table, keys, t, "e", before="_prev", after="_iv", tie="b", layout=layout
     )
+    # past the last end, the row before is the last
+    return hit.withColumn(out, F.coalesce("_iv", "_prev")["_s"]).drop("_iv", "_prev")
 
 
 def interval_lookup_default(
@@ -115,15 +109,16 @@ def interval_lookup_default(
     layout: Layout | None = None,
 ) -> DataFrame:
     """Status in ``[b, e)``; elsewhere ``default``, or the group's last status if None."""
-    hit = state_at(points, iv, keys, t, "left", "_hit", layout)
     if default is not None:
+        hit = state_at(points, iv, keys, t, "left", "_hit", layout)
         return hit.withColumn(out, F.coalesce("_hit", F.lit(default))).drop("_hit")
-    last = iv.groupBy(*keys).agg(F.max_by("status", F.struct("b", "e")).alias("_last"))
-    return (
-        hit.join(last, list(keys), "left")
-        .withColumn(out, F.coalesce("_hit", "_last"))
-        .drop("_hit", "_last")
+    table = iv.select(*keys, "b", "e", F.col("status").alias("_s"))
+    hit = nearest_rows(
+        points, table, keys, t, "e", after="_iv", tie="b",
+        whole={"_last": lambda r: F.struct(r["b"], r["e"], r["_s"].alias("_s"))}, layout=layout,
     )
+    inside = F.when(F.col("_iv.b") <= F.col(t), F.col("_iv._s"))
+    return hit.withColumn(out, F.coalesce(inside, F.col("_last._s"))).drop("_iv", "_last")
 
 
 def label_grid(
@@ -314,32 +309,23 @@ def valid_at(
 ) -> DataFrame:
     """Version valid on a date (``begin <= date < end``) and the share of it elapsed.
 
-    Both sides are cut into calendar months, so this is an equi-join on the month
-    with the exact test on top; a date outside all versions keeps NULLs.
+    Versions follow each other; one without end is open (its share is NULL), one of no
+    length is void.  The lookup is made for each distinct day, of which there are few
+    however many rows there are; a date outside all versions keeps NULLs.
     """
-    months = versions.select(
-        name,
-        F.col("begin").alias("_vb"),
-        F.col("end").alias("_ve"),
-        F.explode(
-            F.sequence(
-                F.trunc("begin", "month"),
-                F.trunc(F.date_sub(F.col("end"), 1), "month"),
-                F.expr("interval 1 month"),
-            )
-        ).alias("_month"),
-    )
-    d = F.col(date).cast("date")
-    on = (
-        (F.trunc(d, "month") == F.col("_month"))
-        & (d >= F.col("_vb"))
-        & (d < F.col("_ve"))
-    )
-    progress = F.datediff(d, F.col("_vb")) / F.datediff(F.col("_ve"), F.col("_vb"))
+    day = F.col(date).cast("date")
+    days = df.select(day.alias("_day")).filter("_day is not null").distinct()
+    live = versions.filter(F.col("end").isNull() | (F.col("begin") < F.col("end"))).select(
+        name, F.col("begin").cast("date").alias("_vb"), F.col("end").cast("date").alias("_ve")
+    )
+    found = nearest_rows(days, live, [], "_day", "_vb", before="_v", layout=Layout(False))
+    open_still = F.col("_v._ve").isNull() | (F.col("_day") < F.col("_v._ve"))
+    hit = found.select("_day", F.when(open_still, F.col("_v")).alias("_v"))
+    progress = F.datediff("_day", F.col("_v._vb")) / F.datediff(F.col("_v._ve"), F.col("_v._vb"))
     return (
-        df.join(months, on, "left")
-        .withColumn("progress", progress)
-        .drop("_vb", "_ve", "_month")
+        df.join(hit, day == F.col("_day"), "left")
+        .withColumns({name: F.col("_v")[name], "progress": progress})
+        .drop("_day", "_v")
     )
 
 

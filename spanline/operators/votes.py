@@ -247,20 +247,15 @@ def nest_rounds(
 ) -> DataFrame:
     """Rounds into one document row per key, an ordered array of structs.
 
-    A key too big for one array becomes several documents, numbered by ``part``,
-    of at most ``part_rows`` consecutive rounds each; otherwise ``part`` is 0.
+    Every key has documents of ``part_rows`` consecutive rounds, numbered by ``part``
+    from 0; where a round belongs depends on its place in the key alone.
     """
     from spanline.operators.intervals import chunk_sequences
 
-    layout = layout or Layout.inspect(rounds, keys)
     item = F.struct(*order, *[f for f in fields if f not in order])
-    if layout.split:
-        rounds = chunk_sequences(rounds, keys, order, part_rows, layout)
-        part = F.col("chunk")
-    else:
-        part = F.lit(0).cast("bigint")
     return (
-        rounds.withColumn("part", part)
+        chunk_sequences(rounds, keys, order, part_rows, layout)
+        .withColumn("part", F.col("chunk"))
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(item)).alias(out))
     )
@@ -273,16 +268,22 @@ def ordered_arrays(
     value: str,
     out: str,
     layout: Layout | None = None,
+    part_rows: int = 100_000,
 ) -> DataFrame:
-    """One array of values per key, in order: a label sequence.
+    """Arrays of values per key, in order: a label sequence.
 
-    Sequences are single samples; a key over the row limit is refused, not cut.
+    A sequence of more than ``part_rows`` values goes on in further rows, numbered by
+    ``part`` from 0.
     """
-    layout = layout or Layout.inspect(df, keys)
-    if layout.split:
-        raise ValueError(f"a sequence keyed by {list(keys)} exceeds the group limit")
+    from spanline.operators.intervals import chunk_sequences
+
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    return df.groupBy(*keys).agg(F.transform(items, lambda x: x["_v"]).alias(out))
+    return (
+        chunk_sequences(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, part_rows, layout)
+        .withColumn("part", F.col("chunk"))
+        .groupBy(*keys, "part")
+        .agg(F.transform(items, lambda x: x["_v"]).alias(out))
+    )
 
 
 def distinct_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -156,6 +156,24 @@ class RunMax(RunSum):
         return F.greatest(F.col(f"{name}__c"), F.col(name))
 
 
+class GroupMax(Step):
+    """Maximum over all rows of the group."""
+
+    def whole(self, fwd, back):
+        return F.greatest(F.max(self.expr).over(_upto(fwd)), F.max(self.expr).over(_upto(back)))
+
+    def edge(self, name):
+        return {f"{name}__t": F.max(F.col(name))}
+
+    def carry(self, name, w):
+        return F.max(f"{name}__t").over(
+            w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+
+    def merged(self, name):
+        return F.col(f"{name}__c")
+
+
 class MaxBefore(Step):
     """Maximum over all rows before this one."""
 
@@ -306,6 +324,7 @@ def nearest_rows(
     before: str | None = None,
     after: str | None = None,
     highest: Mapping[str, Callable[[Column], Column]] | None = None,
+    whole: Mapping[str, Callable[[Column], Column]] | None = None,
     tie: str | None = None,
     layout: Layout | None = None,
 ) -> DataFrame:
@@ -313,7 +332,8 @@ def nearest_rows(
 
     ``before`` names a struct column with the last table row ahead of ``t``,
     ``after`` one with the first table row behind it, ``highest`` running
-    maxima, given as ``name -> function of the table row``.  With ``table_first`` a table row exactly
+    maxima, given as ``name -> function of the table row``, ``whole`` maxima over the whole
+    group.  With ``table_first`` a table row exactly
     at ``t`` counts as before it (``<= t`` and ``> t``), else as after it (``< t``
     and ``>= t``).  ``tie`` orders table rows that share a time.
     """
@@ -340,6 +360,8 @@ def nearest_rows(
         steps["_after"] = NextValue("_row")
     for name, of_row in (highest or {}).items():
         steps[name] = RunMax(of_row(F.col("_row")))
+    for name, of_row in (whole or {}).items():
+        steps[name] = GroupMax(F.when(F.col("_row").isNotNull(), of_row(F.col("_row"))))
     rows = left.unionByName(right, allowMissingColumns=True)
     done = scan(rows, keys, ["_at", "_tag", "_tie"], steps, layout)
     extra = []
@@ -347,6 +369,6 @@ def nearest_rows(
         extra.append(F.col("_before").alias(before))
     if after:
         extra.append(F.col("_after").alias(after))
-    extra.extend(F.col(name) for name in highest or {})
+    extra.extend(F.col(name) for name in [*(highest or {}), *(whole or {})])
     fields = [F.col("_pt")[c].alias(c) for c in points.columns if c not in keys]
     return done.filter(F.col("_pt").isNotNull()).select(*keys, *fields, *extra)

@@ -76,23 +76,17 @@ def pack_states(
 ) -> DataFrame:
     """The inverse: ``(keys, side, slot, attr, b, e, status)`` to one nested document per key.
 
-    A key with too many intervals for one document gives several, numbered by
-    ``part``; together they hold every interval once and in order.
+    Timelines are cut after ``part_rows`` intervals each; equal ``part`` numbers (from 0)
+    of a key's timelines meet in one document.  Together the documents hold every
+    interval once and in order.
     """
     from spanline.operators.intervals import chunk_sequences
-    from spanline.ordered import Layout
 
     timeline = [*keys, "side", "slot", "attr"]
-    layout = Layout.inspect(iv, keys)
-    if layout.split:
-        # equal part numbers of a key's timelines meet in one document
-        iv = chunk_sequences(iv, timeline, ["b", "e"], part_rows, layout)
-        part = F.col("chunk")
-    else:
-        part = F.lit(0).cast("bigint")
+    iv = chunk_sequences(iv, timeline, ["b", "e"], part_rows)
     item = F.struct((F.col("b") / 1e6).alias("begin"), (F.col("e") / 1e6).alias("end"), "status")
     doc = (
-        iv.withColumn("part", part)
+        iv.withColumn("part", F.col("chunk"))
         .groupBy("part", *timeline)
         .agg(F.array_sort(F.collect_list(item)).alias("l"))
     )

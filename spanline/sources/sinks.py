@@ -73,6 +73,9 @@ def publish(
     df.select(doc).foreachPartition(run)
 
 
+OTHER = "_other_types"
+
+
 def route_events(
     df: DataFrame,
     type_col: str,
@@ -81,11 +84,17 @@ def route_events(
     pause_path: str,
     pause_mark: str = "PAUSE",
 ) -> None:
-    """One log into a table per type with the columns of that type; pauses go elsewhere."""
+    """One log into a table per type with the columns of that type; pauses go elsewhere.
+
+    Types that have no columns named, and rows without a type, go whole into ``OTHER``.
+    The log is read once for each table: their columns differ.
+    """
     for kind, cols in columns.items():
         df.filter(F.col(type_col) == kind).select(*cols).write.mode("overwrite").parquet(
             f"{path}/{kind}"
         )
+    named = F.col(type_col).isin(*columns) | F.col(type_col).contains(pause_mark)
+    df.filter(~F.coalesce(named, F.lit(False))).write.mode("overwrite").parquet(f"{path}/{OTHER}")
     df.filter(F.col(type_col).contains(pause_mark)).write.mode("overwrite").parquet(pause_path)
 
 

@@ -7,12 +7,12 @@ them to :func:`scan`.  There are two plans for the same result:
 * when a count shows that the largest timeline fits one task, the steps are
   plain window functions over ``PARTITION BY keys ORDER BY order``; successive
   scans share one exchange and one sort;
-* otherwise the rows are range-partitioned on ``(keys, order)``, so a timeline
-  holding a third of all rows is spread over many pieces.  Steps run inside the
-  pieces, one edge row per piece is carried across pieces, and the carry is
-  joined back.  Piece numbers are frozen by a reliable checkpoint before they
-  are used twice, so a lost executor cannot change them; scans that follow each
-  other share the pieces.
+* otherwise the timelines over the limit, and only those, are range-partitioned on
+  ``(keys, order)``, so that one holding a third of all rows is spread over many
+  pieces.  Steps run inside the pieces, one edge row per piece is carried across
+  pieces, and the carry is joined back.  Piece numbers are frozen by a reliable
+  checkpoint before they are used twice, so a lost executor cannot change them; scans
+  that follow each other share the pieces.  All other timelines take the first plan.
 
 Nothing is dropped, capped or sampled in either plan.
 """
@@ -22,12 +22,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spanline.session import cut_lineage, max_group_rows
 
+MAX_HOT_KEYS = 100_000
 _PIECE = "_piece"
 _FIRST = "_piece_first"
 _LAST = "_piece_last"
@@ -39,6 +42,8 @@ class Layout:
 
     split: bool
     pieces: int = 1
+    keys: tuple[str, ...] = ()
+    hot: DataFrame | None = None  # keys of the timelines over the limit
 
     @staticmethod
     def inspect(df: DataFrame, keys: Sequence[str]) -> "Layout":
@@ -55,12 +60,19 @@ class Layout:
     @staticmethod
     def of_sizes(sizes: DataFrame) -> "Layout":
         """Decide from a table with one row per group and its row count ``n``."""
-        limit = max_group_rows(sizes.sparkSession)
-        row = sizes.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-        top, total = row["top"] or 0, row["total"] or 0
-        if top <= limit:
+        spark = sizes.sparkSession
+        limit = max_group_rows(spark)
+        over = F.when(F.col("n") > limit, F.col("n"))
+        row = sizes.agg(F.count(over).alias("groups"), F.sum(over).alias("rows")).first()
+        if not row["groups"]:
             return Layout(False)
-        return Layout(True, max(2, math.ceil(2 * total / limit)))
+        # pieces of the hot rows alone, a few for each core at most
+        pieces = min(math.ceil(2 * row["rows"] / limit), 8 * spark.sparkContext.defaultParallelism)
+        keys = tuple(c for c in sizes.columns if c != "n")
+        # beyond that many, all timelines go through pieces
+        named = keys and row["groups"] <= MAX_HOT_KEYS
+        hot = cut_lineage(sizes.filter(F.col("n") > limit).select(*keys)) if named else None
+        return Layout(True, max(2, pieces), keys, hot)
 
 
 class Step:
@@ -264,10 +276,27 @@ def scan(
     keys, order = list(keys), list(order)
     layout = layout or Layout.inspect(df, keys)
     if not layout.split:
-        fwd = Window.partitionBy(*keys).orderBy(*order)
-        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        return df.withColumns({n: s.whole(fwd, back) for n, s in steps.items()})
-    return _scan_split(df, keys, order, steps, layout, more)
+        return _scan_plain(df, keys, order, steps)
+    if _PIECE in df.columns:
+        hot = df.filter(F.col(_PIECE).isNotNull())
+        rest = df.filter(F.col(_PIECE).isNull())
+    elif layout.hot is not None and set(layout.keys) == set(keys):
+        marks = F.broadcast(layout.hot.select(*[F.col(k).alias(f"{k}__h") for k in keys]))
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}__h")) for k in keys])
+        hot = df.join(marks, on, "left_semi")
+        rest = df.join(marks, on, "left_anti").withColumn(_PIECE, F.lit(None).cast("int"))
+    else:  # counted on other keys
+        return _scan_split(df, keys, order, steps, layout, more)
+    done = _scan_plain(rest, keys, order, steps)
+    return _scan_split(hot, keys, order, steps, layout, more).unionByName(
+        done if more else done.drop(_PIECE)
+    )
+
+
+def _scan_plain(df, keys, order, steps):
+    fwd = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumns({n: s.whole(fwd, back) for n, s in steps.items()})
 
 
 def _scan_split(df, keys, order, steps, layout, more):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,12 +236,11 @@ def suppress_repeats(
         *keys, "_episode", "gained", "used", "ended", "_special", "_was_alive", "_has_used_hero",
     ]
 
-    def fold(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
+        last: dict | None = None
         for r in rows:
             gained, used, ended = r["gained"], r["used"], r["ended"]
-            if kept and r["_special"]:
-                last = kept[-1]
+            if last and r["_special"]:
                 if used is not None and used - gained < quick and not r["_was_alive"]:
                     continue
                 if last["ended"] is not None and gained - quick < last["ended"]:
@@ -254,13 +253,16 @@ def suppress_repeats(
                 ):
                     last.update(used=used, ended=ended)
                     continue
-            kept.append(dict(r))
-        return kept
+            if last:
+                yield last
+            last = dict(r)
+        if last:
+            yield last
 
     schema = ", ".join(
         [f"{c} {ults.schema[c].dataType.simpleString()}" for c in [*keys, "gained", "used", "ended"]]
     )
-    return timeline_fold(df.select(*needed), [*keys, "_episode"], order, fold, schema)
+    return timeline_fold(df.select(*needed), [*keys, "_episode"], order, fold, schema, F.lit(True))
 
 
 def effects(

@@ -7,7 +7,7 @@ an unknown entity is NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,9 +219,14 @@ def merge_similar(
     end = F.col("b") + F.greatest(F.col("duration"), F.lit(cap)) + gap
     cut = episodes(loose, by, ["b", "duration", "ord"], "b", end, layout)
 
-    def fold(rows: list[dict]) -> list[dict]:
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
         kept: list[dict] = []
         for row in rows:
+            # one that ends too early for this row is out of reach of all later ones
+            gone = [o for o in kept if row["b"] > o["b"] + max(o["duration"], cap) + gap]
+            if gone:
+                yield from gone
+                kept = [o for o in kept if row["b"] <= o["b"] + max(o["duration"], cap) + gap]
             for other in kept:
                 stop = other["b"] + other["duration"]
                 if not _close(row, other):
@@ -242,11 +247,13 @@ def merge_similar(
                     break
             else:
                 kept.append(dict(row))
-        return kept
+        yield from kept
 
     columns = [*keys, *data]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-    return timeline_fold(cut, [*by, "_episode"], ["b", "duration", "ord"], fold, schema)
+    return timeline_fold(
+        cut, [*by, "_episode"], ["b", "duration", "ord"], fold, schema, F.lit(True)
+    )
 
 
 def merge_npc(
@@ -269,11 +276,15 @@ def merge_npc(
     by = [*keys, *_LOOSE]
     cut = episodes(loose, by, ["b", "ord"], "b", F.col("b") + span, layout)
 
-    def fold(rows: list[dict]) -> list[dict]:
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
         kept: list[dict] = []
-        seen: set[int] = set()
+        newest = None
         for row in rows:
             stop = row["b"] + row["duration"]
+            gone = [o for o in kept if row["b"] > o["b"] + span]
+            if gone:
+                yield from (o for o in gone if o["duration"] > min_dur)
+                kept = [o for o in kept if row["b"] <= o["b"] + span]
             for other in kept:
                 if other["duration"] < min_target or not _close(row, other):
                     continue
@@ -281,14 +292,16 @@ def merge_npc(
                     other["duration"] = stop - other["b"]
                     break
             else:
-                if row["b"] not in seen:
+                if row["b"] != newest:
                     kept.append(dict(row))
-                    seen.add(row["b"])
-        return [r for r in kept if r["duration"] > min_dur]
+                    newest = row["b"]
+        yield from (o for o in kept if o["duration"] > min_dur)
 
     columns = [*keys, *data]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-    return timeline_fold(cut, [*by, "_episode"], ["b", "ord"], fold, schema)
+    return timeline_fold(
+        cut, [*by, "_episode"], ["b", "ord"], fold, schema, F.col("duration") > min_dur
+    )
 
 
 def feed_at(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +154,8 @@ def viterbi_smooth(
     key_ddl = [f"{c} {types[c]}" for c in keys]
     df = chunk_sequences(scores.select(*keys, t, scores_col), keys, [t], block, layout)
 
-    def steps(rows: list[dict], first: bool):
-        """Per sample the (k, k) best predecessors; also the entry-to-exit matrix."""
+    def steps(rows: list[dict], first: bool, tracing: bool):
+        """The entry-to-exit matrix; with ``tracing`` also the (k, k) best predecessors per sample."""
         obs = np.asarray([r[scores_col] for r in rows], dtype=float)
         if first:
             best = np.where(np.eye(k, dtype=bool), init[None, :] + obs[0][None, :], -np.inf)
@@ -167,17 +167,22 @@ def viterbi_smooth(
             back, start = [], 0
         for o in obs[start:]:
             cand = best[:, :, None] + trans[None, :, :]
-            back.append(cand.argmax(axis=1))
+            if tracing:
+                back.append(cand.argmax(axis=1))
             best = cand.max(axis=1) + o[None, :]
         return best, back
 
+    def whole(fn: Callable[[list[dict]], list[dict]]):
+        """Blocks have a fixed number of rows, so they are folded as lists."""
+        return lambda rows: fn(list(rows))
+
     def matrix(rows: list[dict]) -> list[dict]:
-        best, _ = steps(rows, rows[0]["chunk"] == 0)
+        best, _ = steps(rows, rows[0]["chunk"] == 0, False)
         head = {c: rows[0][c] for c in keys}
         return [dict(head, chunk=rows[0]["chunk"], m=[float(x) for x in best.ravel()])]
 
     ddl = ", ".join([*key_ddl, "chunk bigint", "m array<double>"])
-    blocks = timeline_fold(df, [*keys, "chunk"], [t], matrix, ddl)
+    blocks = timeline_fold(df, [*keys, "chunk"], [t], whole(matrix), ddl)
 
     def product(rows: list[dict]) -> list[dict]:
         total = np.asarray(rows[0]["m"]).reshape(k, k)
@@ -210,17 +215,17 @@ def viterbi_smooth(
         # long timelines: multiply a thousand blocks at a time, chain the products,
         # then fix the borders inside each product
         blocks = cut_lineage(blocks.withColumn("wide", F.floor(F.col("chunk") / fan)))
-        wide = timeline_fold(blocks, [*keys, "wide"], ["chunk"], product, ddl)
-        outer = timeline_fold(wide, keys, ["chunk"], chain, ends)
+        wide = timeline_fold(blocks, [*keys, "wide"], ["chunk"], whole(product), ddl)
+        outer = timeline_fold(wide, keys, ["chunk"], whole(chain), ends)
         outer = outer.withColumnRenamed("chunk", "wide")
         inner = blocks.join(outer, [*keys, "wide"])
-        borders = timeline_fold(inner, [*keys, "wide"], ["chunk"], chain, ends)
+        borders = timeline_fold(inner, [*keys, "wide"], ["chunk"], whole(chain), ends)
     else:
-        borders = timeline_fold(blocks, keys, ["chunk"], chain, ends)
+        borders = timeline_fold(blocks, keys, ["chunk"], whole(chain), ends)
 
     def trace(rows: list[dict]) -> list[dict]:
         entry, state = rows[0]["entry"], rows[0]["leave"]
-        _, back = steps(rows, rows[0]["chunk"] == 0)
+        _, back = steps(rows, rows[0]["chunk"] == 0, True)
         path = []
         for row, b in zip(reversed(rows), reversed(back), strict=True):
             path.append(dict({c: row[c] for c in keys}, **{t: row[t]}, state=state))
@@ -229,7 +234,7 @@ def viterbi_smooth(
 
     ddl = ", ".join([*key_ddl, f"{t} {types[t]}", "state int"])
     known = df.join(borders, [*keys, "chunk"])
-    return timeline_fold(known, [*keys, "chunk"], [t], trace, ddl)
+    return timeline_fold(known, [*keys, "chunk"], [t], whole(trace), ddl)
 
 
 def score_batches(

@@ -8,9 +8,10 @@ earlier one.  Episodes of a hot timeline then spread over all executors.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -43,36 +44,32 @@ def timeline_fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    fn: Callable[[list[dict]], list[dict]],
+    fn: Callable[[Iterator[dict]], Iterator[dict]],
     schema: str,
+    alone: Column | None = None,
 ) -> DataFrame:
-    """Apply ``fn`` to the ordered rows of each group, given and returned as dicts.
+    """Apply ``fn`` to the ordered rows of each group, taken and given one by one as dicts.
 
-    Spark partitions by group and sorts (spilling if need be); a task then walks
-    its sorted Arrow batches and folds one group at a time, so thousands of small
-    groups share one batch instead of costing a call each.
+    Spark partitions by group and sorts (spilling if need be); a task then walks its
+    sorted Arrow batches.  ``fn`` gives a row as soon as no later one can change it, so a
+    group of any length takes no more memory than the rows that are still open.  With
+    ``alone`` groups of one row never leave the JVM: they stay where it holds.
     """
     keys = list(keys)
     out_type = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        current = None
-        for batch in batches:
-            done: list[dict] = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if group and key != current:
-                    done.extend(fn(group))
-                    group = []
-                current = key
-                group.append(row)
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=arrow)
-        if group:
-            yield pa.RecordBatch.from_pylist(fn(group), schema=arrow)
+        rows = (row for batch in batches for row in batch.to_pylist())
+        groups = groupby(rows, key=lambda row: tuple(row[k] for k in keys))
+        done = (row for _, group in groups for row in fn(group))
+        while block := list(islice(done, 10_000)):
+            yield pa.RecordBatch.from_pylist(block, schema=arrow)
 
-    return (
-        df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_type)
-    )
+    dealt = df.repartition(*keys)
+    if alone is None:
+        return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, out_type)
+    sized = dealt.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    many = sized.filter("_rows > 1").drop("_rows").sortWithinPartitions(*keys, *order)
+    one = sized.filter((F.col("_rows") == 1) & alone).select(*out_type.names)
+    return many.mapInArrow(run, out_type).unionByName(one)

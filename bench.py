@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+from statistics import median
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -56,9 +57,12 @@ def main() -> None:
     QUERIES["w25_number_rows"](spark, sf).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(3):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        times[name] = round(median(runs), 3)
     spark.stop()
     print(
         json.dumps(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.operators.joins import bounded_values, in_any_range
-from spanline.ordered import Layout, RunSum, scan
+from spanline.ordered import GroupMax, Layout, RunSum, scan
 from spanline.session import cut_lineage
 
 
@@ -41,11 +41,11 @@ def split_train_val(
     """Mark exactly ``floor(frac * n)`` rows of each key as ``train``, chosen by hash order."""
     layout = layout or Layout.inspect(df, keys)
     hashed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    ranked = scan(hashed, keys, ["_h", id_col], {"_rn": RunSum(F.lit(1))}, layout)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    order = ["_h", id_col]
+    ranked = scan(hashed, keys, order, {"_rn": RunSum(F.lit(1))}, layout, True)
+    sized = scan(ranked, keys, order, {"_n": GroupMax("_rn")}, layout)
     return (
-        ranked.join(sizes, list(keys))
-        .withColumn(
+        sized.withColumn(
             "split", F.when(F.col("_rn") <= F.floor(F.col("_n") * frac), "train").otherwise("val")
         )
         .drop("_h", "_rn", "_n")

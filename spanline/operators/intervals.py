@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanline.ordered import (
+    GroupMax,
     LastValue,
     Layout,
     MaxBefore,
@@ -202,15 +203,13 @@ def sandwich_relabel(
 
 
 def drop_early(
-    iv: DataFrame, keys: Sequence[str], before_us: int, keep: str
+    iv: DataFrame, keys: Sequence[str], before_us: int, keep: str, layout: Layout | None = None
 ) -> DataFrame:
     """Remove statuses other than ``keep`` that begin within ``before_us`` of the group's start."""
-    start = iv.groupBy(*keys).agg(F.min("b").alias("_start"))
-    return (
-        iv.join(start, list(keys))
-        .filter((F.col("status") == keep) | (F.col("b") - F.col("_start") >= before_us))
-        .drop("_start")
-    )
+    df = scan(iv, keys, ["b", "e"], {"_start": GroupMax(-F.col("b"))}, layout)
+    return df.filter(
+        (F.col("status") == keep) | (F.col("b") + F.col("_start") >= before_us)
+    ).drop("_start")
 
 
 def snap_begin(

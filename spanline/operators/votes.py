@@ -84,9 +84,7 @@ def play_time(iv: DataFrame, status: str = "status") -> DataFrame:
     med = per.agg(F.sort_array(F.collect_list("dur")).alias("_a")).select(
         F.element_at("_a", (F.floor(F.size("_a") / 2) + 1).cast("int")).alias("median")
     )
-    return per.withColumn("_one", F.lit(1)).join(
-        med.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one").withColumn("ratio", F.col("median") / F.col("dur"))
+    return per.crossJoin(F.broadcast(med)).withColumn("ratio", F.col("median") / F.col("dur"))
 
 
 def share_of_total(
@@ -105,8 +103,7 @@ def mean_with_zero_fill(
     n_rows = df.select(*row_key).distinct().agg(F.count(F.lit(1)).alias("_n"))
     per = df.groupBy(category).agg(F.sum(value).alias("_s"))
     return (
-        per.withColumn("_one", F.lit(1))
-        .join(n_rows.withColumn("_one", F.lit(1)), "_one")
+        per.crossJoin(F.broadcast(n_rows))
         .select(category, (F.col("_s") / F.col("_n")).alias("mean"))
     )
 
@@ -159,8 +156,7 @@ def class_weights(
     total = counts.agg(F.sum("n").alias("_total"))
     known = vocab.select(label).distinct().join(counts, label, "left")
     return (
-        known.withColumn("_one", F.lit(1))
-        .join(total.withColumn("_one", F.lit(1)), "_one")
+        known.crossJoin(F.broadcast(total))
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn(
             "weight",
@@ -168,7 +164,7 @@ def class_weights(
                 F.least(F.col("_total") / F.col("n"), F.lit(float(cap)))
             ),
         )
-        .drop("_one", "_total")
+        .drop("_total")
     )
 
 
@@ -177,10 +173,9 @@ def sequence_weights(df: DataFrame, seq: str) -> DataFrame:
     counts = df.groupBy(seq).agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.max("n").alias("_top"))
     return (
-        counts.withColumn("_one", F.lit(1))
-        .join(top.withColumn("_one", F.lit(1)), "_one")
+        counts.crossJoin(F.broadcast(top))
         .withColumn("weight", 1 - F.col("n") / F.col("_top"))
-        .drop("_one", "_top")
+        .drop("_top")
     )
 
 
@@ -351,8 +346,7 @@ def transition_counts(
     )
     starts = dense.select("cur", "_init").distinct().agg(F.sum("_init").alias("_all"))
     return (
-        dense.withColumn("_one", F.lit(1))
-        .join(starts.withColumn("_one", F.lit(1)), "_one")
+        dense.crossJoin(F.broadcast(starts))
         .select(
             "cur", "nxt", "weight", "p", (F.col("_init") / F.col("_all")).alias("init")
         )

@@ -27,6 +27,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from spanline.session import cut_lineage, max_group_rows
 
@@ -367,19 +368,20 @@ def nearest_rows(
     and ``>= t``).  ``tie`` orders table rows that share a time.
     """
     keys = list(keys)
-    tie_col = F.col(tie) if tie else F.lit(0)
+    tie_type = table.schema[tie].dataType if tie else LongType()
+    tie_col = F.col(tie) if tie else F.lit(0).cast(tie_type)
     left = points.select(
         *keys,
         F.struct(*[F.col(c) for c in points.columns if c not in keys]).alias("_pt"),
         F.col(t).alias("_at"),
         F.lit(1 if table_first else 0).alias("_tag"),
-        F.lit(None).cast("bigint").alias("_tie"),
+        F.lit(None).cast(tie_type).alias("_tie"),
     )
     right = table.select(
         *keys,
         F.col(at).alias("_at"),
         F.lit(0 if table_first else 1).alias("_tag"),
-        tie_col.cast("bigint").alias("_tie"),
+        tie_col.alias("_tie"),
         F.struct(*[F.col(c) for c in table.columns if c not in keys]).alias("_row"),
     )
     steps: dict[str, Step] = {}

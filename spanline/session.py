@@ -37,6 +37,11 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_GROUP_ROWS, str(DEFAULT_MAX_GROUP_ROWS)))
 
 
+def _one_machine(master: str) -> bool:
+    """Threads of one JVM; ``local-cluster`` has executors with folders of their own."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
@@ -48,7 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not sc.master.startswith("local"):
+            if not _one_machine(sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="spanline-ckpt-")
         sc.setCheckpointDir(shared)
@@ -59,7 +64,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for files written and read back; shared where the cluster names one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _one_machine(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.gettempdir()
     return f"{base}/spanline-{name}-{uuid.uuid4().hex}"

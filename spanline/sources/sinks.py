@@ -112,11 +112,14 @@ def purge_ids(spark: SparkSession, path: str, ids: DataFrame, key: str, target:
 def backfill(
     spark: SparkSession, path: str, attrs: DataFrame, key: str, col: str, target: str
 ) -> None:
-    """Copy the stored samples with ``col`` filled per ``key`` where it is missing."""
+    """Copy the stored samples with ``col`` filled per ``key`` where it is missing.
+
+    Of several values for a key the least is taken.
+    """
     df = spark.read.parquet(path)
     own = F.col(col) if col in df.columns else F.lit(None).cast("string")
     df = df.withColumn("_own", own).drop(col)
-    value = attrs.select(key, F.col(col).alias("_new")).dropDuplicates([key])
+    value = attrs.groupBy(key).agg(F.min(col).alias("_new"))
     filled = (
         df.join(value, key, "left").withColumn(col, F.coalesce("_own", "_new")).drop("_own", "_new")
     )

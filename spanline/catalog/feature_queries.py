@@ -37,7 +37,12 @@ def split_sizes(spark, sf):
     )
 
 
-@query("ml01_split_train_val")
+@query(
+    "ml01_split_train_val",
+    f"""with {FRAMES} select grp, event_id, case when row_number() over (partition by grp
+   order by md5(event_id || '|1234'), event_id) <= floor(count(*) over (partition by grp) * 0.8)
+   then 'train' else 'val' end as split from frames""",
+)
 def split_train_val(spark, sf):
     return ft.split_train_val(
         frames(spark, sf).select("grp", "event_id"), GRP, "event_id", 0.8, 1234,
@@ -58,7 +63,12 @@ def jitter_counts(spark, sf):
     )
 
 
-@query("ml02_jitter_variants")
+@query(
+    "ml02_jitter_variants",
+    """with o as (select x as dx, y as dy from (select unnest(range(-4, 5))::int as x), (select unnest(range(-4, 5))::int as y))
+select doc_id, dx, dy from documents, o
+qualify row_number() over (partition by doc_id order by md5(doc_id || '|' || dx || '|' || dy || '|7'), dx, dy) <= 5""",
+)
 def jitter_variants(spark, sf):
     return ft.jitter_variants(table(spark, sf, "documents").select("doc_id"), "doc_id", 5, 4, 7)
 

@@ -31,7 +31,7 @@ from spanline.llm.bytewords import text_chunks
 BUCKETS = 1 << 15
 PENALTY = 8.0
 PER_LANGUAGE = 20_000
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 PLANES = 0x20000
 UND = "und"
 
@@ -108,14 +108,16 @@ class _Letters:
         self.script = scripts[low[self.start]]
         self.first = np.searchsorted(self.start, at)
         self.at = at
-        text = np.where(chars < PLANES, lower[low], chars).astype(np.uint64)
-        before, behind = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
+        text = np.where(chars < PLANES, lower[low], chars)
+        before, behind = np.zeros_like(text), np.zeros_like(text)
         before[1:], behind[:-1] = text[:-1], text[1:]
         before[first], behind[last] = 0, 0
         mask = inside[1:-1]
-        code = (before[mask] << np.uint64(42)) | (text[mask] << np.uint64(21)) | behind[mask]
+        code = before[mask].astype(np.uint64) << np.uint64(42)
+        code |= text[mask].astype(np.uint64) << np.uint64(21)
+        code |= behind[mask]
         code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.trigram = (code >> np.uint64(49)).astype(np.int64)  # BUCKETS values
+        self.trigram = (code >> np.uint64(49)).astype(np.int32)  # BUCKETS values
         self.edges = np.cumsum(self.end - self.start) - (self.end - self.start)
 
 
@@ -263,6 +265,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """A struct ``doc`` of the ``keep`` columns, ``lang_pred``, ``score``, and ``spans (begin, end, lang)``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    carry = ["doc"] + ["text"] * ("text" in keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, data, offsets in text_chunks(batch.column("text"), CHUNK):
@@ -270,19 +274,22 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 found = _Labels(shipped.value, data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc").slice(lo, len(offsets) - 1),
+                        *[batch.column(c).slice(lo, len(offsets) - 1) for c in carry],
                         pa.array(found.names(langs), pa.string()),
                         pa.array(found.score),
                         found.spans(langs),
                     ],
-                    names=["doc", "lang_pred", "score", "spans"],
+                    names=[*carry, "lang_pred", "score", "spans"],
                 )
 
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), "text")
+    # the text crosses over once, beside the other columns
+    others = F.struct(F.lit(0).alias("_"), *[docs[c] for c in keep if c != "text"])
+    rows = docs.select(others.alias("doc"), "text")
+    types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry]
     spans = "array<struct<begin: bigint, end: bigint, lang: string>>"
-    return rows.mapInArrow(
-        run, f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double, spans {spans}"
-    )
+    found = rows.mapInArrow(run, ", ".join([*types, "lang_pred string, score double", f"spans {spans}"]))
+    fields = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in keep]
+    return found.select(F.struct(*fields).alias("doc"), "lang_pred", "score", "spans")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -8,10 +8,11 @@ its five-word shingles, or its whole sequence of words where it has fewer.
 2. Each text has ``BANDS * ROWS`` registers.  Two texts are candidates if all registers
    of a band are equal.  At a similarity of 0.75 a pair is missed with a probability of
    ``(1 - 0.75^4)^40``, 2.5e-7; at more, with less.
-3. Candidates of a band are first held against the band's smallest id only (a star, one
-   pair a member).  Links that pass are joined into components.  Pairs of a band that are
-   still in different components then are held against each other, after two more stars
-   around other members.  A pair left out is one whose members are already connected, so
+3. Candidates of a band are first held against one of its members only (a star, one pair
+   a member), the one that shares bands with most texts.  Links that pass are joined into
+   components.  Pairs of a band that are in different components are held against each
+   other, but for those that a bound from unshared elements and from the distance to the
+   band's centre rules out.  A pair left out is already connected or surely no link, so
    components come out as if all pairs had been checked.
 4. Pairs are sifted by set size, then by the likelihood estimate from their registers
    (kept from 0.55 on, five standard errors below 0.75), then confirmed on whole sets.
@@ -122,6 +123,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            rows = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("elements")]
+            nodes = np.repeat(part.column("node").to_numpy(), [len(r) for r in rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(np.concatenate(rows))], names=["node", "element"]
+            )
+
+
 def _likely(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,14 +150,26 @@ def _likely(threshold: float):
     return run
 
 
+def _in_common(one: pa.Array, two: pa.Array) -> list[tuple[int, int, int]]:
+    """Sizes of two sets and of their intersection, pair by pair."""
+    out = []
+    for x, y in zip(one, two, strict=True):
+        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+    return out
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = pa.array([n for *_, n in _in_common(batch.column("set_a"), batch.column("set_b"))], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.select(["node", "centre"]).columns, x], names=["node", "centre", "x"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            sizes = _in_common(batch.column("set_a"), batch.column("set_b"))
+            good = [100 * both >= percent * (x + y - both) for x, y, both in sizes]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -197,41 +221,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "nodes",
     )
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    centres = (
-        bands.groupBy("band")
-        .agg(F.min("node").alias("centre"), F.max("node").alias("_last"))
-        .filter("centre < _last")
-        .select("band", "centre")
-    )
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # members of bands with more than one text: far fewer rows than all bands
-    members = shared.keep(bands.join(centres, "band"), "members")
-    involved = members.select("node").distinct()
+    members = shared.keep(bands.join(sizes, "band"), "members")
+    involved = members.groupBy("node").agg(F.sum("_n").alias("degree"))
     texts = docs.select(F.col("doc_id").alias("node"), "text").filter("text is not null")
     sets = shared.keep(
         texts.join(involved, "node", "left_semi").mapInArrow(_sets, "node bigint, elements binary"), "sets"
     )
-    check = _Verifier(nodes.join(involved, "node", "left_semi"), sets, percent)
+    facts = shared.keep(nodes.join(involved, "node").select("node", "degree", "n_shingles", "regs"), "facts")
+    check = _Verifier(facts, sets, percent)
+    ranked = members.select("band", "node").join(facts.select("node", "degree"), "node")
 
-    star = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    links = shared.keep(check.links(star.distinct()), "links-0")
+    links = shared.keep(check.links(_star(ranked)), "links-0")
     labels = components(links, shared, "components-0")
-    for step in range(1, 4):
-        mixed = shared.keep(_mixed(members, labels), f"mixed-{step}")
-        if not mixed.limit(1).count():
-            break
-        if step < 3:
-            pick = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("_h"), "node", "label"))
-            centre = mixed.groupBy("band").agg(pick.alias("_c")).select(
-                "band", F.col("_c.node").alias("a"), F.col("_c.label").alias("_label")
-            )
-            pairs = mixed.join(centre, "band").filter("label <> _label").select("a", F.col("node").alias("b"))
-        else:
-            left = mixed.select("band", F.col("node").alias("a"), F.col("label").alias("_label"))
-            pairs = left.join(mixed, "band").filter("a < node and label <> _label")
-            pairs = pairs.select("a", F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = shared.keep(links.union(check.links(pairs)), f"links-{step}")
-        labels = components(links, shared, f"components-{step}")
+    mixed = shared.keep(_mixed(ranked, labels), "mixed")
+    pairs = _across(mixed, facts, sets, percent)
+    links = shared.keep(links.union(check.links(pairs)), "links-1")
+    labels = components(links, shared, "components-1")
 
     named = groups.join(labels, "node", "left").select(
         "h1", "h2", F.coalesce("component", "node").alias("_component")
@@ -244,17 +251,86 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of bands whose members aren't all connected yet, with their component."""
-    marked = members.select("band", "node").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("label")
+def _centres(members: DataFrame) -> DataFrame:
+    """``band, centre``: the member that shares bands with most texts."""
+    top = F.max(F.struct("degree", (-F.col("node")).alias("_minus"))).alias("_top")
+    return members.groupBy("band").agg(top).select("band", (-F.col("_top._minus")).alias("centre"))
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """Pairs of each band's centre with its other members."""
+    return (
+        members.select("band", "node")
+        .join(_centres(members), "band")
+        .filter("node <> centre")
+        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        .distinct()
+    )
+
+
+def _mixed(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of bands that aren't connected yet, with their component and the band's main one."""
+    marked = ranked.join(labels, "node", "left").select(
+        "band", "node", "degree", F.coalesce("component", "node").alias("label")
+    )
+    parts = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    bands = parts.groupBy("band").agg(
+        F.count(F.lit(1)).alias("_parts"), F.max_by("label", F.struct("n", "label")).alias("main")
+    )
+    return marked.join(bands.filter("_parts > 1").select("band", "main"), "band")
+
+
+def _across(mixed: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a band in different components, but for those that can't be links.
+
+    Elements that no other text of these bands holds are in no intersection; ``c`` are
+    left of a text's ``n``.  Of those, ``x`` are shared with the band's centre.  Two texts
+    have at most ``min(x)`` elements of the centre in common and ``min(c - x)`` others,
+    and their similarity is at most that sum over ``n + n'`` less the sum.
+    """
+    inside = mixed.select("node").distinct()
+    elements = sets.join(inside, "node", "left_semi").mapInArrow(_elements, "node bigint, element bigint")
+    own = (
+        elements.groupBy("element")
+        .agg(F.min("node").alias("node"), F.max("node").alias("_last"))
+        .filter("node = _last")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("_own"))
+    )
+    sized = (
+        inside.join(facts.select("node", "n_shingles"), "node")
+        .join(own, "node", "left")
+        .select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("_own", F.lit(0))).alias("c"))
+        .filter(100 * F.col("c") >= percent * F.col("n"))
+    )
+    placed = mixed.join(_centres(mixed), "band").join(sized, "node")
+    near = (
+        placed.select("node", "centre")
+        .distinct()
+        .join(_other(sets, "node", {"elements": "set_a"}), "node")
+        .join(_other(sets, "centre", {"elements": "set_b"}), "centre")
+        .select("node", "centre", "set_a", "set_b")
+        .mapInArrow(_common, "node bigint, centre bigint, x bigint")
+    )
+    placed = placed.join(near, ["node", "centre"]).select("band", "node", "label", "main", "n", "c", "x")
+
+    def side(df: DataFrame, k: str) -> DataFrame:
+        return df.select(F.col("band").alias(f"band_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", "c", "x")])
+
+    most = F.least("x_a", "x_b") + F.least(F.col("c_a") - F.col("x_a"), F.col("c_b") - F.col("x_b"))
+    possible = (
+        (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
     )
-    bands = marked.groupBy("band").agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
-    return marked.join(bands.filter("_a < _b").select("band"), "band", "left_semi")
+    left, right = side(placed.filter("label <> main"), "a"), side(placed, "b")
+    pairs = left.join(right, (F.col("band_a") == F.col("band_b")) & possible)
+    return pairs.select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
+    ).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those whose id is the group's smallest."""
-    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    on = docs["doc_id"].eqNullSafe(gone["doc_id"])
-    return docs.join(gone, on, "left_anti")
+    """The rows of ``docs`` that stand for their group, by their id; rows without id stay."""
+    gone = near_duplicates(docs, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -40,7 +40,7 @@ def split_train_val(
 ) -> DataFrame:
     """Mark exactly ``floor(frac * n)`` rows of each key as ``train``, chosen by hash order."""
     layout = layout or Layout.inspect(df, keys)
-    hashed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(seed))))
     order = ["_h", id_col]
     ranked = scan(hashed, keys, order, {"_rn": RunSum(F.lit(1))}, layout, True)
     sized = scan(ranked, keys, order, {"_n": GroupMax("_rn")}, layout)
@@ -61,7 +61,7 @@ def jitter_variants(df: DataFrame, id_col: str, n: int, d: int, seed: int = 0) -
     keyed = F.transform(
         grid,
         lambda o: F.struct(
-            F.xxhash64(F.col(id_col), o["dx"], o["dy"], F.lit(seed)).alias("h"),
+            F.md5(F.concat_ws("|", F.col(id_col).cast("string"), o["dx"], o["dy"], F.lit(seed))).alias("h"),
             o["dx"].alias("dx"),
             o["dy"].alias("dy"),
         ),
@@ -109,7 +109,7 @@ def outcome_classifier(
     df: DataFrame, id_col: str, classes: int, seed: int = 0, hidden: int = 8, rounds: int = 20
 ) -> DataFrame:
     """Train on nine tenths of the rows and report accuracy on the last tenth (by hash)."""
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10))
+    bucket = F.pmod(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(seed))), F.lit(10))
     train, val = df.filter(bucket != 0), df.filter(bucket == 0)
     width = df.select("features").first()[0].size
     net = MultilayerPerceptronClassifier(

@@ -205,12 +205,11 @@ def timeline_fold(spark, sf):
     from spanline.operators.folds import timeline_fold as fold_over
 
     def letters(rows):
-        return [
-            {
-                "grp": rows[0]["grp"], "day": rows[0]["day"], "n": len(rows),
-                "letters": "".join(r["label"][0] for r in rows),
-            }
-        ]
+        rows = list(rows)
+        yield {
+            "grp": rows[0]["grp"], "day": rows[0]["day"], "n": len(rows),
+            "letters": "".join(r["label"][0] for r in rows),
+        }
 
     f = frames(spark, sf).select(
         "grp", F.floor(F.col("t") / (24 * HOUR)).alias("day"), "label", "t", "event_id"

@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
-
-class CutInterval:
-    """Pieces of at most ``step`` of one interval."""
-
-    def eval(self, b: int, e: int, step: int):
-        at = b
-        while True:
-            stop = min(e, at + step)
-            yield at, stop
-            at += step
-            if at >= e:
-                return
+CUT_INTERVAL = """
+create or replace temporary function cut_interval(start_us bigint, stop_us bigint, step_us bigint)
+returns table (b bigint, e bigint)
+return select start_us + i * step_us, least(stop_us, start_us + (i + 1) * step_us)
+from (select explode(sequence(0L, greatest(0L, (stop_us - start_us - 1) div step_us))) as i)
+"""
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``cut_interval(b, e, step)`` known to SQL."""
-    spark.udtf.register("cut_interval", udtf(CutInterval, returnType="b bigint, e bigint"))
+    """Make ``cut_interval(b, e, step)`` known to SQL: pieces of at most ``step`` of one interval."""
+    spark.sql(CUT_INTERVAL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -299,12 +301,17 @@ def _join_word(word: str) -> str:
     return "".join(out)
 
 
+def _each_once(names: pd.Series, fn: Callable[[str], str]) -> pd.Series:
+    """``fn`` of each name, computed once for those that repeat."""
+    return names.map({name: fn(name) for name in names.dropna().unique()}, na_action="ignore")
+
+
 def _split_series(names: pd.Series) -> pd.Series:
-    return names.map(_split_word, na_action="ignore")
+    return _each_once(names, _split_word)
 
 
 def _join_series(names: pd.Series) -> pd.Series:
-    return names.map(_join_word, na_action="ignore")
+    return _each_once(names, _join_word)
 
 
 def split_jamo(name: str | Column) -> Column:

@@ -262,9 +262,10 @@ def score_batches(
         weights = shared.value
         for batch in batches:
             modes = np.asarray(batch.column(by).to_pylist(), dtype=object)
-            x = np.asarray(batch.column(vector).to_pylist(), dtype=float)
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(float).reshape(batch.num_rows, -1)
             best = np.zeros(len(x), dtype=np.int32)
             score = np.zeros(len(x))
             for mode in set(modes.tolist()):

@@ -177,10 +177,59 @@ def _possible(spark, sf):
     fields = ["first_hero", "first_side", "second_hero", "second_side"]
     lay = events_layout(spark, sf)
     p = ev.dedup_observations(v, ["round"], fields, "t", 6 * HOUR, lay)
-    return p.drop("n").withColumn("ord", F.xxhash64("round", "b", *fields))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ["round", "b", *fields]]
+    return p.drop("n").withColumn("ord", F.md5(F.concat_ws("|", *parts)))
+
+
+POSSIBLE = """p0 as (select round, first_hero as h, first_side as hs, second_hero as v, second_side as vs, t,
+   lag(t) over (partition by round, first_hero, first_side, second_hero, second_side order by t) as p
+   from obs where second_side is not null),
+p1 as (select *, sum(case when t - p <= 21600000000 then 0 else 1 end) over (partition by round, h, hs, v, vs
+   order by t rows unbounded preceding) as run from p0),
+p2 as (select round, h, hs, v, vs, min(t) as b, max(t) - min(t) as d, v = 'turret' as npc
+   from p1 group by round, h, hs, v, vs, run),
+possible as (select *, md5(concat(round, '|', b, '|', coalesce(h, ''), '|', hs, '|', v, '|', vs)) as ord,
+   case when npc then null else coalesce(h, '') end as k1, case when npc then null else hs end as k2 from p2)"""
+
+
+def _folded(where: str, order: str, find: str, change: str, push: str) -> str:
+    """A fold over lists: ``k`` holds the kept rows, ``x[1]`` is the next one, ``q`` a kept one.
+
+    The first kept row for which ``find`` holds becomes ``change``; without one, ``x`` is
+    added if ``push`` holds.
+    """
+    near = "(not x[1].npc or x[1].h is null or q.h is null or x[1].h = q.h)"
+    at = f"coalesce(list_position(list_transform(k, lambda q: coalesce({near} and {find}, false)), true), 0)"
+    return f"""folded as (select round, unnest(list_reduce(list([{{'h': h, 'hs': hs, 'v': v, 'vs': vs, 'b': b, 'd': d,
+    'npc': npc}}] order by {order}), lambda k, x: case when {at} = 0 and {push} then list_concat(k, x)
+    when {at} = 0 then k else list_transform(k, lambda q, i: case when i = {at} then {change} else q end) end)) as r
+  from possible where {where} group by round, v, vs, k1, k2, npc)"""
+
+
+SIMILAR = _folded(
+    "true",
+    "b, d, ord",
+    """((abs(q.b + q.d - x[1].b) <= 86400000000 and q.d + x[1].d < 172800000000)
+      or (q.b + q.d > x[1].b and x[1].b > q.b))""",
+    """case when abs(q.b + q.d - x[1].b) <= 86400000000 and q.d + x[1].d < 172800000000 then
+      {'h': case when x[1].d > q.d then case when x[1].h is null and x[1].hs in ('left', 'right') then q.h else x[1].h end
+            else case when q.h is null and q.hs in ('left', 'right') then x[1].h else q.h end end,
+       'hs': case when x[1].d > q.d then x[1].hs else q.hs end, 'v': q.v, 'vs': q.vs, 'b': q.b, 'd': q.d + x[1].d,
+       'npc': q.npc} else q end""",
+    "true",
+)
+SPANS = _folded(
+    "npc",
+    "b, ord",
+    "q.d >= 0 and x[1].b + x[1].d < q.b + 259200000000 and q.d < 270000000000",
+    "{'h': q.h, 'hs': q.hs, 'v': q.v, 'vs': q.vs, 'b': q.b, 'd': x[1].b + x[1].d - q.b, 'npc': q.npc}",
+    "not list_contains(list_transform(k, lambda q: q.b), x[1].b)",
+)
+FOLDED_ROWS = """select round, r.h as first_hero, r.hs as first_side, r.v as second_hero, r.vs as second_side,
+  r.b as b, r.d as duration from folded"""
 
 
-@query("w11_merge_similar")
+@query("w11_merge_similar", f"with {FRAMES}, {OBS}, {POSSIBLE}, {SIMILAR} {FOLDED_ROWS}")
 def merge_similar(spark, sf):
     return ev.merge_similar(
         _possible(spark, sf), ["round"], ["turret"], 24 * HOUR, 48 * HOUR,
@@ -188,7 +237,10 @@ def merge_similar(spark, sf):
     ).drop("ord")
 
 
-@query("w12_merge_npc")
+@query(
+    "w12_merge_npc",
+    f"with {FRAMES}, {OBS}, {POSSIBLE}, {SPANS} {FOLDED_ROWS} where r.d > 3600000000",
+)
 def merge_npc(spark, sf):
     p = _possible(spark, sf).filter(F.col("second_hero") == "turret")
     return ev.merge_npc(

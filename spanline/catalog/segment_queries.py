@@ -345,7 +345,37 @@ def lifecycle(spark, sf):
     )
 
 
-@query("w30_lifecycle_suppressed")
+@query(
+    "w30_lifecycle_suppressed",
+    f"""with {IV}, {ALIVE},
+n as (select *, lag(status) over w as ps, lag(e) over w as pe, lead(status) over w as ns,
+   lead(b) over w as nb, lead(e) over w as ne from iv window w as (partition by grp order by b, e)),
+h as (select n.*, a1.status as h1, a2.status as h2 from n
+   left join alive a1 on a1.grp = n.grp and n.e between a1.b and a1.e
+   left join alive a2 on a2.grp = n.grp and n.e + 1800000000 between a2.b and a2.e),
+x as (select *, case when ps = 'view' and b - pe < 10800000000 then pe + 1000000
+      when status = 'purchase' then b - 1000000 else b end as gained,
+   status = 'click' and ns = 'view' and coalesce(h1 = h2, false) and ne - nb > 3600000000 as unseen
+   from h where status = 'click' or (status = 'purchase' and ps = 'view')),
+u as (select grp, gained,
+  case when status = 'click' and ns = 'purchase' then e + 1000000 when status = 'purchase' then b
+       when unseen then e + 1000000 end as used,
+  case when status = 'click' and ns = 'purchase' then ne + 1000000 when status = 'purchase' then e + 1000000
+       when unseen then nb + 1000000 end as ended from x),
+s as (select u.*, coalesce((select arg_min(status, b) from alive a where a.grp = u.grp
+     and u.gained between a.b and a.e) = 'dead', false) as special,
+   exists (select 1 from alive a where a.grp = u.grp and coalesce(u.used, u.gained) between a.b and a.e) as named,
+   coalesce((select arg_min(status, b) from alive a where a.grp = u.grp
+     and u.gained - 3600000000 between a.b and a.e) = 'alive', false) as living from u),
+f as (select grp, unnest(list_reduce(list([{{'g': gained, 'u': used, 'd': ended, 's': special, 'n': named, 'l': living}}]
+    order by gained), lambda k, x: case
+      when x[1].s and x[1].u is not null and x[1].u - x[1].g < 43200000000 and not x[1].l then k
+      when x[1].s and k[-1].d is not null and x[1].g - 43200000000 < k[-1].d then k
+      when x[1].s and k[-1].u is null and x[1].u is not null and k[-1].s and x[1].n then list_concat(k[:-2],
+        [{{'g': k[-1].g, 'u': x[1].u, 'd': x[1].d, 's': k[-1].s, 'n': k[-1].n, 'l': k[-1].l}}])
+      else list_concat(k, x) end)) as r from s group by grp)
+select grp, r.g as gained, r.u as used, r.d as ended from f""",
+)
 def lifecycle_suppressed(spark, sf):
     """Lifecycles with repeats of the special hero's charge dropped or merged."""
     lay = events_layout(spark, sf)

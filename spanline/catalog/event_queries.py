@@ -269,27 +269,34 @@ def feed_at(spark, sf):
 @query(
     "jn07_attribute_deaths",
     f"""with {FRAMES}, d as (select grp // 2 as round, case when grp % 2 = 0 then 'left' else 'right' end as side,
-   label as hero, t, event_id from frames where k % 4 = 0),
-f as (select grp // 2 as round, case when k % 2 = 0 then 'left' else 'right' end as side, label as hero,
+   label as hero, t, event_id from frames where k % 2 = 0),
+f as (select grp // 2 as round, case when k // 2 % 2 = 0 then 'left' else 'right' end as side, label as hero,
    'h' || (k % 3)::varchar as first_hero, case when grp % 2 = 0 then 'left' else 'right' end as first_side, t
-   from frames where k % 4 = 1 and (grp % 2 = 0) <> (k % 2 = 0)),
+   from frames where k % 2 = 1 and (grp % 2 = 0) <> (k // 2 % 2 = 0)),
 j as (select d.*, f.first_hero, f.t as ft from d left join f on f.round = d.round and f.side = d.side
    and f.hero = d.hero and abs(f.t - d.t) <= 50400000000
    qualify row_number() over (partition by d.event_id order by abs(f.t - d.t), f.t) = 1)
 select distinct round, least(t, ft) as t, side, hero, first_hero from j""",
 )
 def attribute_deaths(spark, sf):
+    deaths, feed = _deaths_and_feed(spark, sf)
+    return ev.attribute_deaths(
+        deaths, feed, ["round"], 14 * HOUR, events_layout(spark, sf)
+    ).select("round", "t", "side", "hero", "first_hero")
+
+
+def _deaths_and_feed(spark, sf):
     f = frames(spark, sf).withColumns(
         {
             "round": F.floor(F.col("grp") / 2),
             "own": F.when(F.col("grp") % 2 == 0, "left").otherwise("right"),
-            "par": F.when(F.col("k") % 2 == 0, "left").otherwise("right"),
+            "par": F.when(F.floor(F.col("k") / 2) % 2 == 0, "left").otherwise("right"),
         }
     )
-    deaths = f.filter(F.col("k") % 4 == 0).select(
+    deaths = f.filter(F.col("k") % 2 == 0).select(
         "round", F.col("own").alias("side"), F.col("label").alias("hero"), "t"
     )
-    feed = f.filter(F.col("k") % 4 == 1).select(
+    feed = f.filter(F.col("k") % 2 == 1).select(
         "round",
         F.concat(F.lit("h"), (F.col("k") % 3).cast("string")).alias("first_hero"),
         F.col("own").alias("first_side"),
@@ -297,10 +304,35 @@ def attribute_deaths(spark, sf):
         F.col("par").alias("second_side"),
         F.lit("primary").alias("ability"),
         F.col("t").alias("b"),
-        F.lit(0).cast("bigint").alias("duration"),
+        (F.col("k") % 7 * HOUR).alias("duration"),
     )
+    return deaths, feed
+
+
+@query(
+    "flt10_feed_evidence",
+    f"""with {FRAMES}, z as (select grp // 2 as round, min(t) + (max(t) - min(t)) // 4 * 3 as z from frames group by 1),
+d as (select grp // 2 as round, case when grp % 2 = 0 then 'left' else 'right' end as side,
+   label as hero, t, event_id from frames join z on z.round = grp // 2 where k % 2 = 0 and t <= z),
+f as (select grp // 2 as round, case when k // 2 % 2 = 0 then 'left' else 'right' end as side, label as hero,
+   'h' || (k % 3)::varchar as first_hero, case when grp % 2 = 0 then 'left' else 'right' end as first_side, t
+   from frames join z on z.round = grp // 2 where k % 2 = 1 and (grp % 2 = 0) <> (k // 2 % 2 = 0)
+   and (k % 7 >= 3 or z - (t + k % 7 * 3600000000) <= 864000000000)),
+j as (select d.*, f.first_hero, f.t as ft from d left join f on f.round = d.round and f.side = d.side
+   and f.hero = d.hero and abs(f.t - d.t) <= 50400000000
+   qualify row_number() over (partition by d.event_id order by abs(f.t - d.t), f.t) = 1)
+select distinct round, least(t, ft) as t, side, hero, first_hero from j""",
+)
+def feed_evidence(spark, sf):
+    """Deaths up to the round's end, with entries seen for three hours or near the end."""
+    deaths, feed = _deaths_and_feed(spark, sf)
+    span = F.max("t") - F.min("t")
+    ends = deaths.select("round", "t").unionByName(feed.select("round", F.col("b").alias("t")))
+    ends = ends.groupBy("round").agg((F.min("t") + F.floor(span / 4) * 3).alias("end"))
     return ev.attribute_deaths(
-        deaths, feed, ["round"], 14 * HOUR, events_layout(spark, sf)
+        ev.within_round(deaths, ends, ["round"]),
+        ev.feed_evidence(feed, ends, ["round"], 3 * HOUR, 240 * HOUR),
+        ["round"], 14 * HOUR, events_layout(spark, sf),
     ).select("round", "t", "side", "hero", "first_hero")
 
 

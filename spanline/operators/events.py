@@ -331,6 +331,28 @@ def feed_at(
     ).drop("_f")
 
 
+def feed_evidence(
+    feed: DataFrame,
+    ends: DataFrame,
+    keys: Sequence[str],
+    min_seen: int = 500_000,
+    near_end: int = 1_000_000,
+) -> DataFrame:
+    """Feed entries that count as evidence: seen for ``min_seen``, or so late that the round's
+    end may have cut them off (it comes within ``near_end`` of them).  ``ends``: ``(keys, end)``,
+    one row per round."""
+    stop = ends.select(*keys, F.col("end").alias("_end"))
+    seen = F.col("duration") >= min_seen
+    late = F.col("_end") - (F.col("b") + F.col("duration")) <= near_end
+    return feed.join(stop, list(keys)).filter(seen | late).drop("_end")
+
+
+def within_round(df: DataFrame, ends: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
+    """Rows up to their round's end."""
+    stop = ends.select(*keys, F.col("end").alias("_end"))
+    return df.join(stop, list(keys)).filter(F.col(t) <= F.col("_end")).drop("_end")
+
+
 def attribute_deaths(
     deaths: DataFrame,
     feed: DataFrame,

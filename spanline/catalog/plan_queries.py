@@ -80,9 +80,12 @@ def player_labels(spark, sf):
 
 def _annotated(spark, sf):
     npcs = small_table(spark, [("turret", "click")], "npc string, hero string")
+    labels = player_labels(spark, sf)
+    ends = labels.groupBy("round").agg(F.max("t").alias("end"))
     return annotate.annotate_rounds(
-        player_labels(spark, sf), observations(spark, sf), abilities(spark), npcs, ["turret"],
+        labels, observations(spark, sf), abilities(spark), npcs, ["turret"],
         annotate.PlayerRules().scaled(7200), ("event_id",), "error", events_layout(spark, sf),
+        ends, (["signup"], ["primary", "melee"]),
     )
 
 

@@ -39,6 +39,12 @@ class PlayerRules:
     merge_gap: int = 3 * SECOND
     merge_cap: int = 8 * SECOND
     attribute: int = 7 * SECOND
+    min_seen: int = SECOND // 2
+    near_end: int = SECOND
+    npc_span: int = 73 * SECOND // 10
+    npc_cap: int = 75 * SECOND // 10
+    npc_target: int = 6 * SECOND // 10
+    npc_least: int = 2 * SECOND
 
     def scaled(self, factor: int) -> "PlayerRules":
         return PlayerRules(**{k: v * factor for k, v in self.__dict__.items()})
@@ -77,12 +83,17 @@ def annotate_rounds(
     order: Sequence[str] = (),
     deflector: str = "genji",
     layout: Layout | None = None,
+    ends: DataFrame | None = None,
+    denied: tuple[Sequence[str], Sequence[str]] = ((), ()),
 ) -> DataFrame:
     """All events of all rounds as ``(round, t, kind, side, slot, who, detail)``.
 
     Timelines are cleaned per slot; deaths, revives, switches and charges follow
     from them; feed observations are checked against them, de-duplicated, merged
-    and attributed to the deaths.
+    and attributed to the deaths.  Entries whose victim is no player, or a charge of
+    ``denied[0]`` ended by an ability of ``denied[1]``, become spans of their own.  One
+    victim has one event at one time: kills go before NPC spans, those before
+    resurrections.  ``ends (round, end)`` bounds deaths and weighs short entries.
     """
     rules = rules or PlayerRules()
     slots = ["round", "side", "slot"]
@@ -120,11 +131,27 @@ def annotate_rounds(
             possible, ["round"], npc_names, rules.merge_gap, rules.merge_cap, layout
         )
     )
-    kills = events.attribute_deaths(
-        deaths.filter(F.col("hero").isNotNull()).select("round", "side", "hero", "t"),
-        feed, ["round"], rules.attribute, layout,
+    fallen = deaths.filter(F.col("hero").isNotNull()).select("round", "side", "hero", "t")
+    evidence = feed
+    if ends is not None:
+        fallen = events.within_round(fallen, ends, ["round"])
+        evidence = events.feed_evidence(feed, ends, ["round"], rules.min_seen, rules.near_end)
+    kills = events.attribute_deaths(fallen, evidence, ["round"], rules.attribute, layout)
+    charges_denied = F.col("second_hero").isin(*denied[0]) & F.col("ability").isin(*denied[1])
+    apart = feed.filter(events.is_npc("second_hero", npc_names) | charges_denied)
+    spans = events.merge_npc(
+        apart, ["round"], [*npc_names, *denied[0]], rules.npc_span, rules.npc_cap, rules.npc_target,
+        rules.npc_least, layout,
+    )
+    taken = kills.select("round", "t", "hero", "side")
+    spans = spans.join(taken, _same_event(spans, taken), "left_anti")
+    taken = taken.unionByName(
+        spans.select(
+            "round", F.col("b").alias("t"), F.col("second_hero").alias("hero"), F.col("second_side").alias("side")
+        )
     )
     resurrections = feed.filter((F.col("ability") == "resurrect") & (F.col("duration") > 0))
+    resurrections = resurrections.join(taken, _same_event(resurrections, taken), "left_anti")
 
     none = F.lit(None).cast("string")
 
@@ -139,6 +166,7 @@ def annotate_rounds(
 
     parts = [
         shape(kills, "kill", "t", "hero", F.col("first_hero")),
+        shape(spans, "npc", "b", "second_hero", F.col("first_hero")),
         shape(resurrections, "resurrect", "b", "second_hero", F.col("first_hero")),
         shape(revives, "revive", "t", "", none),
         shape(switches, "switch", "b", "hero", F.col("e")),
@@ -150,6 +178,15 @@ def annotate_rounds(
     return out
 
 
+def _same_event(feed: DataFrame, taken: DataFrame):
+    return (
+        (feed["round"] == taken["round"])
+        & (feed["b"] == taken["t"])
+        & (feed["second_hero"] == taken["hero"])
+        & (feed["second_side"] == taken["side"])
+    )
+
+
 def round_documents(annotated: DataFrame) -> DataFrame:
     """One document per round with its events in time order."""
     return nest_rounds(

@@ -94,8 +94,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeats = (
         units.join(firsts, ["h1", "h2"])
         .filter(place > F.col("_first"))
-        .select(*[c.split()[0] for c in UNIT.split(", ")[:6]], "_first")
-        .repartition("doc_id", "text_hash")
+        .select(
+            *[c.split()[0] for c in UNIT.split(", ")[:6]],
+            F.col("_first.doc_id").alias("_from"),
+            F.col("_first.unit").alias("_from_unit"),
+        )
         .dropDuplicates(["doc_id", "text_hash", "unit"])
     )
     # a window holds the repeats of one document
@@ -103,8 +106,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     span = ["doc_id", "text_hash", "_run"]
     spans = (
         repeats.withColumn("_run", F.col("unit") - F.row_number().over(along))
-        .withColumn("_from", F.col("_first.doc_id"))
-        .groupBy(*span, "_from", (F.col("unit") - F.col("_first.unit")).alias("_shift"))
+        .groupBy(*span, "_from", (F.col("unit") - F.col("_from_unit")).alias("_shift"))
         .agg(
             F.min("begin").alias("begin"),
             F.max("end").alias("end"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 import zlib
@@ -90,6 +89,17 @@ def test_near_duplicates(docs, none, rows):
     assert tuples(kept, "doc_id")[-1:] != [] and kept.count() == sum(w[3] or w[0] is None for w in want)
 
 
+def test_repeated_rows_count_once(spark):
+    """A third of all rows are one row; the others are near copies of it."""
+    from spanline.llm.near_dedup import near_duplicates
+
+    text = prose(random.Random(1), 80)
+    rows = [(5, text)] * 400 + [(k, f"{text} tail{k}") for k in range(10, 30)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert {tuple(r) for r in got.select("component_id", "kept").distinct().collect()} == {(5, True), (5, False)}
+    assert got.count() == len(rows) and got.filter("kept").count() == 400
+
+
 def test_dense_group_stays_exact(spark):
     """Many texts at all distances from each other and from none in common."""
     from spanline.llm.near_dedup import near_duplicates

@@ -209,15 +209,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ``component_id`` is the smallest id connected by links of at least ``percent`` / 100.
     """
     shared = Shared(docs.sparkSession, "near-dedup")
-    rows = shared.keep(signatures(docs), "signatures")
+    numbered = signatures(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = shared.keep(numbered, "signatures")
+    # one row stands for all copies of a text, rows that repeat included
     groups = (
         rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("node"))
+        .agg(F.min("doc_id").alias("node"), F.min_by("row", "doc_id").alias("row"))
     )
     nodes = shared.keep(
-        rows.join(groups.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("node"), "n_shingles", "bands", "regs"),
+        rows.join(groups.select("h1", "h2", "row"), ["h1", "h2", "row"], "left_semi").select(
+            F.col("doc_id").alias("node"), "n_shingles", "bands", "regs"
+        ),
         "nodes",
     )
     bands = nodes.select("node", F.explode("bands").alias("band"))
@@ -227,7 +230,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     involved = members.groupBy("node").agg(F.sum("_n").alias("degree"))
     texts = docs.select(F.col("doc_id").alias("node"), "text").filter("text is not null")
     sets = shared.keep(
-        texts.join(involved, "node", "left_semi").mapInArrow(_sets, "node bigint, elements binary"), "sets"
+        texts.join(involved, "node", "left_semi")
+        .distinct()
+        .mapInArrow(_sets, "node bigint, elements binary"),
+        "sets",
     )
     facts = shared.keep(nodes.join(involved, "node").select("node", "degree", "n_shingles", "regs"), "facts")
     check = _Verifier(facts, sets, percent)
@@ -269,20 +275,21 @@ def _star(members: DataFrame) -> DataFrame:
 
 
 def _mixed(ranked: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of bands that aren't connected yet, with their component and the band's main one."""
+    """Members of bands that aren't connected yet, with their component and the band's centre."""
     marked = ranked.join(labels, "node", "left").select(
         "band", "node", "degree", F.coalesce("component", "node").alias("label")
     )
-    parts = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    bands = parts.groupBy("band").agg(
-        F.count(F.lit(1)).alias("_parts"), F.max_by("label", F.struct("n", "label")).alias("main")
-    )
-    return marked.join(bands.filter("_parts > 1").select("band", "main"), "band")
+    bands = marked.groupBy("band").agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
+    open_bands = bands.filter("_a < _b").select("band")
+    return marked.join(open_bands, "band", "left_semi").join(_centres(ranked), "band")
 
 
 def _across(mixed: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of a band in different components, but for those that can't be links.
 
+    Texts of one band have that band's centre in common, so they meet there, once for all
+    their bands; texts of the centre's own component need no pairs among themselves.
+
     Elements that no other text of these bands holds are in no intersection; ``c`` are
     left of a text's ``n``.  Of those, ``x`` are shared with the band's centre.  Two texts
     have at most ``min(x)`` elements of the centre in common and ``min(c - x)`` others,
@@ -303,19 +310,20 @@ def _across(mixed: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -
         .select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("_own", F.lit(0))).alias("c"))
         .filter(100 * F.col("c") >= percent * F.col("n"))
     )
-    placed = mixed.join(_centres(mixed), "band").join(sized, "node")
+    around = mixed.select("node", "label", "centre").distinct().join(sized, "node")
     near = (
-        placed.select("node", "centre")
-        .distinct()
+        around.select("node", "centre")
         .join(_other(sets, "node", {"elements": "set_a"}), "node")
         .join(_other(sets, "centre", {"elements": "set_b"}), "centre")
         .select("node", "centre", "set_a", "set_b")
         .mapInArrow(_common, "node bigint, centre bigint, x bigint")
     )
-    placed = placed.join(near, ["node", "centre"]).select("band", "node", "label", "main", "n", "c", "x")
+    own_label = mixed.filter("node = centre").select("centre", F.col("label").alias("main")).distinct()
+    placed = around.join(near, ["node", "centre"]).join(own_label, "centre", "left")
+    fields = ("node", "label", "centre", "n", "c", "x")
 
     def side(df: DataFrame, k: str) -> DataFrame:
-        return df.select(F.col("band").alias(f"band_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", "c", "x")])
+        return df.select(*[F.col(c).alias(f"{c}_{k}") for c in fields])
 
     most = F.least("x_a", "x_b") + F.least(F.col("c_a") - F.col("x_a"), F.col("c_b") - F.col("x_b"))
     possible = (
@@ -323,8 +331,10 @@ def _across(mixed: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
     )
-    left, right = side(placed.filter("label <> main"), "a"), side(placed, "b")
-    pairs = left.join(right, (F.col("band_a") == F.col("band_b")) & possible)
+    # a centre outside the open bands has no label there; then all are compared
+    apart = F.col("main").isNull() | (F.col("label") != F.col("main"))
+    left, right = side(placed.filter(apart), "a"), side(placed, "b")
+    pairs = left.join(right, (F.col("centre_a") == F.col("centre_b")) & possible)
     return pairs.select(
         F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
     ).distinct()

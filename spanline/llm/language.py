@@ -31,6 +31,7 @@ from spanline.llm.bytewords import text_chunks
 BUCKETS = 1 << 15
 PENALTY = 8.0
 PER_LANGUAGE = 20_000
+MAX_SENT = 10_000
 CHUNK = 2 << 20
 PLANES = 0x20000
 UND = "und"
@@ -248,7 +249,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     part = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_part"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(part, "lang").filter(draw < F.col("_part")).select("lang", "text")
+    # one short row a language; beyond that many the texts are shuffled to it
+    few = rows.select("lang").distinct().limit(MAX_SENT + 1).count() <= MAX_SENT
+    sample = rows.join(F.broadcast(part) if few else part, "lang").filter(draw < F.col("_part")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(
         F.sum("n").alias("n")
     )

@@ -1,19 +1,28 @@
-"""Substring dedup: units of text hashed, the earliest kept, the rest removed by offset.
+"""Substring dedup: repeated sentences and repeated word windows, the earliest kept, the rest removed by offset.
 
-Units are sentences: they end at a line end, or at a word that ends with ``.``, ``!`` or
-``?``.  A unit is normalised to its words in lower case (A-Z), whatever blanks stand
-between them, and hashed to 128 bits.
+Texts are compared as words in lower case (A-Z), whatever blanks stand between them.
 
-1. Units are written to the shared folder as digests with their offsets (in characters).
-2. Digests are grouped over all documents, combined before the shuffle; of each, the
-   smallest ``(doc_id, unit)`` is kept.
-3. Every other unit of a repeated digest is a repeat.  Repeats that stand side by side in a
-   document form a span.  It is removed if it has ``min_words`` words in units of
-   ``SOLID`` words or more, or as many in units that follow each other in one other place
-   as well: many short units that each occur somewhere make no passage.
+**Passages.** Every run of ``PASSAGE`` words or more that an earlier document holds, or the
+same one without overlap further ahead, is removed word for word, wherever it stands in
+sentences.  A run's windows of ``PASSAGE`` words are what is compared:
 
-So a passage of over 50 words is found with whatever line it stands in, but a short
-sentence or a license line that many documents share stays.
+1. The anchor of a window is the least hash of its ``ANCHOR``-word grams, so equal windows
+   have equal anchors.  Neighbouring windows with one anchor form a segment.
+2. A segment whose words repeat an earlier one goes as a whole; those at the edges of a
+   repeat are compared window by window.
+
+**Sentences.** Units end at a line end, or at a word that ends with ``.``, ``!`` or ``?``.
+Of each digest, the smallest ``(doc_id, unit)`` is kept.  Repeats that stand side by side in
+a document are removed if they have ``min_words`` words in units of ``SOLID`` words or more,
+or as many in units that follow each other in one other place as well: many short units
+that each occur somewhere make no passage, and a license line that many documents share
+stays.
+
+Digests and anchors are first counted over all documents, combined before the shuffle.
+Those that occur twice are marked in a bitmap of fixed size (16 MB); only units and
+segments with a mark are written to the shared folder.  False marks only cost rows.
+
+Both kinds of spans are united where they touch.
 
 Null and empty texts have no units, documents without id are left out.  Rows that repeat
 an id count as one document.
@@ -28,62 +37,189 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanline.llm.bytewords import NOT_SPACE, find_words, mix, powers, text_chunks
+from spanline.llm.bytewords import NOT_SPACE, Words, find_words, mix, powers, text_chunks
 from spanline.llm.common import Shared
 
 MIN_WORDS, SOLID = 30, 4
+PASSAGE, ANCHOR = 51, 25
+BITS, SLOT_BITS = 27, 15
 STOPS = np.zeros(256, bool)
 STOPS[[0x2E, 0x21, 0x3F]] = True
-UNIT = "doc_id bigint, text_hash bigint, unit int, begin bigint, end bigint, n_words int, h1 bigint, h2 bigint"
+UNIT = "doc_id bigint, text_hash bigint, unit int, word int, begin bigint, end bigint, n_words int, h1 bigint, h2 bigint"
+SEGMENT = (
+    "doc_id bigint, text_hash bigint, word int, n int, begin bigint, end bigint, h bigint, r bigint,"
+    " d array<bigint>, begins array<bigint>, ends array<bigint>"
+)
+_INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
+_inverses = np.ones(1, np.uint64)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    global _inverses
+    if len(_inverses) < n:
+        size = 1 << max(n - 1, 1).bit_length()
+        _inverses = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _INVERSE))])
+    return _inverses[:n]
+
+
+class _Passages:
+    """Windows of ``PASSAGE`` words inside the texts of a chunk, and their segments."""
 
+    def __init__(self, words: Words):
+        n, texts = len(words.hash), len(words.first) - 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash) * powers(max(n, 1))[:n])])
+        low = self.hashes(np.arange(max(n - ANCHOR + 1, 0)), ANCHOR)
+        reach, most = 1, PASSAGE - ANCHOR + 1
+        while reach < most and len(low):
+            step = min(reach, most - reach)
+            low, reach = np.minimum(low[:-step], low[step:]), reach + step
+        text = np.repeat(np.arange(texts), words.counts)
+        # window k has words k .. k + PASSAGE - 1
+        self.at = np.flatnonzero(text[: max(n - PASSAGE + 1, 0)] == text[PASSAGE - 1 :])
+        self.low, self.text = low[self.at], text[self.at]
+        new = np.ones(len(self.at), bool)
+        new[1:] = (self.low[1:] != self.low[:-1]) | (np.diff(self.text) > 0)
+        self.head = np.flatnonzero(new)
+        self.size = np.diff(np.concatenate([self.head, [len(new)]]))
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(self, start: np.ndarray, n) -> np.ndarray:
+        """Hashes of the ``n`` words from each ``start`` on, equal for equal words anywhere."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        return mix((self.sums[start + n] - self.sums[start]) * _inverse_powers(len(self.sums))[start])
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, n``: digests of units and anchors of segments; a segment that can repeat in itself counts twice."""
     for batch in batches:
-        ids, hashes = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
-        for lo, data, offsets in text_chunks(batch.column("text")):
+        for _, data, offsets in text_chunks(batch.column("text")):
             words = find_words(data, offsets, NOT_SPACE)
-            n = len(words.hash)
-            if not n:
+            if not len(words.hash):
                 continue
-            text = np.repeat(np.arange(len(offsets) - 1), words.counts)
-            line = np.concatenate([[0], np.cumsum(data == 10)])[words.start]
-            new = np.ones(n, bool)
-            new[1:] = (np.diff(text) > 0) | (np.diff(line) > 0) | STOPS[data[words.end[:-1] - 1]]
-            head = np.flatnonzero(new)
-            size = np.diff(np.concatenate([head, [n]]))
-            weight = powers(int(size.max()))[np.arange(n) - np.repeat(head, size)]
-            digest = [
-                mix(np.add.reduceat(mix(words.hash + np.uint64(salt)) * weight, head) + size.astype(np.uint64))
-                for salt in (11, 12)
-            ]
-            owner = text[head]
-            char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            zero = char[offsets[owner]]
-            first_unit = np.searchsorted(owner, np.arange(len(offsets) - 1))
-            columns = [
-                ids[lo + owner],
-                hashes[lo + owner],
-                (np.arange(len(head)) - first_unit[owner]).astype(np.int32),
-                char[words.start[head]] - zero,
-                char[words.end[head + size - 1]] - zero,
-                size.astype(np.int32),
-                digest[0].view(np.int64),
-                digest[1].view(np.int64),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=[c.split()[0] for c in UNIT.split(", ")]
-            )
+            p = _Passages(words)
+            h = p.low[p.head]
+            every = np.concatenate([_sentences(words, data)[3][0], h, h[p.size > PASSAGE]])
+            h, n = np.unique(every, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n})
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text_hash, begin, end, n_words, n_units, first_doc_id`` of each span to remove.
+def _pack_bits(key: tuple, table: pa.Table) -> pa.Table:
+    flags = np.zeros(1 << SLOT_BITS, bool)
+    flags[table.column("bit").to_numpy() & ((1 << SLOT_BITS) - 1)] = True
+    return pa.table({"slot": pa.array([key[0].as_py()], pa.int64()), "bits": [np.packbits(flags).tobytes()]})
 
-    ``first_doc_id`` holds the kept occurrence of the span's first unit.
-    """
-    rows = docs.filter("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Marks by the first ``BITS`` bits of the hashes; 16 MB, whatever the corpus."""
+    bits = hashes.select(F.shiftrightunsigned("h", 64 - BITS).alias("bit")).distinct()
+    slots = bits.groupBy(F.shiftright("bit", SLOT_BITS).alias("slot")).applyInArrow(
+        _pack_bits, "slot bigint, bits binary"
     )
-    units = Shared(docs.sparkSession, "substring-dedup").keep(rows.mapInArrow(_units, UNIT), "units")
+    out = np.zeros((1 << (BITS - SLOT_BITS), 1 << (SLOT_BITS - 3)), np.uint8)
+    for r in slots.collect():
+        out[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _segments(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+            for lo, data, offsets in text_chunks(batch.column("text")):
+                words = find_words(data, offsets, NOT_SPACE)
+                p = _Passages(words)
+                marked = _marked(marks.value, p.low[p.head])
+                head, size = p.head[marked], p.size[marked]
+                if not len(head):
+                    continue
+                cuts = np.concatenate([[0], np.cumsum(size)])
+                inside = np.repeat(head - cuts[:-1], size) + np.arange(cuts[-1])
+                text, at = p.text[head], p.at[head]
+                char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                zero = char[offsets[p.text[inside]]]
+                begins = char[words.start[p.at[inside]]] - zero
+                ends = char[words.end[p.at[inside] + PASSAGE - 1]] - zero
+                whole = p.hashes(at, size + PASSAGE - 1) + size.astype(np.uint64)
+                lists = [p.hashes(p.at[inside], PASSAGE).view(np.int64), begins, ends]
+                columns = [
+                    ids[lo + text],
+                    hashes[lo + text],
+                    (at - words.first[text]).astype(np.int32),
+                    size.astype(np.int32),
+                    begins[cuts[:-1]],
+                    ends[cuts[1:] - 1],
+                    p.low[head].view(np.int64),
+                    mix(whole).view(np.int64),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns]
+                    + [pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(x)) for x in lists],
+                    names=[c.split()[0] for c in SEGMENT.split(", ")],
+                )
+
+    return run
+
+
+def _sentences(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First word, number of words, text and digests of the units of a chunk."""
+    n = len(words.hash)
+    text = np.repeat(np.arange(len(words.counts)), words.counts)
+    line = np.concatenate([[0], np.cumsum(data == 10)])[words.start]
+    new = np.ones(n, bool)
+    new[1:] = (np.diff(text) > 0) | (np.diff(line) > 0) | STOPS[data[words.end[:-1] - 1]]
+    head = np.flatnonzero(new)
+    size = np.diff(np.concatenate([head, [n]]))
+    weight = powers(int(size.max()))[np.arange(n) - np.repeat(head, size)]
+    digest = [
+        mix(np.add.reduceat(mix(words.hash + np.uint64(salt)) * weight, head) + size.astype(np.uint64))
+        for salt in (11, 12)
+    ]
+    return head, size, text[head], digest
+
+
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return (marks[bit >> 3] >> (7 - (bit & 7))) & 1 > 0
+
+
+def _units(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+            for lo, data, offsets in text_chunks(batch.column("text")):
+                words = find_words(data, offsets, NOT_SPACE)
+                if not len(words.hash):
+                    continue
+                head, size, owner, digest = _sentences(words, data)
+                unit = np.arange(len(head)) - np.searchsorted(owner, np.arange(len(offsets) - 1))[owner]
+                some = _marked(marks.value, digest[0])
+                head, size, owner, unit = head[some], size[some], owner[some], unit[some]
+                char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                zero = char[offsets[owner]]
+                columns = [
+                    ids[lo + owner],
+                    hashes[lo + owner],
+                    unit.astype(np.int32),
+                    (head - words.first[owner]).astype(np.int32),
+                    char[words.start[head]] - zero,
+                    char[words.end[head + size - 1]] - zero,
+                    size.astype(np.int32),
+                    digest[0][some].view(np.int64),
+                    digest[1][some].view(np.int64),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=[c.split()[0] for c in UNIT.split(", ")]
+                )
+
+    return run
+
+
+PIECE = ["doc_id", "text_hash", "word", "word_end", "begin", "end", "_from", "n_units"]
+
+
+def _repeated_sentences(rows: DataFrame, marks, shared: Shared, min_words: int) -> DataFrame:
+    """``PIECE`` of the spans made of repeated units."""
+    units = shared.keep(rows.mapInArrow(_units(marks), UNIT), "units")
     place = F.struct("doc_id", "unit")
     firsts = (
         units.groupBy("h1", "h2")
@@ -95,7 +231,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         units.join(firsts, ["h1", "h2"])
         .filter(place > F.col("_first"))
         .select(
-            *[c.split()[0] for c in UNIT.split(", ")[:6]],
+            *[c.split()[0] for c in UNIT.split(", ")[:7]],
             F.col("_first.doc_id").alias("_from"),
             F.col("_first.unit").alias("_from_unit"),
         )
@@ -108,6 +244,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         repeats.withColumn("_run", F.col("unit") - F.row_number().over(along))
         .groupBy(*span, "_from", (F.col("unit") - F.col("_from_unit")).alias("_shift"))
         .agg(
+            F.min("word").alias("word"),
+            F.max(F.col("word") + F.col("n_words")).alias("word_end"),
             F.min("begin").alias("begin"),
             F.max("end").alias("end"),
             F.sum("n_words").alias("n_words"),
@@ -116,17 +254,87 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         )
         .groupBy(*span)
         .agg(
-            F.min_by("_from", "begin").alias("first_doc_id"),
+            F.min_by("_from", "begin").alias("_from"),
+            F.min("word").alias("word"),
+            F.max("word_end").alias("word_end"),
             F.min("begin").alias("begin"),
             F.max("end").alias("end"),
             F.max("n_words").alias("_aligned"),
             F.sum("_solid").alias("_solid"),
-            F.sum("n_words").alias("n_words"),
             F.sum("n_units").alias("n_units"),
         )
     )
-    return spans.filter(F.greatest("_solid", "_aligned") >= min_words).select(
-        "doc_id", "text_hash", "begin", "end", "n_words", "n_units", "first_doc_id"
+    return spans.filter(F.greatest("_solid", "_aligned") >= min_words).select(*PIECE)
+
+
+def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
+    """``PIECE`` of the windows and segments that stand further ahead as well."""
+    segments = shared.keep(rows.mapInArrow(_segments(marks), SEGMENT), "segments")
+    place = F.struct("doc_id", "word")
+    first = F.col("_first")
+    # a window that overlaps the kept one would take words from it
+    again = (F.col("doc_id") > first["doc_id"]) | (
+        (F.col("doc_id") == first["doc_id"]) & (F.col("word") >= first["word"] + PASSAGE)
+    )
+    by_words = segments.groupBy("h", "r").agg(F.min(place).alias("_first"))
+    mixed = by_words.groupBy("h").agg((F.min("r") < F.max("r")).alias("_mixed"))
+    judged = segments.join(by_words.join(mixed, "h"), ["h", "r"])
+    others = [first["doc_id"].alias("_from"), F.lit(0).cast("bigint").alias("n_units")]
+    whole = judged.filter(again).select(
+        "doc_id", "text_hash", "word", (F.col("word") + F.col("n") + (PASSAGE - 1)).alias("word_end"), "begin", "end", *others
+    )
+    # the first of equal segments holds all their windows
+    edges = judged.filter(~again & (F.col("_mixed") | (F.col("n") > PASSAGE))).select(
+        "h", "doc_id", "text_hash", "word", F.posexplode(F.arrays_zip("d", "begins", "ends")).alias("_k", "_w")
+    )
+    windows = shared.keep(
+        edges.select(
+            "h", "_w.d", "doc_id", "text_hash", (F.col("word") + F.col("_k")).alias("word"),
+            F.col("_w.begins").alias("begin"), F.col("_w.ends").alias("end"),
+        ),
+        "windows",
+    )
+    firsts = (
+        windows.groupBy("h", "d")
+        .agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+        .filter("_first < _last")
+        .drop("_last")
+    )
+    single = windows.join(firsts, ["h", "d"]).filter(again).select(
+        "doc_id", "text_hash", "word", (F.col("word") + PASSAGE).alias("word_end"), "begin", "end", *others
+    )
+    return whole.unionByName(single)
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, text_hash, begin, end, n_words, n_units, first_doc_id`` of each span to remove.
+
+    ``n_units`` counts the whole sentences that were found as such, ``first_doc_id`` holds
+    the kept occurrence of the span's first words.
+    """
+    rows = docs.filter("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
+    )
+    shared = Shared(docs.sparkSession, "substring-dedup")
+    hashes = rows.select("text").mapInArrow(_hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(hashes.filter("n > 1")))
+    pieces = _repeated_sentences(rows, marks, shared, min_words).unionByName(_repeated_passages(rows, marks, shared))
+    # a window holds the repeats of one document
+    along = Window.partitionBy("doc_id", "text_hash").orderBy("word", "word_end")
+    ahead = F.max("word_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        pieces.dropDuplicates(["doc_id", "text_hash", "word", "word_end", "n_units"])
+        .withColumn("_new", F.when(F.col("word") <= ahead, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "text_hash", "_run")
+        .agg(
+            F.min("begin").alias("begin"),
+            F.max("end").alias("end"),
+            (F.max("word_end") - F.min("word")).cast("bigint").alias("n_words"),
+            F.sum("n_units").alias("n_units"),
+            F.min(F.struct("word", "_from"))["_from"].alias("first_doc_id"),
+        )
+        .drop("_run")
     )
 
 

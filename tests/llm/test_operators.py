@@ -249,6 +249,41 @@ def test_substring_dedup(docs, none, rows, spark):
     assert repeated_spans(none).count() == 0
 
 
+def test_substring_dedup_removes_every_long_passage(spark):
+    """Passages inside sentences, without stops, beside a part that an earlier text holds, and repeated words."""
+    from spanline.llm.substring_dedup import PASSAGE, remove_spans, repeated_spans
+
+    rng = random.Random(8)
+    new = lambda n: " ".join(f"Ä{rng.randrange(10**9)}" for _ in range(n))
+    long, listed, most = new(90), new(60).replace(" ", " \n"), new(50)
+    part = long.split()[20:60]
+    texts = [
+        f"{new(5)} {' '.join(part)} {new(30)}",
+        f"Begin {new(4)} {long} {new(3)} end.",
+        f"Another {new(70)} {long} {new(7)} stop. {listed}",
+        f"{listed} {new(9)} {most} {new(1)}",
+        f"{new(3)} {most} {new(40)} {' '.join(long.split()[:51])}",
+        "same " * 148,
+        f"{new(2)} {' '.join(long.split()[10:30])} {long.upper().replace(chr(196), 'Ä')} {new(300)}",
+        new(20) + " " + "same " * 60,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    held, want = {}, {}
+    for d, text in enumerate(texts):
+        words = text.translate(LOWER).split()
+        windows = [tuple(words[k : k + PASSAGE]) for k in range(len(words) - PASSAGE + 1)]
+        gone = set()
+        for k, w in enumerate(windows):
+            e, at = held.setdefault(w, (d, k))
+            if e < d or k >= at + PASSAGE:
+                gone |= set(range(k, k + PASSAGE))
+        want[d] = [w for k, w in enumerate(text.split()) if k not in gone]
+    spans = repeated_spans(df)
+    kept = {d: t.split() for d, t in tuples(remove_spans(df, spans), "doc_id", "text")}
+    assert kept == want and len(kept[5]) == 51 and len(kept[1]) == 99
+    assert sum(r["n_words"] for r in spans.collect()) == sum(len(t.split()) - len(want[d]) for d, t in enumerate(texts))
+
+
 def test_mixing(docs, none, rows, spark):
     from spanline.llm.common import Shared
     from spanline.llm.mixing import mix_documents, mixture, weights

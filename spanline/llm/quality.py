@@ -2,14 +2,15 @@
 
 1. Labellers look at figures of a text and vote good, bad or nothing.  A text's votes are
    one of 3^labellers patterns.
-2. Patterns are counted over all documents; EM over these counts (a table that does not
+2. Patterns are counted over all documents with words; EM over these counts (a table that does not
    grow) estimates, for good and bad texts, how often each labeller says what.  Each
    pattern gets a posterior.
 3. A logistic scorer over hashed words and word endings learns the posteriors of a bounded
-   sample of about ``sample`` documents, by gradients summed over Spark tasks, and scores
+   sample of about ``sample`` distinct documents with words, by gradients summed over Spark tasks, and scores
    every document.  No hand label is read.
 
-A document without words has score 0 and is not kept.  Repeated rows are each scored.
+A document without words has score 0, is not kept, and takes no part in 2 and 3.  Repeated
+rows are each scored; in the sample they count once.
 """
 
 from __future__ import annotations
@@ -196,17 +197,25 @@ def fit(examples: DataFrame, steps: int = STEPS) -> np.ndarray:
     return w
 
 
+def drawn(worded: DataFrame, sample: int) -> DataFrame:
+    """``doc_id, text`` of about ``sample`` distinct rows, by a hash of both."""
+    hashed = F.xxhash64("doc_id", "text")
+    n = worded.agg(F.approx_count_distinct(hashed, 0.01)).first()[0]
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return worded.select("doc_id", "text").filter(draw < sample / max(n, 1)).distinct()
+
+
 def score(docs: DataFrame, keep: list[str], sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """A struct ``doc`` of the ``keep`` columns, ``posterior`` (of the votes), ``score``, ``kept``."""
     context = docs.sparkSession.sparkContext
-    counts = docs.select("text").mapInArrow(_count, "pattern bigint, n bigint").groupBy("pattern").agg(
+    worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    counts = worded.select("text").mapInArrow(_count, "pattern bigint, n bigint").groupBy("pattern").agg(
         F.sum("n").alias("n")
     )
     found = counts.collect()  # at most 3^LABELLERS rows
     pattern, n = (np.array([r[c] for r in found], np.int64) for c in ("pattern", "n"))
     posterior = context.broadcast(expectation_maximisation(pattern, n)[0])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = docs.select("text").filter(draw < sample / max(int(n.sum()), 1))
+    chosen = drawn(worded, sample).select("text")
     examples = Shared(docs.sparkSession, "quality").keep(
         chosen.mapInArrow(_examples(posterior), "good double, buckets array<int>, values array<double>"), "examples"
     )

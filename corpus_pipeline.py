@@ -17,7 +17,7 @@ from spanline.llm.sharding import assign_shards
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that no language fits."""
+    """Drops documents without letters."""
     return keep_identified(docs)
 
 

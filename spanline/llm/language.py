@@ -295,8 +295,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return found.select(F.struct(*fields).alias("doc"), "lang_pred", "score", "spans")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without those that are ``und`` or whose language has under ``least`` of the letters."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that have no letters; all of them if there is nothing to learn from.
+
+    A mix of languages or a script that no learned language writes is no reason to drop a text.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    found = identify(docs, model, docs.columns)
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("doc.*")
+    if not model.langs:
+        return docs
+    return identify(docs, model, docs.columns).filter(F.col("lang_pred") != UND).select("doc.*")

@@ -8,16 +8,15 @@ the array; windows of an item that follow each other form one verbatim match.
 
 The corpus is neither shuffled nor collected, so copies in any number cost what they
 weigh.  The benchmark travels to the tasks in blocks of at most about ``BLOCK_BYTES`` of
-text; further blocks are further passes.  Words are compared by 64-bit hashes.
+text, or one larger item; further blocks are further passes.  Words are compared by 64-bit hashes.
 
 A document without text has no words and no hits.  Items without id or words take no part;
-an item id that repeats stands for all its texts.  Rows that repeat are each judged.
+an item id that repeats stands for all its texts, once for each distinct one.  Rows that repeat are each judged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm.bytewords import ALNUM, find_words, text_chunks
-from spanline.llm.common import Shared
+from spanline.llm.common import Shared, running_total
 from spanline.llm.suffixes import Shard
 
 WINDOW = 13
@@ -106,6 +105,14 @@ def _search(suite, carry: list[str]):
     return run
 
 
+def dealt(items: DataFrame, block_bytes: int) -> DataFrame:
+    """Distinct ``item_id, text`` with ``block``: items that begin within the same ``block_bytes`` of text."""
+    rows = items.distinct().withColumn("_bytes", F.octet_length("text").cast("bigint"))
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(64))
+    placed = running_total(rows, [], bucket, ["item_id", "text"], F.col("_bytes"), "_ahead")
+    return placed.select("item_id", "text", F.floor(F.col("_ahead") / block_bytes).alias("block"))
+
+
 def find_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -121,14 +128,15 @@ def find_matches(
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
         "item_id is not null and text is not null"
     )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, ceil(size / block_bytes))
     shared = Shared(spark, "decontaminate")
+    items = shared.keep(dealt(items, block_bytes), "items")
+    numbers = [r["block"] for r in items.select("block").distinct().orderBy("block").collect()] or [0]
+    blocks = len(numbers)
     keep = docs.columns if keep is None else keep
     others = F.struct(F.lit(0).alias("_"), *[docs[c] for c in keep if c != "text"])
     rows = docs.select(others.alias("doc"), "text")
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    for k, number in enumerate(numbers):
+        part = items.filter(F.col("block") == number).select("item_id", "text")
         suite = spark.sparkContext.broadcast(Suite(part.toArrow(), window))
         carry = ["doc"] + ["text"] * ("text" in keep or k + 1 < blocks) + ["before"] * bool(k)
         types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry]

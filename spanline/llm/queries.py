@@ -317,3 +317,49 @@ def op6(spark, sf_dir):
     from spanline.llm.quality import score
 
     return score(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc.doc_id", "posterior", "score", "kept")
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+with w as (
+  select doc_id, coalesce(text, '') t,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') ws,
+    sha256('42:' || doc_id) d
+  from documents
+), h as (
+  select doc_id, t, ws, len(ws) n, ('0x' || substr(d, 1, 8))::bigint h1, ('0x' || substr(d, 9, 8))::bigint h2,
+    ('0x' || substr(d, 17, 8))::bigint h3, ('0x' || substr(d, 25, 8))::bigint h4
+  from w
+), f as (
+  select doc_id, t, ws, n, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end form
+  from h
+), cut as (
+  select doc_id, t, n, form, array_to_string(ws[1:a], '') p, array_to_string(ws[a + 1:b], '') m,
+    array_to_string(ws[b + 1:], '') s
+  from f
+)
+select doc_id, n::bigint n, form,
+  case when form <> 'plain' then length(p)::bigint end prefix_chars,
+  case when form <> 'plain' then length(m)::bigint end middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) output_sha256,
+  sha256(case form when 'plain' then t else p || m || s end) restored_sha256
+from cut
+""",
+)
+def op13(spark, sf_dir):
+    from spanline.llm.fill_middle import fill_middle, restore
+
+    out = fill_middle(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select(
+        "doc.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )

@@ -24,6 +24,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 CHUNK_BYTES = 2 << 20
+#: Words hashed at a time.
+BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
@@ -74,11 +76,11 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Words:
-    """Maximal runs of ``word_bytes`` within each text, hashed as lower-cased bytes."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of ``word_bytes`` within each text."""
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return none, none
     inside = word_bytes[data]
     texts = np.flatnonzero(np.diff(offsets))
     starts, ends = inside.copy(), inside.copy()
@@ -86,15 +88,28 @@ def find_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
     ends[:-1] &= ~inside[1:]
     starts[offsets[texts]] = inside[offsets[texts]]
     ends[offsets[texts + 1] - 1] = inside[offsets[texts + 1] - 1]
-    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    if not len(start):
-        return Words(start, end, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def _value(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A value of each word's lower-cased bytes."""
     length = end - start
-    place = np.arange(len(data), dtype=np.int64)
-    inner = place[inside] - np.repeat(start, length)
-    terms = (LOWER[data[inside]].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[inner]
-    edges = np.concatenate([[0], np.cumsum(length)[:-1]])
-    value = np.add.reduceat(terms, edges) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    first = np.cumsum(length) - length
+    inner = np.arange(length.sum()) - np.repeat(first, length)
+    terms = (LOWER[data[inner + np.repeat(start, length)]].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[inner]
+    return np.add.reduceat(terms, first) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Words:
+    """Maximal runs of ``word_bytes`` within each text, hashed as lower-cased bytes.
+
+    Hashes are made for ``BLOCK`` words at a time, so that a very long text needs little
+    more memory than its words' places.
+    """
+    start, end = word_spans(data, offsets, word_bytes)
+    value = np.zeros(len(start), np.uint64)
+    for lo in range(0, len(start), BLOCK):
+        value[lo : lo + BLOCK] = _value(data, start[lo : lo + BLOCK], end[lo : lo + BLOCK])
     return Words(start, end, mix(value), np.searchsorted(start, offsets))
 
 

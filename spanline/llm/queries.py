@@ -363,3 +363,54 @@ def op13(spark, sf_dir):
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+def _importance_sql() -> str:
+    """CRC-32 byte by byte, for the distinct features."""
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    words = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))"
+    return rf"""
+with crc as (
+  select list(list_reduce(range(8)::bigint[], lambda c, k: {step}, i) order by i) t from range(256) x(i)
+), words as (
+  select 0 side, doc_id id, coalesce({words}, []) ws from documents
+  union all select 1, item_id, coalesce({words}, []) from benchmark
+), feature as (
+  select side, id, g, count(*) n from (select side, id, unnest({runs}) g from words) group by all
+), hexed as (
+  select g, hex(encode(g)) x from (select distinct g from feature)
+), bucket as (
+  select g, xor(list_reduce(list_transform(range(1, length(x), 2), lambda j: ('0x' || substr(x, j, 2))::bigint),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 b
+  from hexed, crc
+), counted as (
+  select b, sum(n) filter (side = 0) s, sum(n) filter (side = 1) t from feature join bucket using (g) group by b
+), every as (
+  select coalesce(s, 0)::double s, coalesce(t, 0)::double t, i b from range(10000) x(i) left join counted on b = i
+), total as (
+  select sum(s) s_all, sum(t) t_all from every
+), gain as (
+  select b, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint gain from every, total
+), weighed as (
+  select id, sum(n)::bigint n, sum(n * gain)::bigint weight
+  from feature join bucket using (g) join gain using (b) where side = 0 group by id
+), scored as (
+  select id doc_id, len(ws) n_words, coalesce(n, 0) n_features, coalesce(weight, 0) weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+  from words left join weighed using (id) where side = 0
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () n from scored where n_words >= 20
+)
+select doc_id, n_features::bigint n_features, weight::bigint weight, score::bigint score,
+  case when r <= 5 * n // 100 then r end rank
+from scored left join ranked using (doc_id)
+"""
+
+
+@query("op11_importance_resampling", _importance_sql())
+def op11(spark, sf_dir):
+    from spanline.llm.importance import resample
+
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return out.select("doc.doc_id", "n_features", "weight", "score", "rank")

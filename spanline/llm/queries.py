@@ -414,3 +414,34 @@ def op11(spark, sf_dir):
 
     out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return out.select("doc.doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_embedding_near_dedup",
+    """
+with recursive v as (
+  select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link as (
+  select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach as (
+  select vec_id, vec_id r from embeddings
+  union
+  select vec_id, b from reach join link on r = a
+), c as (
+  select vec_id, min(r) component_id from reach group by vec_id
+), n as (
+  select a, count(*) n from link group by a
+)
+select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_id kept
+from c left join n on a = vec_id
+""",
+)
+def op12(spark, sf_dir):
+    from spanline.llm.embedding_dedup import near_vectors
+
+    out = near_vectors(table(spark, sf_dir, "embeddings"), ["vec_id"])
+    return out.select("doc.vec_id", "n_links", "component_id", "kept")

@@ -66,8 +66,11 @@ def votes(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
     again = np.bincount(text, before, minlength=len(n)) / count
     bare = ~np.add.reduceat(_LETTER[data] | _DIGIT[data], words.start).astype(bool) if len(text) else before
     lone = np.bincount(text, bare, minlength=len(n)) / count
-    pair = np.unique(np.stack([text, words.hash.view(np.int64)]), axis=1)[0] if len(text) else text
-    distinct = np.bincount(pair, minlength=len(n)) / np.sqrt(count)
+    # equal words of a text side by side: sorted by hash, then by text, both stable
+    order = np.lexsort((words.hash, text))
+    other = np.ones(len(text), bool)
+    other[1:] = (np.diff(words.hash[order]) != 0) | (np.diff(text) != 0)  # texts are in order as they are
+    distinct = np.bincount(text, other, minlength=len(n)) / np.sqrt(count)
     length = _per_text(NOT_SPACE[data], offsets) / count
     stops = np.bincount(text, last, minlength=len(n)) / count
     some = n >= 5

@@ -9,7 +9,8 @@ sentences.  A run's windows of ``PASSAGE`` words are what is compared:
 1. The anchor of a window is the least hash of its ``ANCHOR``-word grams, so equal windows
    have equal anchors.  Neighbouring windows with one anchor form a segment.
 2. A segment whose words repeat an earlier one goes as a whole; those at the edges of a
-   repeat are compared window by window.
+   repeat are compared window by window.  Windows are cut from the texts once it is known
+   which segments those are, so that few of them are ever written.
 
 **Sentences.** Units end at a line end, or at a word that ends with ``.``, ``!`` or ``?``.
 Of each digest, the smallest ``(doc_id, unit)`` is kept.  Repeats that stand side by side in
@@ -19,8 +20,9 @@ that each occur somewhere make no passage, and a license line that many document
 stays.
 
 Digests and anchors are first counted over all documents, combined before the shuffle.
-Those that occur twice are marked in a bitmap of fixed size (16 MB); only units and
-segments with a mark are written to the shared folder.  False marks only cost rows.
+Those that occur twice are marked in a bitmap of 64 bits for each, 128 MB at most; only units
+and segments with a mark are written to the shared folder.  False marks only cost rows.
+Texts are never shuffled, and each stored table goes as soon as it has been read.
 
 Both kinds of spans are united where they touch.
 
@@ -42,14 +44,13 @@ from spanline.llm.common import Shared
 
 MIN_WORDS, SOLID = 30, 4
 PASSAGE, ANCHOR = 51, 25
-BITS, SLOT_BITS = 27, 15
+#: Bits of a mark's place in a bitmap: least, most; and within one of its slots.
+LEAST_BITS, MOST_BITS, SLOT_BITS = 18, 30, 15
 STOPS = np.zeros(256, bool)
 STOPS[[0x2E, 0x21, 0x3F]] = True
 UNIT = "doc_id bigint, text_hash bigint, unit int, word int, begin bigint, end bigint, n_words int, h1 bigint, h2 bigint"
-SEGMENT = (
-    "doc_id bigint, text_hash bigint, word int, n int, begin bigint, end bigint, h bigint, r bigint,"
-    " d array<bigint>, begins array<bigint>, ends array<bigint>"
-)
+SEGMENT = "doc_id bigint, text_hash bigint, word int, n int, begin bigint, end bigint, h bigint, r bigint"
+WINDOW = "h bigint, d bigint, doc_id bigint, text_hash bigint, word int, begin bigint, end bigint"
 _INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 _inverses = np.ones(1, np.uint64)
 
@@ -110,17 +111,33 @@ def _pack_bits(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Marks by the first ``BITS`` bits of the hashes; 16 MB, whatever the corpus."""
-    bits = hashes.select(F.shiftrightunsigned("h", 64 - BITS).alias("bit")).distinct()
+    """Marks by the first bits of the values ``h``: 64 bits for each, 2^MOST_BITS (128 MB) at most."""
+    n = hashes.count()
+    size = min(max((64 * n).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = hashes.select(F.shiftrightunsigned("h", 64 - size).alias("bit")).distinct()
     slots = bits.groupBy(F.shiftright("bit", SLOT_BITS).alias("slot")).applyInArrow(
         _pack_bits, "slot bigint, bits binary"
     )
-    out = np.zeros((1 << (BITS - SLOT_BITS), 1 << (SLOT_BITS - 3)), np.uint8)
+    out = np.zeros((1 << (size - SLOT_BITS), 1 << (SLOT_BITS - 3)), np.uint8)
     for r in slots.collect():
         out[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes >> np.uint64(64 - (8 * len(marks)).bit_length() + 1)).astype(np.int64)
+    return (marks[bit >> 3] >> (7 - (bit & 7))) & 1 > 0
+
+
+def _place_hash(ids: np.ndarray, hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of where a segment begins."""
+    return mix(mix(ids.view(np.uint64) + hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + word.astype(np.uint64))
+
+
+def _columns(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+
+
 def _segments(marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,34 +149,65 @@ def _segments(marks):
                 head, size = p.head[marked], p.size[marked]
                 if not len(head):
                     continue
-                cuts = np.concatenate([[0], np.cumsum(size)])
-                inside = np.repeat(head - cuts[:-1], size) + np.arange(cuts[-1])
                 text, at = p.text[head], p.at[head]
                 char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                zero = char[offsets[p.text[inside]]]
-                begins = char[words.start[p.at[inside]]] - zero
-                ends = char[words.end[p.at[inside] + PASSAGE - 1]] - zero
+                zero = char[offsets[text]]
                 whole = p.hashes(at, size + PASSAGE - 1) + size.astype(np.uint64)
-                lists = [p.hashes(p.at[inside], PASSAGE).view(np.int64), begins, ends]
                 columns = [
                     ids[lo + text],
                     hashes[lo + text],
                     (at - words.first[text]).astype(np.int32),
                     size.astype(np.int32),
-                    begins[cuts[:-1]],
-                    ends[cuts[1:] - 1],
+                    char[words.start[at]] - zero,
+                    char[words.end[at + size + PASSAGE - 2]] - zero,
                     p.low[head].view(np.int64),
                     mix(whole).view(np.int64),
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns]
-                    + [pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(x)) for x in lists],
-                    names=[c.split()[0] for c in SEGMENT.split(", ")],
-                )
+                yield _columns(columns, SEGMENT)
 
     return run
 
 
+def _windows(marks):
+    """The windows of the segments whose place is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+            for lo, data, offsets in text_chunks(batch.column("text")):
+                words = find_words(data, offsets, NOT_SPACE)
+                p = _Passages(words)
+                text = p.text[p.head]
+                places = _place_hash(ids[lo + text], hashes[lo + text], p.at[p.head] - words.first[text])
+                marked = _marked(marks.value, places)
+                head, size = p.head[marked], p.size[marked]
+                if not len(head):
+                    continue
+                cuts = np.concatenate([[0], np.cumsum(size)])
+                inside = np.repeat(head - cuts[:-1], size) + np.arange(cuts[-1])
+                text, at = p.text[inside], p.at[inside]
+                char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                zero = char[offsets[text]]
+                columns = [
+                    np.repeat(p.low[head], size).view(np.int64),
+                    p.hashes(at, PASSAGE).view(np.int64),
+                    ids[lo + text],
+                    hashes[lo + text],
+                    (at - words.first[text]).astype(np.int32),
+                    char[words.start[at]] - zero,
+                    char[words.end[at + PASSAGE - 1]] - zero,
+                ]
+                yield _columns(columns, WINDOW)
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = _place_hash(*(batch.column(c).to_numpy() for c in ("doc_id", "text_hash", "word")))
+        yield pa.RecordBatch.from_pydict({"h": h.view(np.int64)})
+
+
 def _sentences(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """First word, number of words, text and digests of the units of a chunk."""
     n = len(words.hash)
@@ -177,11 +225,6 @@ def _sentences(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return head, size, text[head], digest
 
 
-def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    return (marks[bit >> 3] >> (7 - (bit & 7))) & 1 > 0
-
-
 def _units(marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,9 +250,7 @@ def _units(marks):
                     digest[0][some].view(np.int64),
                     digest[1][some].view(np.int64),
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], names=[c.split()[0] for c in UNIT.split(", ")]
-                )
+                yield _columns(columns, UNIT)
 
     return run
 
@@ -235,6 +276,7 @@ def _repeated_sentences(rows: DataFrame, marks, shared: Shared, min_words: int)
             F.col("_first.doc_id").alias("_from"),
             F.col("_first.unit").alias("_from_unit"),
         )
+        .repartition("doc_id", "text_hash")  # once for all steps below
         .dropDuplicates(["doc_id", "text_hash", "unit"])
     )
     # a window holds the repeats of one document
@@ -264,7 +306,9 @@ def _repeated_sentences(rows: DataFrame, marks, shared: Shared, min_words: int)
             F.sum("n_units").alias("n_units"),
         )
     )
-    return spans.filter(F.greatest("_solid", "_aligned") >= min_words).select(*PIECE)
+    out = shared.keep(spans.filter(F.greatest("_solid", "_aligned") >= min_words).select(*PIECE), "sentences")
+    shared.drop("units")
+    return out
 
 
 def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
@@ -278,22 +322,22 @@ def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
     )
     by_words = segments.groupBy("h", "r").agg(F.min(place).alias("_first"))
     mixed = by_words.groupBy("h").agg((F.min("r") < F.max("r")).alias("_mixed"))
-    judged = segments.join(by_words.join(mixed, "h"), ["h", "r"])
-    others = [first["doc_id"].alias("_from"), F.lit(0).cast("bigint").alias("n_units")]
-    whole = judged.filter(again).select(
-        "doc_id", "text_hash", "word", (F.col("word") + F.col("n") + (PASSAGE - 1)).alias("word_end"), "begin", "end", *others
-    )
     # the first of equal segments holds all their windows
-    edges = judged.filter(~again & (F.col("_mixed") | (F.col("n") > PASSAGE))).select(
-        "h", "doc_id", "text_hash", "word", F.posexplode(F.arrays_zip("d", "begins", "ends")).alias("_k", "_w")
+    edge = ~again & (F.col("_mixed") | (F.col("n") > PASSAGE))
+    judged = shared.keep(
+        segments.join(by_words.join(mixed, "h"), ["h", "r"])
+        .filter(again | edge)
+        .select("doc_id", "text_hash", "word", "n", "begin", "end", first["doc_id"].alias("_from"), again.alias("_again")),
+        "judged",
     )
-    windows = shared.keep(
-        edges.select(
-            "h", "_w.d", "doc_id", "text_hash", (F.col("word") + F.col("_k")).alias("word"),
-            F.col("_w.begins").alias("begin"), F.col("_w.ends").alias("end"),
-        ),
-        "windows",
+    shared.drop("segments")
+    others = [F.col("_from"), F.lit(0).cast("bigint").alias("n_units")]
+    whole = judged.filter("_again").select(
+        "doc_id", "text_hash", "word", (F.col("word") + F.col("n") + (PASSAGE - 1)).alias("word_end"), "begin", "end", *others
     )
+    places = judged.filter("not _again").select("doc_id", "text_hash", "word").mapInArrow(_places, "h bigint")
+    marked = rows.sparkSession.sparkContext.broadcast(_bitmap(places))
+    windows = shared.keep(rows.mapInArrow(_windows(marked), WINDOW), "windows")
     firsts = (
         windows.groupBy("h", "d")
         .agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
@@ -301,9 +345,12 @@ def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
         .drop("_last")
     )
     single = windows.join(firsts, ["h", "d"]).filter(again).select(
-        "doc_id", "text_hash", "word", (F.col("word") + PASSAGE).alias("word_end"), "begin", "end", *others
-    )
-    return whole.unionByName(single)
+        "doc_id", "text_hash", "word", (F.col("word") + PASSAGE).alias("word_end"), "begin", "end",
+        first["doc_id"].alias("_from"), F.lit(0).cast("bigint").alias("n_units"),
+    )
+    out = shared.keep(whole.unionByName(single), "passages")
+    shared.drop("judged", "windows")
+    return out
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -319,11 +366,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hashes = rows.select("text").mapInArrow(_hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     marks = docs.sparkSession.sparkContext.broadcast(_bitmap(hashes.filter("n > 1")))
     pieces = _repeated_sentences(rows, marks, shared, min_words).unionByName(_repeated_passages(rows, marks, shared))
+    marks.unpersist()
     # a window holds the repeats of one document
     along = Window.partitionBy("doc_id", "text_hash").orderBy("word", "word_end")
     ahead = F.max("word_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        pieces.dropDuplicates(["doc_id", "text_hash", "word", "word_end", "n_units"])
+        pieces.repartition("doc_id", "text_hash")
+        .dropDuplicates(["doc_id", "text_hash", "word", "word_end", "n_units"])
         .withColumn("_new", F.when(F.col("word") <= ahead, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "text_hash", "_run")

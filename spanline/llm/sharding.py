@@ -1,7 +1,9 @@
 """Sharding by balanced label propagation: linked documents gather, counts stay even.
 
 Documents that hang on the same *hub* are linked (here: equal texts; any table of links
-can be given as hubs of two).  Linked documents start round robin.  In each round
+can be given as hubs of two).  A hub larger than a shard first fills as many shards as it
+can on its own; what is left of it is spread like the rest, over the other shards.  Linked
+documents start round robin.  In each round
 
 1. the number of each hub's members per shard is counted, combined before the shuffle;
 2. each document looks at the shards of its hubs that rank above its own by members
@@ -12,8 +14,7 @@ can be given as hubs of two).  Linked documents start round robin.  In each roun
    their hubs, so that members move together.
 
 Then unlinked documents fill what is free.  Shard ``i`` of ``n`` holds exactly
-``floor(N / n)`` documents, one more for ``i < N mod n`` (law ``rows``).  A hub larger
-than a shard fills as few shards as the quotas allow.
+``floor(N / n)`` documents, one more for ``i < N mod n`` (law ``rows``).
 
 Ranks and slots come from counts per hash bucket plus a window within the bucket, so that
 no task holds a shard, a pair of shards or a hub as a whole.
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.llm.common import Shared, running_total
+from spanline.session import small_table
 
 BUCKETS = 1024
 ROUNDS = 8
@@ -109,6 +111,31 @@ def _accepted(proposals: DataFrame, room: DataFrame) -> DataFrame:
     ).filter("rank < quota").select("row", "target")
 
 
+def _whole_shards(members: DataFrame, sizes: list[int], shared: Shared) -> tuple[DataFrame | None, list[int]]:
+    """``(row, shard)`` of the shards that one hub fills alone, and the numbers of those shards."""
+    least = max(min(sizes), 2)
+    # at least ``least`` rows each, so no more hubs than about the shards
+    large = members.groupBy("hub").agg(F.count(_one()).alias("n")).filter(F.col("n") >= least).select("hub")
+    if not large.limit(1).count():
+        return None, []
+    # a row that hangs on several goes with one of them
+    rows = shared.keep(members.join(F.broadcast(large), "hub").groupBy("row").agg(F.min("hub").alias("hub")), "large")
+    taken, parts = 0, []
+    for r in sorted(rows.groupBy("hub").count().collect(), key=lambda r: (-r["count"], r["hub"])):
+        first = 0
+        while taken < len(sizes) and first + sizes[taken] <= r["count"]:
+            parts.append((r["hub"], first, first + sizes[taken], taken))
+            first, taken = first + sizes[taken], taken + 1
+    if not parts:
+        return None, []
+    kind = members.schema["hub"].dataType.simpleString()
+    plan = small_table(rows.sparkSession, parts, f"_hub {kind}, low bigint, high bigint, shard int")
+    here = (F.col("hub") == F.col("_hub")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+    placed = running_total(rows, ["hub"], _bucket(F.col("row"), 7), ["row"], _one(), "place")
+    # one row a shard at most
+    return shared.keep(placed.join(F.broadcast(plan), here).select("row", "shard"), "whole"), list(range(taken))
+
+
 def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared, rounds: int = ROUNDS) -> DataFrame:
     """``(row, shard, slot)`` for each ``row`` of ``rows``; ``members (row, hub)`` says who is linked.
 
@@ -117,8 +144,18 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared,
     spark = rows.sparkSession
     n = rows.count()
     least, more = divmod(n, shards)
+    whole, full = _whole_shards(members, [least + (k < more) for k in range(shards)], shared)
+    if whole is not None:
+        rows = shared.keep(rows.select("row").join(whole, "row", "left_anti"), "rest")
+        members = shared.keep(members.join(whole, "row", "left_anti"), "rest-members")
+    left = [k for k in range(shards) if k not in full]
+    numbers = F.array(*[F.lit(k) for k in left or [0]])
     size = F.when(F.col("id") < more, least + 1).otherwise(least)
-    capacity = spark.range(shards).select(F.col("id").cast("int").alias("shard"), size.alias("capacity"))
+    capacity = (
+        spark.range(shards)
+        .filter(F.col("id") >= len(full))
+        .select(F.col("id").cast("int").alias("shard"), size.alias("capacity"))
+    )
 
     def room(labels: DataFrame, slack: int = 0) -> DataFrame:
         load = labels.groupBy("shard").agg(F.count(_one()).alias("_load"))
@@ -129,7 +166,8 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared,
     linked = members.select("row").distinct()
     start = running_total(linked, [], _bucket(F.col("row"), 2), ["row"], _one(), "place")
     labels = shared.keep(
-        start.select("row", F.pmod("place", F.lit(shards)).cast("int").alias("shard")), "labels-0"
+        start.select("row", F.get(numbers, F.pmod("place", F.lit(max(len(left), 1))).cast("int")).alias("shard")),
+        "labels-0",
     )
     step = 0
     for step in range(1, rounds + 1):
@@ -160,9 +198,10 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, shared: Shared,
     fillers = first.select("row", "place").union(rest.select("row", F.col("place") + n_over))
     # one number per shard: the free places up to it
     free = {r["shard"]: r["free"] for r in room(inside).collect()}
-    upto = list(accumulate(free[k] for k in range(shards)))
-    shard = F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= F.col("place")))
-    placed = shared.keep(inside.unionByName(fillers.select("row", shard.alias("shard"))), "placed")
+    upto = list(accumulate(free[k] for k in left)) or [0]
+    shard = F.get(numbers, F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= F.col("place"))))
+    found = inside.unionByName(fillers.select("row", shard.alias("shard")))
+    placed = shared.keep(found if whole is None else found.unionByName(whole), "placed")
     return running_total(placed, ["shard"], _bucket(F.col("row"), 4), ["row"], _one(), "slot")
 
 

@@ -111,7 +111,7 @@ def _pack_bits(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Marks by the first bits of the values ``h``: 64 bits for each, 2^MOST_BITS (128 MB) at most."""
+    """Marks by the first bits of the stored values ``h``: 64 bits for each, 2^MOST_BITS (128 MB) at most."""
     n = hashes.count()
     size = min(max((64 * n).bit_length(), LEAST_BITS), MOST_BITS)
     bits = hashes.select(F.shiftrightunsigned("h", 64 - size).alias("bit")).distinct()
@@ -321,11 +321,12 @@ def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
         (F.col("doc_id") == first["doc_id"]) & (F.col("word") >= first["word"] + PASSAGE)
     )
     by_words = segments.groupBy("h", "r").agg(F.min(place).alias("_first"))
-    mixed = by_words.groupBy("h").agg((F.min("r") < F.max("r")).alias("_mixed"))
+    mixed = segments.groupBy("h").agg(F.min("r").alias("_r"), F.max("r").alias("_s")).filter("_r < _s").select("h", "_r")
     # the first of equal segments holds all their windows
-    edge = ~again & (F.col("_mixed") | (F.col("n") > PASSAGE))
+    edge = ~again & (F.col("_r").isNotNull() | (F.col("n") > PASSAGE))
     judged = shared.keep(
-        segments.join(by_words.join(mixed, "h"), ["h", "r"])
+        segments.join(by_words, ["h", "r"])
+        .join(mixed, "h", "left")
         .filter(again | edge)
         .select("doc_id", "text_hash", "word", "n", "begin", "end", first["doc_id"].alias("_from"), again.alias("_again")),
         "judged",
@@ -335,7 +336,9 @@ def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
     whole = judged.filter("_again").select(
         "doc_id", "text_hash", "word", (F.col("word") + F.col("n") + (PASSAGE - 1)).alias("word_end"), "begin", "end", *others
     )
-    places = judged.filter("not _again").select("doc_id", "text_hash", "word").mapInArrow(_places, "h bigint")
+    places = shared.keep(
+        judged.filter("not _again").select("doc_id", "text_hash", "word").mapInArrow(_places, "h bigint"), "places"
+    )
     marked = rows.sparkSession.sparkContext.broadcast(_bitmap(places))
     windows = shared.keep(rows.mapInArrow(_windows(marked), WINDOW), "windows")
     firsts = (
@@ -349,7 +352,7 @@ def _repeated_passages(rows: DataFrame, marks, shared: Shared) -> DataFrame:
         first["doc_id"].alias("_from"), F.lit(0).cast("bigint").alias("n_units"),
     )
     out = shared.keep(whole.unionByName(single), "passages")
-    shared.drop("judged", "windows")
+    shared.drop("judged", "places", "windows")
     return out
 
 
@@ -357,14 +360,16 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text_hash, begin, end, n_words, n_units, first_doc_id`` of each span to remove.
 
     ``n_units`` counts the whole sentences that were found as such, ``first_doc_id`` holds
-    the kept occurrence of the span's first words.
+    an earlier occurrence of the span's first words.
     """
     rows = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
     )
     shared = Shared(docs.sparkSession, "substring-dedup")
     hashes = rows.select("text").mapInArrow(_hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(hashes.filter("n > 1")))
+    repeated = shared.keep(hashes.filter("n > 1").select("h"), "repeated")
+    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+    shared.drop("repeated")
     pieces = _repeated_sentences(rows, marks, shared, min_words).unionByName(_repeated_passages(rows, marks, shared))
     marks.unpersist()
     # a window holds the repeats of one document

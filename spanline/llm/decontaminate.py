@@ -11,7 +11,8 @@ weigh.  The benchmark travels to the tasks in blocks of at most about ``BLOCK_BY
 text, or one larger item; further blocks are further passes.  Words are compared by 64-bit hashes.
 
 A document without text has no words and no hits.  Items without id or words take no part;
-an item id that repeats stands for all its texts, once for each distinct one.  Rows that repeat are each judged.
+an item id that repeats stands for all its texts, once for each distinct one, and may be of any
+type.  Rows that repeat are each judged.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from spanline.llm.suffixes import Shard
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
-MATCH = pa.struct([("word", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.int64())])
-FOUND = "n_words bigint, matches array<struct<word: bigint, n_words: bigint, item_id: bigint>>"
+MATCH = ["word", "n_words", "item_id"]
 
 
 class Suite:
@@ -48,7 +48,7 @@ class Suite:
             left.append(np.repeat(words.first[1:], n) - np.arange(len(words.hash)))
         whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.hash, self.item, self.left = whole(hashes, np.uint64), whole(item, np.int64), whole(left, np.int64)
-        self.id = items.column("item_id").to_numpy()
+        self.id = pa.chunked_array(items.column("item_id")).combine_chunks()
         total = np.bincount(self.item, minlength=len(self.id))
         self.window = np.minimum(window, total)[self.item] if len(self.item) else self.left
         self.depth = int(total.max()) + 1 if len(total) else 1
@@ -65,7 +65,7 @@ class Suite:
 
 
 def _matches(suite: Suite, hashes, first) -> tuple[np.ndarray, ...]:
-    """Maximal matches made of windows: text, first word in it, number of words, item id."""
+    """Maximal matches made of windows: text, first word in it, number of words, number of the item."""
     shard = Shard(hashes, first, suite.depth)
     t, place = suite.occurrences(shard)
     item = suite.item[t]
@@ -78,7 +78,7 @@ def _matches(suite: Suite, hashes, first) -> tuple[np.ndarray, ...]:
     text = shard.text[place[head]]
     order = np.argsort(text, kind="stable")
     head, run, text = head[order], run[order], text[order]
-    return text, place[head] - shard.begin[text], run - 1 + suite.window[t[head]], suite.id[item[head]]
+    return text, place[head] - shard.begin[text], run - 1 + suite.window[t[head]], item[head]
 
 
 def _search(suite, carry: list[str]):
@@ -89,7 +89,7 @@ def _search(suite, carry: list[str]):
                 n = len(offsets) - 1
                 text, word, length, item = _matches(suite.value, words.hash, words.first)
                 found = pa.StructArray.from_arrays(
-                    [pa.array(word), pa.array(length), pa.array(item)], fields=list(MATCH)
+                    [pa.array(word), pa.array(length), suite.value.id.take(pa.array(item))], MATCH
                 )
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(lo, n) for c in carry]
@@ -125,9 +125,9 @@ def find_matches(
     A match is a place in words, a length in words, and the item's id.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
-        "item_id is not null and text is not null"
-    )
+    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    kind = items.schema["item_id"].dataType.simpleString()
+    matches = f"n_words bigint, matches array<struct<word: bigint, n_words: bigint, item_id: {kind}>>"
     shared = Shared(spark, "decontaminate")
     items = shared.keep(dealt(items, block_bytes), "items")
     numbers = [r["block"] for r in items.select("block").distinct().orderBy("block").collect()] or [0]
@@ -141,7 +141,7 @@ def find_matches(
         carry = ["doc"] + ["text"] * ("text" in keep or k + 1 < blocks) + ["before"] * bool(k)
         types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry]
         found = rows.select("doc", "text", *["before"] * bool(k)).mapInArrow(
-            _search(suite, carry), ", ".join([*types, FOUND])
+            _search(suite, carry), ", ".join([*types, matches])
         )
         if k:
             found = found.withColumn("matches", F.concat("before", "matches")).drop("before")

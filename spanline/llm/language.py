@@ -7,12 +7,19 @@ Over a text's words, Viterbi finds the best sequence of labels at ``PENALTY`` na
 switch.  The text's language is the label with most letters, its score that label's part
 of all letters.
 
-Trained on a bounded sample: about ``per_language`` documents of each language, picked by
-a hash of their ids.  The model takes 128 KB a language, whatever the corpus.
+Trained on a bounded sample: about ``per_language`` distinct documents of each of the
+``max_languages`` languages with most labelled ones, picked by a hash of id and text.  The
+model takes 128 KB a language, whatever the corpus.
 
 Null texts and texts without letters are ``und`` with score 0, as is everything if there
 is nothing to learn from.  Letters of a script that no learned language writes count as
 unknown; a text of nothing else gets the language with most training text, score 0.
+Repeated rows are each labelled; an empty table gives an empty result.  Ties go to the
+language that comes first by name.  A text of any length is read whole: the words of long
+ones go through Viterbi in blocks, by (max, +) matrices.
+
+``evidence`` says how much likelier the words are in the languages they were given than
+letters at random, in nats.  Letters at random are what the stage of the pipeline rejects.
 """
 
 from __future__ import annotations
@@ -31,7 +38,11 @@ from spanline.llm.bytewords import text_chunks
 BUCKETS = 1 << 15
 PENALTY = 8.0
 PER_LANGUAGE = 20_000
-MAX_SENT = 10_000
+MAX_LANGUAGES = 1000
+#: Texts with more words are labelled block by block; words scored at a time.
+LONG, BLOCK = 4096, 1 << 16
+#: Evidence below which a text is letters at random: in all, and for each letter.
+REJECT, REJECT_EACH = -30.0, -1.0
 CHUNK = 2 << 20
 PLANES = 0x20000
 UND = "und"
@@ -164,20 +175,83 @@ class Model:
         self.writes[0] |= ~self.writes.any(1)[0]  # letters outside all blocks rule nothing out
         self.usual = int(letters.sum(1).argmax()) if rows else 0
 
-    def word_scores(self, words: _Letters) -> tuple[np.ndarray, np.ndarray]:
-        """(words, languages) scores, 0 at best; whether any language writes the word's script."""
-        sums = np.add.reduceat(self.scores[words.trigram], words.edges, axis=0)
-        may = self.writes[words.script]
-        known = may.any(1)
-        top = np.where(may, sums, -np.inf).max(1, keepdims=True, where=may | ~known[:, None], initial=-1e30)
-        sums = np.where(may, np.maximum(sums - top, -50.0), -50.0)
-        sums[~known] = 0.0
-        return sums.astype(np.float32), known
+    def word_scores(self, words: _Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, languages) scores, 0 at best; whether any language writes the word's script; the best one's nats."""
+        n = len(words.start)
+        scores, known, nats = np.empty((n, len(self.langs)), np.float32), np.empty(n, bool), np.empty(n)
+        ends = np.append(words.edges[1:], len(words.trigram))
+        for lo in range(0, n, BLOCK):
+            part = slice(lo, lo + BLOCK)
+            first, last = words.edges[lo], ends[part][-1]
+            sums = np.add.reduceat(self.scores[words.trigram[first:last]], words.edges[part] - first, axis=0)
+            may = self.writes[words.script[part]]
+            known[part] = may.any(1)
+            top = np.where(may, sums, -np.inf).max(1, keepdims=True, where=may | ~known[part, None], initial=-1e30)
+            nats[part] = np.where(known[part], top[:, 0], 0.0)
+            sums = np.where(may, np.maximum(sums - top, -50.0), -50.0)
+            sums[~known[part]] = 0.0
+            scores[part] = sums
+        return scores, known, nats
+
+
+def _before(v: np.ndarray, later: np.ndarray, penalty: float) -> np.ndarray:
+    """The best label ahead of ``later``, for rows ``v`` of scores up to there."""
+    top = v.argmax(-1)
+    at = lambda k: np.take_along_axis(v, k[..., None], -1)[..., 0]
+    return np.where(at(later) >= at(top) - penalty, later, top)
+
+
+def viterbi_long(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """Best labels of the words of one text, in steps that handle one word of each of many blocks.
+
+    A block's (max, +) matrix says how well each label follows each label ahead of the
+    block.  A chain of those matrices gives the scores ahead of every block, and from
+    there on, all blocks are gone through at once.
+    """
+    n, k = scores.shape
+    size = int(np.ceil(np.sqrt(n)))
+    many = -(-n // size)
+    s = np.zeros((many * size, k))
+    s[:n] = scores  # words without scores at the end change no label
+    s = s.reshape(many, size, k)
+    step = np.where(np.eye(k, dtype=bool), 0.0, -penalty)[None] + s[:, 0, None, :]
+    for t in range(1, size):
+        step = np.maximum(step, step.max(2, keepdims=True) - penalty) + s[:, t, None, :]
+    ahead = np.zeros((many, k))
+    for b in range(1, many):
+        ahead[b] = (ahead[b - 1][:, None] + step[b - 1]).max(0)
+        ahead[b] -= ahead[b].max()
+    best = np.empty((many, size, k))
+    v = ahead
+    for t in range(size):
+        v = np.maximum(v, v.max(1, keepdims=True) - penalty) + s[:, t]
+        v -= v.max(1, keepdims=True)
+        best[:, t] = v
+    # labels for each label that a block can end with, then the one that it does end with
+    labels = np.empty((many, size, k), np.int32)
+    labels[:, -1] = np.arange(k)
+    for t in range(size - 2, -1, -1):
+        labels[:, t] = _before(np.broadcast_to(best[:, t, None, :], (many, k, k)), labels[:, t + 1], penalty)
+    out = np.empty((many, size), np.int64)
+    end = int(best[-1, -1].argmax())
+    for b in range(many - 1, -1, -1):
+        out[b] = labels[b, :, end]
+        if b:
+            end = int(_before(best[b - 1, -1][None], out[b, :1], penalty)[0])
+    return out.reshape(-1)[:n]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels of the words of many texts; one step handles the words at one place of all texts."""
     n = np.diff(first)
+    if (n > LONG).any():
+        label = np.empty(len(scores), np.int64)
+        long = np.repeat(n > LONG, n)
+        short = np.where(n > LONG, 0, n)
+        label[~long] = viterbi(scores[~long], np.concatenate([[0], np.cumsum(short)]), penalty)
+        for k in np.flatnonzero(n > LONG):
+            label[first[k] : first[k + 1]] = viterbi_long(scores[first[k] : first[k + 1]], penalty)
+        return label
     order = np.argsort(-n, kind="stable")
     start, n = first[:-1][order], n[order]
     longest = int(n[0]) if len(n) else 0
@@ -211,11 +285,15 @@ class _Labels:
         text = np.repeat(np.arange(n), np.diff(words.first))
         letters = np.bincount(text, words.letters, minlength=n)
         self.some = letters > 0
-        self.best, self.score = np.zeros(n, np.int64), np.zeros(n)
+        self.best, self.score, self.evidence = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        self.known = np.zeros(n)
         self.words, self.text, self.label = words, text, np.zeros(len(text), np.int64)
         if k and len(text):
-            scores, known = model.word_scores(words)
+            scores, known, nats = model.word_scores(words)
             self.label = viterbi(scores, words.first, PENALTY)
+            nats += np.where(known, scores[np.arange(len(text)), self.label] + (words.end - words.start) * np.log(BUCKETS), 0.0)
+            self.evidence = np.bincount(text, nats, minlength=n)
+            self.known = np.bincount(text, words.letters * known, minlength=n)
             per = np.bincount(text * k + self.label, words.letters * known, minlength=n * k).reshape(n, k)
             self.best = np.where(per.any(1), per.argmax(1), model.usual)
             self.score = per[np.arange(n), self.best] / np.maximum(letters, 1)
@@ -244,14 +322,26 @@ class _Labels:
         return pa.ListArray.from_arrays(np.searchsorted(text, np.arange(n + 1)).astype(np.int32), spans)
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of ``labelled (doc_id, text, lang)``, from about ``per_language`` rows a language at most."""
+def sampled(labelled: DataFrame, per_language: int, max_languages: int) -> DataFrame:
+    """``lang, text`` of about ``per_language`` distinct rows of each language at most."""
     rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    part = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_part"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # one short row a language; beyond that many the texts are shuffled to it
-    few = rows.select("lang").distinct().limit(MAX_SENT + 1).count() <= MAX_SENT
-    sample = rows.join(F.broadcast(part) if few else part, "lang").filter(draw < F.col("_part")).select("lang", "text")
+    hashed = F.xxhash64("doc_id", "text")
+    part = (
+        rows.groupBy("lang")
+        .agg(F.approx_count_distinct(hashed, 0.02).alias("_n"))
+        .orderBy(F.col("_n").desc(), "lang")
+        .limit(max_languages)
+        .select(F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("_n")).alias("_part"))
+    )
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # one short row a language, ``max_languages`` at most
+    drawn = rows.join(F.broadcast(part), F.col("lang") == F.col("_lang")).filter(draw < F.col("_part"))
+    return drawn.select("doc_id", "lang", "text").distinct().select("lang", "text")
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model of ``labelled (doc_id, text, lang)``, from about ``per_language`` distinct rows a language at most."""
+    sample = sampled(labelled, per_language, max_languages)
     counts = sample.mapInArrow(_count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(
         F.sum("n").alias("n")
     )
@@ -265,7 +355,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """A struct ``doc`` of the ``keep`` columns, ``lang_pred``, ``score``, and ``spans (begin, end, lang)``."""
+    """A struct ``doc`` of the ``keep`` columns, ``lang_pred``, ``score``, ``evidence``, and ``spans (begin, end, lang)``.
+
+    ``known_letters`` counts the letters that the evidence is about, those of learned scripts.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     carry = ["doc"] + ["text"] * ("text" in keep)
@@ -280,9 +373,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                         *[batch.column(c).slice(lo, len(offsets) - 1) for c in carry],
                         pa.array(found.names(langs), pa.string()),
                         pa.array(found.score),
+                        pa.array(found.evidence),
+                        pa.array(found.known),
                         found.spans(langs),
                     ],
-                    names=[*carry, "lang_pred", "score", "spans"],
+                    names=[*carry, "lang_pred", "score", "evidence", "known_letters", "spans"],
                 )
 
     # the text crosses over once, beside the other columns
@@ -290,17 +385,25 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     rows = docs.select(others.alias("doc"), "text")
     types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry]
     spans = "array<struct<begin: bigint, end: bigint, lang: string>>"
-    found = rows.mapInArrow(run, ", ".join([*types, "lang_pred string, score double", f"spans {spans}"]))
+    found = rows.mapInArrow(run, ", ".join([*types, "lang_pred string, score double, evidence double, known_letters double", f"spans {spans}"]))
     fields = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in keep]
-    return found.select(F.struct(*fields).alias("doc"), "lang_pred", "score", "spans")
+    return found.select(F.struct(*fields).alias("doc"), "lang_pred", "score", "evidence", "known_letters", "spans")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have no letters; all of them if there is nothing to learn from.
+def keep_identified(docs: DataFrame, least: float = REJECT, each: float = REJECT_EACH) -> DataFrame:
+    """``docs`` without those in no language, and with the language found where ``lang`` is null.
 
-    A mix of languages or a script that no learned language writes is no reason to drop a text.
+    Texts without letters go, and those whose letters look drawn at random: evidence under
+    ``least`` in all and under ``each`` for a letter of a learned script.  A mix of languages or
+    a script that no learned language writes is no reason to drop a text; the latter keeps
+    its null.  Everything stays as it is if there is nothing to learn from.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     if not model.langs:
         return docs
-    return identify(docs, model, docs.columns).filter(F.col("lang_pred") != UND).select("doc.*")
+    found = identify(docs, model, docs.columns).filter(F.col("lang_pred") != UND)
+    random = (F.col("evidence") < least) & (F.col("evidence") < each * F.col("known_letters"))
+    named = F.coalesce("doc.lang", F.when(F.col("score") >= 0.5, F.col("lang_pred")))
+    return found.filter(~random).select(
+        *[named.alias(c) if c == "lang" else F.col(f"doc.`{c}`") for c in docs.columns]
+    )

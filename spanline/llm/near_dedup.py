@@ -344,3 +344,28 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that stand for their group, by their id; rows without id stay."""
     gone = near_duplicates(docs, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest id.
+
+    Unlike in ``drop_near_duplicates``, rows that repeat id and text leave one, and rows without
+    id are members of groups like others: one stays only if its group has no row with an id.
+    Texts without words are in no group; of those, rows that repeat leave one.
+    """
+    # ids for rows without one: the same for equal texts, and behind real ids
+    stand_in = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+        F.coalesce(docs["doc_id"].cast("bigint"), stand_in).alias("id"),
+        *[F.xxhash64(F.lit(k), docs["text"]).alias(f"h{k}") for k in (1, 2)],
+    )
+    found = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text")), percent)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = rows.join(gone, F.col("id") == F.col("_id"), "left_anti")
+    keys = ["id", "h1", "h2"]
+    many = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = many.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = (F.col("id") == F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    first = left.join(again, same, "left_semi").dropDuplicates(keys)
+    return left.join(again, same, "left_anti").unionByName(first).select("doc.*")

@@ -12,18 +12,18 @@ from spanline.llm.common import Shared, table
 from spanline.llm.decontaminate import decontaminate
 from spanline.llm.language import keep_identified
 from spanline.llm.mixing import mix_documents
-from spanline.llm.near_dedup import drop_near_duplicates
+from spanline.llm.near_dedup import one_of_each_group
 from spanline.llm.sharding import assign_shards
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters."""
+    """Drops documents without letters or of random ones; names the language where it is null."""
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """Keeps one row of each group of near duplicates, that of the smallest id."""
+    return one_of_each_group(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Language ID is a trained model, so SQL can't say the rows; tests/llm has a plain version of each stage.
+#: Language ID is a trained model, so SQL can't say the rows; tests/llm holds the stages against plain rules.
 ORACLE_SQL = None
 
 

@@ -9,25 +9,41 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanline.operators.joins import bounded_values, in_any_range
+from spanline.operators.joins import in_any_range
 from spanline.ordered import GroupMax, Layout, RunSum, scan
 from spanline.session import cut_lineage
 
 
-def label_index(
-    df: DataFrame, label: str, vocab: DataFrame, out: str = "label_id", max_vocab: int = 10_000
-) -> DataFrame:
+def dictionary(vocab: DataFrame, label: str, out: str = "id") -> DataFrame:
+    """Each distinct label with its place (from 0) among the sorted ones, for any number of labels.
+
+    Labels are range-partitioned and sorted; a label's place is its place in its
+    partition plus the sizes of the partitions ahead, one row each.  Null has no place.
+    """
+    values = vocab.select(label).filter(F.col(label).isNotNull()).distinct()
+    spread = values.repartitionByRange(label).sortWithinPartitions(label)
+    placed = cut_lineage(spread.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    # one row a partition
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(starts), part == F.col("_part")).select(label, place.alias(out))
+
+
+def label_index(df: DataFrame, label: str, vocab: DataFrame, out: str = "label_id") -> DataFrame:
     """Position of each label in its sorted vocabulary; a label outside it is an error."""
-    values = bounded_values(vocab, label, max_vocab)
-    arr = F.array(*[F.lit(v) for v in values])
-    at = F.array_position(arr, F.col(label))
-    strict = F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(
-        F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.coalesce(label, F.lit("NULL"))))
+    ids = dictionary(vocab, label, "_id").withColumnRenamed(label, "_label")
+    strict = F.when(F.col("_id").isNotNull(), F.col("_id")).otherwise(
+        F.raise_error(
+            F.concat(F.lit("label outside the vocabulary: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL")))
+        ).cast("bigint")
     )
-    return df.withColumn(out, strict.cast("int"))
+    return df.join(ids, F.col(label) == F.col("_label"), "left").withColumn(out, strict.cast("int")).drop("_id", "_label")
 
 
 def split_train_val(
@@ -109,7 +125,8 @@ def outcome_classifier(
     df: DataFrame, id_col: str, classes: int, seed: int = 0, hidden: int = 8, rounds: int = 20
 ) -> DataFrame:
     """Train on nine tenths of the rows and report accuracy on the last tenth (by hash)."""
-    bucket = F.pmod(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(seed))), F.lit(10))
+    digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(seed)))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10
     train, val = df.filter(bucket != 0), df.filter(bucket == 0)
     width = df.select("features").first()[0].size
     net = MultilayerPerceptronClassifier(
@@ -249,7 +266,8 @@ def score_batches(
     """Index of the best class per row, with the model of the row's mode or the base one.
 
     A model is a matrix of class weights (class x dimension); models travel with
-    the task and rows are scored in Arrow batches.
+    the task and rows are scored in Arrow batches.  A vector that is null or holds a null
+    has neither class nor score.
     """
     size = sum(np.asarray(w).nbytes for w in models.values())
     if size > max_model_bytes:
@@ -264,16 +282,23 @@ def score_batches(
             modes = np.asarray(batch.column(by).to_pylist(), dtype=object)
             if not batch.num_rows:
                 continue
-            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
-            x = flat.astype(float).reshape(batch.num_rows, -1)
-            best = np.zeros(len(x), dtype=np.int32)
-            score = np.zeros(len(x))
+            column = batch.column(vector)
+            values, offsets = column.values, column.offsets.to_numpy()
+            nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+            whole = column.is_valid().to_numpy(zero_copy_only=False) & (nulls[offsets[1:]] == nulls[offsets[:-1]])
+            best = np.zeros(batch.num_rows, dtype=np.int32)
+            score = np.zeros(batch.num_rows)
             for mode in set(modes.tolist()):
-                own = modes == mode
-                s = x[own] @ weights.get(mode, weights[base]).T
+                w = weights.get(mode, weights[base])
+                own = np.flatnonzero(whole & (modes == mode))
+                if (np.diff(offsets)[own] != w.shape[1]).any():
+                    raise ValueError(f"vectors of mode {mode} have other sizes than their model")
+                place = offsets[:-1][own][:, None] + np.arange(w.shape[1])
+                x = values.take(pa.array(place.reshape(-1))).to_numpy(zero_copy_only=False).astype(float)
+                s = x.reshape(len(own), w.shape[1]) @ w.T
                 best[own], score[own] = s.argmax(axis=1), s.max(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(best), pa.array(score)],
+                [batch.column(id_col), pa.array(best, mask=~whole), pa.array(score, mask=~whole)],
                 names=[id_col, "best", "score"],
             )
 

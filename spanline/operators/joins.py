@@ -10,11 +10,13 @@ only after looking at its size.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.ordered import Layout, Next, RunSum, nearest_rows, scan
+from spanline.session import cut_lineage
 
 
 def state_at(
@@ -365,28 +367,52 @@ def relaxed_match(
 ) -> DataFrame:
     """Best right row per left row, matching ever fewer leading fields.
 
-    For each prefix length the right side keeps only its first row (lowest
-    ``right_ord``) per key, so each attempt is an equi-join with one candidate and
-    the first attempt that finds one wins.  ``flag`` must agree at every level.
+    An index holds, for each level, the first right row (lowest ``right_ord``) of every
+    prefix.  The distinct field combinations of the left side, far fewer than its rows, look
+    up all their prefixes in it by one join; the longest prefix found wins.  The left
+    side itself is joined once, to the result of its combination, so a prefix that a third
+    of all rows share is looked up once for each of its combinations.  ``flag`` must agree at
+    every level; null fields agree with null ones.  Prefixes are told apart by 128 bits.
     """
     always = [flag] if flag else []
-    out = left
-    for level, n in enumerate(prefixes):
-        cols = [*fields[:n], *always]
-        firsts = right.groupBy(*[F.col(c).alias(f"_{c}") for c in cols]).agg(
-            F.min(right_ord).alias(f"_m{level}")
-        )
-        on = F.lit(True)
+    every = [*fields[: max(prefixes)], *always]
+
+    def key(df: DataFrame, level: int, cols: Sequence[str]) -> list[Column]:
+        parts = [F.lit(level)]
         for c in cols:
-            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        out = out.join(firsts, on, "left").drop(*[f"_{c}" for c in cols])
-    hits = [F.col(f"_m{i}") for i in range(len(prefixes))]
-    level = F.lit(None).cast("int")
-    for i in reversed(range(len(prefixes))):
-        level = F.when(hits[i].isNotNull(), F.lit(prefixes[i])).otherwise(level)
-    return out.withColumn("matched_ord", F.coalesce(*hits)).withColumn(
-        "matched_fields", level
-    ).drop(*[f"_m{i}" for i in range(len(prefixes))])
+            parts += [df[c].isNull(), df[c]]
+        return [F.xxhash64(F.lit(k), *parts) for k in (1, 2)]
+
+    def exploded(df: DataFrame, rest: list[str]) -> DataFrame:
+        keys = []
+        for level, n in enumerate(prefixes):
+            hashes = [h.alias(f"h{k}") for k, h in enumerate(key(df, level, [*fields[:n], *always]))]
+            keys.append(F.struct(F.lit(level).alias("level"), *hashes))
+        return df.select(*rest, F.explode(F.array(*keys)).alias("_p")).select(*rest, "_p.*")
+
+    index = (
+        exploded(right.select(*every, F.col(right_ord).alias("_ord")), ["_ord"])
+        .groupBy("h0", "h1")
+        .agg(F.min("_ord").alias("_ord"))
+        .filter("_ord is not null")
+    )
+    combos = left.select(*every).distinct()
+    whole = key(combos, -1, every)
+    asked = exploded(combos.select(*every, whole[0].alias("_c0"), whole[1].alias("_c1")), ["_c0", "_c1"])
+    best = (
+        asked.join(index, ["h0", "h1"])
+        .groupBy("_c0", "_c1")
+        .agg(F.min(F.struct("level", "_ord")).alias("_best"))
+        .select("_c0", "_c1", "_best")
+    )
+    own = key(left, -1, every)
+    sizes = F.array(*[F.lit(n) for n in prefixes])
+    return (
+        left.join(best, (own[0] == F.col("_c0")) & (own[1] == F.col("_c1")), "left")
+        .withColumn("matched_ord", F.col("_best._ord"))
+        .withColumn("matched_fields", F.get(sizes, F.col("_best.level")))
+        .drop("_c0", "_c1", "_best")
+    )
 
 
 def require_cause(
@@ -479,41 +505,73 @@ def eligibility_mask(
     return masked.withColumn(scores_col, new).drop(*[f"_ok{i}" for i in range(len(names))])
 
 
+def deletions(text: Column, n: int) -> Column:
+    """All strings left when up to ``n`` characters are taken out, each once."""
+    out = F.array(text)
+    for _ in range(n):
+        shorter = F.transform(
+            out,
+            lambda x: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1))),
+                lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))),
+            ),
+        )
+        out = F.array_distinct(F.concat(out, F.flatten(shorter)))
+    return out
+
+
+#: Longest names whose deletions of one and of two characters are listed.
+DELETION_LIMITS = {1: 200, 2: 40}
+
+
 def nearest_name(
     names: DataFrame,
     roster: DataFrame,
     name: str,
     roster_name: str,
-    max_roster: int = 10_000,
+    block: int = 512,
 ) -> DataFrame:
     """Closest roster name by edit distance (ties: lowest in order) for every name.
 
-    A roster of checked size travels as one sorted array in the plan.
+    Two strings within ``d`` edits have a string in common among those left after up to
+    ``d`` deletions from each.  Distinct names meet the roster by an equi join on such
+    strings, first for one edit, then, those without a hit, for two; hits are measured.
+    Names further off are measured against the whole roster, in blocks of about ``block``
+    names; there is no limit on the roster.  Names without any roster name are left out.
     """
-    arr = bounded_values(roster, roster_name, max_roster)
-    # names repeat in observations: measure each distinct one once
-    uniq = names.select(name).distinct()
-    cand = F.transform(
-        F.array(*[F.lit(v) for v in arr]),
-        lambda r: F.struct(F.levenshtein(F.col(name), r).alias("d"), r.alias("n")),
-    )
-    best = uniq.withColumn("_best", F.array_min(cand))
+    # names repeat in observations: each distinct one is looked up once
+    left = cut_lineage(names.select(F.col(name).alias("_name")).filter("_name is not null").distinct())
+    entries = cut_lineage(roster.select(F.col(roster_name).alias("_entry")).filter("_entry is not null").distinct())
+    least = F.min(F.struct(F.levenshtein("_name", "_entry").alias("d"), F.col("_entry").alias("n"))).alias("_best")
+    found = []
+    for n, limit in DELETION_LIMITS.items():
+        short = lambda c: F.col(c).isNotNull() & (F.char_length(c) <= limit)  # noqa: B023, E731
+        ours = left.filter(short("_name")).select("_name", F.explode(deletions(F.col("_name"), n)).alias("_left"))
+        theirs = entries.filter(F.char_length("_entry") <= limit + n).select(
+            "_entry", F.explode(deletions(F.col("_entry"), n)).alias("_left")
+        )
+        near = ours.join(theirs, "_left").filter(F.levenshtein("_name", "_entry") <= n)
+        hits = cut_lineage(near.groupBy("_name").agg(least))
+        found.append(hits)
+        left = cut_lineage(left.join(hits.select(F.col("_name").alias("_hit")), F.col("_name") == F.col("_hit"), "left_anti"))
+    blocks = max(1, ceil(entries.count() / block))
+    part = F.pmod(F.xxhash64("_entry"), F.lit(blocks))
+    packed = entries.groupBy(part.alias("_block")).agg(F.collect_list("_entry").alias("_entries"))
+    far = left.withColumn("_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))).join(packed, "_block")
+    closest = F.array_min(
+        F.transform("_entries", lambda r: F.struct(F.levenshtein(F.col("_name"), r).alias("d"), r.alias("n")))
+    )
+    best = far.select("_name", closest.alias("_b")).groupBy("_name").agg(F.min("_b").alias("_best"))
+    for hits in found:
+        best = best.unionByName(hits)
     return (
-        names.join(best, name)
+        names.join(best, F.col(name) == F.col("_name"))
         .withColumn("best_name", F.col("_best.n"))
         .withColumn("best_distance", F.col("_best.d"))
-        .drop("_best")
+        .drop("_best", "_name")
     )
 
 
-def bounded_values(df: DataFrame, col: str, limit: int) -> list:
-    """Distinct values of a domain that must stay small; refuses larger ones."""
-    rows = df.select(col).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col}: more than {limit} distinct values")
-    return sorted(r[0] for r in rows if r[0] is not None)
-
-
 def fuzzy_assign(
     names: DataFrame,
     roster: DataFrame,
@@ -655,12 +713,10 @@ def next_event_after(
     return hit.withColumn(out, F.col("_n._t")).drop("_n")
 
 
-def dense_pairs(vocab: DataFrame, label: str, max_vocab: int = 5_000) -> DataFrame:
-    """All ordered label pairs of a vocabulary of checked size."""
-    values = bounded_values(vocab, label, max_vocab)
-    arr = F.array(*[F.lit(v) for v in values])
-    base = vocab.select(F.col(label).alias("cur")).distinct()
-    return base.withColumn("nxt", F.explode(arr))
+def dense_pairs(vocab: DataFrame, label: str) -> DataFrame:
+    """All ordered label pairs of a vocabulary, the result being their number squared."""
+    base = vocab.select(F.col(label).alias("cur")).filter("cur is not null").distinct()
+    return base.crossJoin(base.select(F.col("cur").alias("nxt")))
 
 
 def roster_fallback(

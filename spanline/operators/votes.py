@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanline.ordered import Layout, scan
 from spanline.ordered import Next, RunSum
+from spanline.session import cut_lineage
 
 
 def duration_mode(
@@ -77,14 +78,32 @@ def side_vote(
     ).withColumn("team_one_left", F.col("left_one") > F.col("left_two"))
 
 
+def order_statistic(df: DataFrame, value: str, k: int, bits: int = 12) -> int | None:
+    """The ``k``-th smallest (from 0) of a column of whole numbers.
+
+    A histogram of ``2 ** bits`` equal ranges finds the range that holds it, the next one
+    narrows that range, until it is one number; only such counts reach the driver.
+    """
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    while low is not None and low < high:
+        shift = max(0, (high - low).bit_length() - bits)
+        inside = df.filter(F.col(value).between(low, high))
+        ranges = inside.groupBy(F.shiftright(F.col(value) - F.lit(low), shift).alias("r")).count()
+        for r in sorted(ranges.collect()):
+            if k < r["count"]:
+                low += r["r"] << shift
+                high = min(high, low + (1 << shift) - 1)
+                break
+            k -= r["count"]
+    return low
+
+
 def play_time(iv: DataFrame, status: str = "status") -> DataFrame:
     """Summed duration per status, the upper median of the sums, and median / sum."""
-    per = iv.groupBy(status).agg(F.sum(F.col("e") - F.col("b")).alias("dur"))
-    # one row per status of a vocabulary: the array of sums is small by nature
-    med = per.agg(F.sort_array(F.collect_list("dur")).alias("_a")).select(
-        F.element_at("_a", (F.floor(F.size("_a") / 2) + 1).cast("int")).alias("median")
-    )
-    return per.crossJoin(F.broadcast(med)).withColumn("ratio", F.col("median") / F.col("dur"))
+    per = cut_lineage(iv.groupBy(status).agg(F.sum(F.col("e") - F.col("b")).alias("dur")))
+    n = per.agg(F.count("dur")).first()[0]
+    median = order_statistic(per.filter("dur is not null"), "dur", n // 2)
+    return per.withColumn("median", F.lit(median).cast("bigint")).withColumn("ratio", F.col("median") / F.col("dur"))
 
 
 def share_of_total(

@@ -35,13 +35,8 @@ qualify row_number() over (partition by grp order by b desc, e desc) > 1""",
 )
 def stream_rle(spark, sf):
     """Closed intervals; the last one of every user is still open."""
-    out, state = scratch_path(spark, "rle"), scratch_path(spark, "rle-state")
-    df = _events(spark, sf).withColumn("t", micros("ts"))
-    q = ops.stream_rle(
-        df, ["grp"], "t", "label", ["event_id"], out, state, scratch_path(spark, "rle-checkpoint")
-    )
-    q.awaitTermination()
-    return spark.read.parquet(out).select("grp", "b", "e", "status")
+    df = ops.stream_intervals(_events(spark, sf), ["grp"], "ts", "label", "0 seconds", ["event_id"])
+    return _run(spark, df, "rle").select("grp", "b", "e", "status")
 
 
 @query(

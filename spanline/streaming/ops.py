@@ -15,6 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanline.operators.intervals import coalesce_intervals, run_length_encode
 from spanline.session import cut_lineage
+from spanline.streaming.intervals import IntervalProcessor
+from spanline.timeunits import micros
+
+KEY_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 EVENT_SCHEMA = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -93,6 +99,56 @@ def stream_match(
     return a.join(b, on).drop(*[b[k] for k in keys])
 
 
+def stream_intervals(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    label: str,
+    watermark: str,
+    order: Sequence[str] = (),
+    idle: int | None = None,
+) -> DataFrame:
+    """Run-length encoding of a stream, ``(keys, b, e, status, n)``, in Spark's keyed state.
+
+    Samples may arrive in any order within the watermark: they wait in the state of their
+    key until it has passed them, and are then encoded in order of time, so the batches of
+    a stream do not show in its result.  An interval is given when a later one begins.
+    With ``idle`` (microseconds) a longer silence ends it, too: by a timer where no sample
+    follows, after which the key holds no state.  Later samples are dropped and counted
+    (:func:`dropped_rows`); samples without a time or with a null key part count as the
+    batch operator counts them: no time, no sample; null is a key.  Times up to 1970 are late
+    from the start, as Spark's first watermark stands there.
+
+    The state of a key is its open interval and the samples that the watermark has not
+    passed; one task of a batch holds those of one key.  Needs the RocksDB state store:
+    it is set for the session unless one is named already.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(STATE_PROVIDER, None) in (None, "") or "HDFSBacked" in spark.conf.get(STATE_PROVIDER):
+        spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    keys, order = list(keys), list(order)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    # watermarks are whole milliseconds: a sample is passed once its own millisecond is over
+    # a null among grouping columns mixes keys up in the Python operator: keys travel as one text
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false", **KEY_FORMAT})
+    samples = (
+        df.filter(F.col(ts).isNotNull())
+        .select(key.alias("sample_key"), micros(ts).alias("sample_t"), F.col(label).alias("sample_label"), *order)
+        .withColumn("sample_at", F.timestamp_millis(F.ceil(F.col("sample_t") / 1000)))
+        .withWatermark("sample_at", watermark)
+    )
+    held = ", ".join(["sample_t bigint", f"sample_label {types[label]}", *[f"{c} {types[c]}" for c in order]])
+    interval = f"b bigint, e bigint, status {types[label]}, n bigint"
+    done = samples.groupBy("sample_key").transformWithStateInPandas(
+        statefulProcessor=IntervalProcessor("sample_key", held, interval, idle),
+        outputStructType=f"sample_key string, {interval}",
+        outputMode="append",
+        timeMode="EventTime",
+    )
+    parts = F.from_json("sample_key", ", ".join(f"{c} {types[c]}" for c in keys), KEY_FORMAT)
+    return done.withColumn("sample_key", parts).select("sample_key.*", "b", "e", "status", "n")
+
+
 def stream_rle(
     df: DataFrame,
     keys: Sequence[str],
@@ -105,7 +161,7 @@ def stream_rle(
 ) -> StreamingQuery:
     """Run-length encoding across micro-batches, for samples that arrive in time order.
 
-    Each batch is encoded with the batch operator, so a timeline that dominates a
+    For backfills: :func:`stream_intervals` is the form with keyed state.  Each batch is encoded with the batch operator, so a timeline that dominates a
     batch is split like any other; it is joined to the interval left open by the
     batch before, closed intervals go to ``out/batch=<id>``, the open one of every
     key to ``state/batch=<id>``.  Both folders are written per batch id, so a batch

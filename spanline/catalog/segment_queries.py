@@ -425,6 +425,52 @@ def effects(spark, sf):
     )
 
 
+OWN_RULES = [
+    ("purchase", "enemy", "view", 0),
+    ("purchase", "own", "click", 2 * HOUR),
+    ("error", "friendly", "click", HOUR),
+]
+
+
+@query(
+    "w34_effects_own",
+    f"""with {IV}, s as (select grp // 4 as round, case when grp % 2 = 0 then 'left' else 'right' end as side,
+   grp as slot, b, e, status from iv),
+p as (select *, lag(e) over (partition by slot order by b, e) as pe from s),
+rules as (select * from (values ('purchase','enemy','view',0), ('purchase','own','click',7200000000),
+   ('error','friendly','click',3600000000)) r(effect, relation, cause, lead_us)),
+wide as (select round, side, slot, status, b, e + 3600000000 as e from s),
+caused as (select * from p where status not in ('purchase','error') or exists (
+  select 1 from rules r join wide c on c.round = p.round
+    and case r.relation when 'own' then c.side = p.side and c.slot = p.slot
+        when 'friendly' then c.side = p.side else c.side <> p.side end
+    and c.status = r.cause and p.b - r.lead_us between c.b and c.e
+  where r.effect = p.status))
+select round, side, slot, coalesce(pe + 1000000, b) as b,
+  case when status = 'error' and e - b > 14400000000 then b + 14300000000 else e end + 1000000 as e, status
+from caused x where status <> 'view' and (status not in ('click','error') or exists (
+  select 1 from wide c where c.round = x.round and c.slot = x.slot and c.status in ('view','purchase')
+    and x.b - case x.status when 'click' then 0 else 1800000000 end between c.b and c.e))""",
+)
+def effects_own(spark, sf):
+    """Effects of victims who lived, a cause among their own states included."""
+    s = iv(spark, sf).select(
+        F.floor(F.col("grp") / 4).alias("round"),
+        F.when(F.col("grp") % 2 == 0, "left").otherwise("right").alias("side"),
+        F.col("grp").alias("slot"),
+        "b", "e", "status",
+    )
+    rules = small_table(
+        spark, OWN_RULES, "effect string, relation string, cause string, lead_us bigint"
+    )
+    lived = small_table(spark, [("click", 0), ("error", HOUR // 2)], "effect string, lead_us bigint")
+    wide = s.withColumn("e", F.col("e") + HOUR)
+    return dv.effects(
+        s, wide, rules, ["round"], {"error": (4 * HOUR, 4 * HOUR - 100_000_000)}, 1_000_000,
+        "view", None, wide.filter(F.col("status").isin("view", "purchase")), lived,
+    )
+
+
 @query(
     "src12_day_grid_of_rounds",
     f"""with {FRAMES}, s as (select grp, min(t) as b, max(t) as e from frames group by 1),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanline.operators.folds import timeline_fold
 from spanline.operators.intervals import filter_min_duration, snap_begin
-from spanline.operators.joins import not_within, require_cause, state_at
+from spanline.operators.joins import not_within, require_alive, require_cause, state_at
 from spanline.ordered import Layout, MaxBefore, Next, Prev, RunSum, scan
 
 ORDER = ["b", "e"]
@@ -274,9 +274,13 @@ def effects(
     tick: int,
     normal: str = "normal",
     layout: Layout | None = None,
+    alive: DataFrame | None = None,
+    alive_rules: DataFrame | None = None,
 ) -> DataFrame:
     """Effects with a present cause: begins snapped to the end before, too long ones cut to
-    the given length, ends exclusive.  ``caps``: ``effect -> (longest, length instead)``."""
+    the given length, ends exclusive.  ``caps``: ``effect -> (longest, length instead)``.
+    With ``alive (keys, side, slot, b, e)`` and ``alive_rules (effect, lead_us)`` the victim of
+    such an effect must have lived ``lead_us`` before it began."""
     slot_keys = [*keys, "side", "slot"]
     seen = snap_begin(
         iv.withColumn("_cause_b", F.col("b")), slot_keys, None, tick, layout
@@ -289,6 +293,8 @@ def effects(
     # causes are judged at the begin as observed, before snapping
     judged = seen.withColumn("_snapped", F.col("b")).withColumn("b", F.col("_cause_b"))
     kept = require_cause(judged, hero_iv, rules, keys, layout=layout)
+    if alive is not None and alive_rules is not None:
+        kept = require_alive(kept, alive, alive_rules, slot_keys, layout=layout)
     return kept.select(
         *slot_keys, F.col("_snapped").alias("b"), (F.col("e") + tick).alias("e"), "status"
     )

@@ -424,37 +424,71 @@ def require_cause(
     effect: str = "status",
     lead_us: str = "lead_us",
     layout: Layout | None = None,
+    slot: str = "slot",
 ) -> DataFrame:
     """Effects whose cause was present when they began; effects without a rule stay.
 
-    ``rules``: ``(effect, relation, cause, lead_us)`` with relation ``enemy`` or
-    ``friendly``; any one cause of an effect is enough.  ``lead_us`` looks that
-    much before the begin.
+    ``rules``: ``(effect, relation, cause, lead_us)`` with relation ``enemy``,
+    ``friendly`` or ``own``; any one cause of an effect is enough.  ``lead_us`` looks that
+    much before the begin.  ``own`` looks at the victim's ``slot`` alone, in ``iv`` rows of
+    the same slot; where ``iv`` has no slots it never holds.
     """
     other = F.when(F.col(side) == "left", "right").otherwise("left")
     rows = effects.withColumn("_eid", F.struct(*effects.columns))
+    own = slot in effects.columns and slot in iv.columns
+    whose = F.concat(F.lit("s"), F.col(slot).cast("string")) if own else F.lit("")
     wanted = rows.join(
         rules.select(
             F.col("effect").alias(effect), "relation", "cause", F.col(lead_us).alias("_lead")
         ),
         effect,
-    ).select(
+    )
+    if not own:
+        wanted = wanted.filter("relation <> 'own'")
+    wanted = wanted.select(
         *keys,
         F.when(F.col("relation") == "enemy", other).otherwise(F.col(side)).alias("_side"),
+        F.when(F.col("relation") == "own", whose).otherwise("").alias("_slot"),
         F.col("cause").alias("_cause"),
         (F.col("b") - F.col("_lead")).alias("_t"),
         "_eid",
     )
-    present = iv.select(
-        *keys, F.col(side).alias("_side"), F.col("status").alias("_cause"), "b", "e"
-    )
-    caused = in_any_range(wanted, present, [*keys, "_side", "_cause"], "_t", layout)
+    who = [F.col(side).alias("_side"), F.lit("").alias("_slot")]
+    present = iv.select(*keys, *who, F.col("status").alias("_cause"), "b", "e")
+    if own:
+        causes = rules.filter("relation = 'own'").select(F.col("cause").alias("_cause")).distinct()
+        mine = iv.select(
+            *keys, F.col(side).alias("_side"), whose.alias("_slot"), F.col("status").alias("_cause"), "b", "e"
+        )
+        present = present.unionByName(mine.join(causes, "_cause", "left_semi"))
+    caused = in_any_range(wanted, present, [*keys, "_side", "_slot", "_cause"], "_t", layout)
     named = rules.select(F.col("effect").alias(effect)).distinct()
     free = effects.join(named, effect, "left_anti").select(*effects.columns)
     ruled = caused.select("_eid").distinct().select("_eid.*")
     return ruled.unionByName(free)
 
 
+def require_alive(
+    effects: DataFrame,
+    alive: DataFrame,
+    rules: DataFrame,
+    keys: Sequence[str],
+    effect: str = "status",
+    layout: Layout | None = None,
+) -> DataFrame:
+    """Effects whose victim lived when they began, or shortly before; others than those of a rule stay.
+
+    ``alive (keys, b, e)`` holds living stretches, ``keys`` name a victim, ``rules`` is
+    ``(effect, lead_us)``; of several rules of an effect any one is enough.
+    """
+    named = rules.select(F.col("effect").alias(effect), F.col("lead_us").alias("_lead"))
+    asked = effects.withColumn("_eid", F.struct(*effects.columns)).join(named, effect)
+    asked = asked.select(*keys, (F.col("b") - F.col("_lead")).alias("_t"), "_eid")
+    lived = in_any_range(asked, alive.select(*keys, "b", "e"), keys, "_t", layout)
+    free = effects.join(named.select(effect).distinct(), effect, "left_anti").select(*effects.columns)
+    return lived.select("_eid").distinct().select("_eid.*").unionByName(free)
+
+
 def _reach_of(name: str):
     return lambda row: F.when(row["name"] == name, row["e"])
 

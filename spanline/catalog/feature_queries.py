@@ -236,6 +236,35 @@ def interval_udtf(spark, sf):
     )
 
 
+@query(
+    "ud03_union_clip",
+    f"""with {FRAMES},
+x as (select grp, t - 21600000000 as b, t + k::bigint * 600000000 as e from frames),
+m as (select *, max(e) over (partition by grp order by b, e
+        rows between unbounded preceding and 1 preceding) as reach from x),
+g as (select *, sum(case when b <= reach then 0 else 1 end) over (partition by grp order by b, e
+        rows unbounded preceding) as i from m),
+u as (select grp, min(b) as b, max(e) as e from g group by grp, i)
+select grp, greatest(b, 1704412800000000) as b, least(e, 1706140800000000) as e from u
+where greatest(b, 1704412800000000) <= least(e, 1706140800000000)""",
+)
+def union_clip(spark, sf):
+    """What is covered between 5 and 25 January, by a table function over a sorted table."""
+    from spanline.functions.table_functions import register
+
+    register(spark)
+    f = frames(spark, sf).select(
+        F.col("grp").cast("bigint").alias("span_key"),
+        (F.col("t") - 6 * HOUR).alias("b"),
+        (F.col("t") + F.col("k").cast("bigint") * 600_000_000).alias("e"),
+    )
+    f.createOrReplaceTempView("spans_to_unite")
+    return spark.sql(
+        "select span_key as grp, b, e from union_clip(table(spans_to_unite) "
+        "partition by span_key order by (b, e), 1704412800000000L, 1706140800000000L)"
+    )
+
+
 @query(
     "ud04_weighted_mode",
     f"""with {IV}, p as (select grp, status, sum(e - b) as d, min(b) as seen from iv group by 1, 2)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from spanline.catalog.event_queries import abilities, observations
 from spanline.catalog.registry import query
 from spanline.catalog.stand_ins import (
+    FRAMES,
     IV,
     events_layout,
     frames,
     iv,
+    min_duration_sql,
     sessions,
     table,
 )
@@ -101,6 +103,93 @@ def round_documents(spark, sf):
     )
 
 
+def _encoded_sql(label: str, out: str) -> str:
+    """Intervals of ``label`` (a SQL expression over ``rf``) per round, in CTE ``out`` as (grp, b, e, status)."""
+    return f"""
+{out}_l as (select grp, t, event_id, {label} as label from rf),
+{out}_c as (select *, case when lag(label) over (partition by grp order by t, event_id)
+   is distinct from label then 1 else 0 end as f from {out}_l),
+{out}_i as (select *, sum(f) over (partition by grp order by t, event_id rows unbounded preceding) as i from {out}_c),
+{out} as (select grp, min(t) as b, max(t) as e, any_value(label) as status from {out}_i group by grp, i)"""
+
+
+POINT_STATUS = """case when k % 10 = 0 then 'Escort_2' else
+  case (t // 86400000000) % 6 when 0 then 'Control_left' when 1 then 'Control_neither'
+  when 2 then 'Control_right' when 3 then 'Assault_2' when 4 then 'Escort_3' else 'Assault_1' end end"""
+OVERTIME = "case when label = 'error' or (t // 86400000000) % 3 = 0 then 'overtime' else 'none' end"
+
+
+@query(
+    "round_properties",
+    f"""with {FRAMES}, rf as (select grp // 2 as grp, t, event_id, k, label from frames),
+{_encoded_sql(POINT_STATUS, 'ps')},{min_duration_sql('ps', 'points', '7200000000')},
+{_encoded_sql(OVERTIME, 'ot')},{min_duration_sql('ot', 'over', '7200000000')},
+totals as (select grp, b, split_part(status, '_', 2)::bigint - 1
+     + case when status like 'Assault%' then 2 else 3 end
+       * (case when grp % 3 = 0 then 0 else (grp % 5) // 2 end) as total
+   from points where status not like 'Control%' and split_part(status, '_', 2)::bigint > 1),
+gains as (select *, max(total) over (partition by grp order by b, total
+   rows between unbounded preceding and 1 preceding) as top from totals),
+rows_of as (select grp, b, 'flip' as kind, case when status = 'Control_left' then 'L' else 'R' end as detail
+   from points where status in ('Control_left', 'Control_right')
+ union all select grp, b, 'gain', total::varchar from gains where top is null or total > top
+ union all select grp, b, 'overtime', (e + 1000000)::varchar from over where status = 'overtime')
+select grp as round, b as t, kind, detail from rows_of""",
+)
+def round_properties(spark, sf):
+    """Flips, gains above all before them, and overtimes of every round."""
+    f = frames(spark, sf).withColumn("round", F.floor(F.col("grp") / 2))
+    day = F.floor(F.col("t") / (24 * HOUR))
+    point = F.when(F.col("k") % 10 == 0, "Escort_2")
+    names = ["Control_left", "Control_neither", "Control_right", "Assault_2", "Escort_3"]
+    for n, name in enumerate(names):
+        point = point.when(day % 6 == n, name)
+    over = F.when((F.col("label") == "error") | (day % 3 == 0), "overtime").otherwise("none")
+    per = F.array(
+        F.struct(F.lit("point_status").alias("attr"), point.otherwise("Assault_1").alias("label")),
+        F.struct(F.lit("overtime").alias("attr"), over.alias("label")),
+    )
+    labels = f.select("round", "t", "event_id", F.explode(per).alias("p")).select(
+        "round", "t", "event_id", "p.attr", "p.label"
+    )
+    numbers = (
+        f.select("round").distinct().filter("round % 3 <> 0")
+        .withColumn("round_number", F.col("round") % 5 + 1)
+    )
+    return annotate.round_properties(labels, numbers, 2 * HOUR, 1_000_000, ("event_id",)).select(
+        "round", "t", "kind", "detail"
+    )
+
+
+EFFECT_LABELS = {"click": "asleep", "error": "hacked", "purchase": "stunned"}
+
+
+@query("round_states")
+def round_states(spark, sf):
+    """The events of all rounds with status effects, flips, gains and overtimes among them."""
+    status = F.lit("normal")
+    for label, effect in EFFECT_LABELS.items():
+        status = F.when(F.col("label") == label, effect).otherwise(status)
+    heroes = player_labels(spark, sf)
+    states = heroes.filter(F.col("attr") == "hero").withColumn("attr", F.lit("status"))
+    labels = heroes.unionByName(states.withColumn("label", status))
+    causes = small_table(
+        spark,
+        [("asleep", "enemy", "view", 0), ("hacked", "enemy", "click", 0), ("stunned", "own", "purchase", 0)],
+        "effect string, relation string, cause string, lead_us bigint",
+    )
+    living = small_table(spark, [("asleep", HOUR)], "effect string, lead_us bigint")
+    effects = annotate.player_effects(
+        labels, causes, {"hacked": (4 * HOUR, 3 * HOUR)}, living,
+        annotate.PlayerRules().scaled(7200), ("event_id",), "normal", events_layout(spark, sf),
+    )
+    properties = round_properties(spark, sf).select(
+        "round", "t", "kind", F.lit(None).cast("string").alias("side"),
+        F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("string").alias("who"), "detail",
+    )
+    return _annotated(spark, sf).unionByName(effects).unionByName(properties)
+
+
 @query(
     "samples_from_truth",
     f"""with {IV}, seqs as (select grp, min(t) as b, max(t) as e from frames group by 1),

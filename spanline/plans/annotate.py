@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -178,6 +178,98 @@ def annotate_rounds(
     return out
 
 
+def player_effects(
+    labels: DataFrame,
+    causes: DataFrame,
+    caps: Mapping[str, tuple[int, int]],
+    alive_rules: DataFrame,
+    rules: PlayerRules | None = None,
+    order: Sequence[str] = (),
+    normal: str = "normal",
+    layout: Layout | None = None,
+) -> DataFrame:
+    """Status effects of all players, shaped like the events of :func:`annotate_rounds`.
+
+    ``labels`` hold the attributes hero, alive and status per slot.  An effect needs a cause
+    among the heroes of its round (``causes``: effect, relation, cause, lead_us) and, where
+    ``alive_rules (effect, lead_us)`` name it, a living victim; ``who`` is the effect,
+    ``detail`` its exclusive end.
+    """
+    rules = rules or PlayerRules()
+    slots = ["round", "side", "slot"]
+    layout = layout or Layout.inspect(labels, ["round"])
+    lines = clean_timelines(labels, rules, order, layout)
+    seen = labels.filter(F.col("attr") == "status")
+    seen = run_length_encode(seen, slots, "t", "label", order, layout).drop("n")
+    alive = lines["alive"].filter(F.col("status") == "alive")
+    found = derive.effects(
+        seen, lines["hero"], causes, ["round"], caps, rules.tick, normal, layout, alive, alive_rules
+    )
+    return found.select(
+        "round", F.col("b").alias("t"), F.lit("effect").alias("kind"), "side",
+        F.col("slot").cast("bigint").alias("slot"), F.col("status").alias("who"),
+        F.col("e").cast("string").alias("detail"),
+    )
+
+
+# fixed values: points that a round of a mode can give, others give three
+POINTS = {"Assault": 2}
+
+
+def round_properties(
+    labels: DataFrame,
+    numbers: DataFrame,
+    least: int = 2 * SECOND,
+    tick: int = SECOND // 10,
+    order: Sequence[str] = (),
+    layout: Layout | None = None,
+) -> DataFrame:
+    """Flips, gains and overtimes of all rounds, shaped like :func:`annotate_rounds`' events.
+
+    ``labels (round, t, attr, label)`` hold the attributes overtime and point_status, the
+    latter as ``Control_<side>`` or ``<mode>_<point>``; stretches under ``least`` are noise.
+    A gain is a total above all before it in its round; it takes in the points of the rounds
+    before of the same side, by the ``round_number`` in ``numbers`` (1 where none is known).
+    ``detail`` of a flip is the side, of a gain the total, of an overtime its exclusive end.
+    """
+    keys = ["round"]
+    layout = layout or Layout.inspect(labels, keys)
+
+    def seen(attr: str) -> DataFrame:
+        own = labels.filter(F.col("attr") == attr)
+        return run_length_encode(own, keys, "t", "label", order, layout).drop("n")
+
+    def shape(df: DataFrame, kind: str, detail) -> DataFrame:
+        none = F.lit(None)
+        return df.select(
+            "round", "t", F.lit(kind).alias("kind"), none.cast("string").alias("side"),
+            none.cast("bigint").alias("slot"), none.cast("string").alias("who"),
+            detail.cast("string").alias("detail"),
+        )
+
+    points = cut_lineage(filter_min_duration(seen("point_status"), keys, least, layout=layout))
+    flips = derive.control_flips(points, keys)
+    mode, point = (F.regexp_extract("status", r"^([^_]+)_([0-9]+)$", n) for n in (1, 2))
+    each = F.lit(3)
+    for name, n in POINTS.items():
+        each = F.when(mode == name, n).otherwise(each)
+    before = each * F.floor((F.coalesce("round_number", F.lit(1)) - 1) / 2)
+    totals = (
+        points.filter(~F.col("status").startswith("Control") & (point != ""))
+        .withColumn("_gained", point.cast("bigint") - 1)
+        .filter(F.col("_gained") > 0)
+        .join(numbers.select("round", "round_number"), "round", "left")
+        .select("round", F.col("b").alias("t"), (F.col("_gained") + before).alias("total"))
+    )
+    gains = derive.rising_only(totals, keys, ["t", "total"], "total", layout)
+    overtimes = derive.overtime_spans(seen("overtime"), keys, "overtime", least, tick, layout)
+    return (
+        shape(flips, "flip", F.col("side"))
+        .unionByName(shape(gains, "gain", F.col("total")))
+        .unionByName(shape(overtimes.withColumnRenamed("b", "t"), "overtime", F.col("e")))
+    )
+
+
 def _same_event(feed: DataFrame, taken: DataFrame):
     return (
         (feed["round"] == taken["round"])

@@ -257,8 +257,8 @@ def number_rows(spark, sf):
 
 
 # Two timelines of one group: even events tell "alive" (errors are deaths), all tell "hero".
-ALIVE = """alive0 as (select grp, t, event_id, case when label in ('error', 'signup') then 'dead'
-   else 'alive' end as label from frames where event_id % 2 = 0),
+ALIVE = """alive0 as (select grp, t, event_id, case when k < 40 then 'dead'
+   else 'alive' end as label from frames),
 alive_c as (select *, case when lag(label) over w is distinct from label then 1 else 0 end as f
    from alive0 window w as (partition by grp order by t, event_id)),
 alive_g as (select *, sum(f) over (partition by grp order by t, event_id rows unbounded preceding) as g
@@ -269,9 +269,9 @@ alive as (select grp, min(t) as b, max(t) as e, any_value(label) as status from
 def alive_iv(spark, sf):
     from spanline.operators.intervals import run_length_encode
 
-    f = frames(spark, sf).filter(F.col("event_id") % 2 == 0).select(
+    f = frames(spark, sf).select(
         "grp", "t", "event_id",
-        F.when(F.col("label").isin("error", "signup"), "dead").otherwise("alive").alias("label"),
+        F.when(F.col("k") < 40, "dead").otherwise("alive").alias("label"),
     )
     return run_length_encode(
         f, GRP, "t", "label", ["event_id"], events_layout(spark, sf)

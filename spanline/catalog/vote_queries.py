@@ -47,7 +47,7 @@ def majority_vote(spark, sf):
     "ag03_roster_vote",
     """with f as (select l_suppkey as grp, p_brand as name, l_orderkey, l_linenumber
    from lineitem join part on l_partkey = p_partkey),
-roster as (select p_brand as name from part where p_partkey < 4),
+roster as (select p_brand as name from part group by 1 having max(p_size) >= 50),
 c as (select grp, name, count(*) as votes, min((l_orderkey, l_linenumber)) as seen,
    bool_or(name in (select name from roster)) as in_roster from f group by 1, 2)
 select grp, name, votes, in_roster from c qualify row_number() over (partition by grp
@@ -55,11 +55,14 @@ select grp, name, votes, in_roster from c qualify row_number() over (partition b
 )
 def roster_vote(spark, sf):
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
-    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
     obs = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("grp"), F.col("p_brand").alias("name"), "l_orderkey", "l_linenumber"
     )
-    roster = part.filter(F.col("p_partkey") < 4).select(F.col("p_brand").alias("name"))
+    roster = (
+        part.groupBy(F.col("p_brand").alias("name"))
+        .agg(F.max("p_size").alias("largest")).filter("largest >= 50").select("name")
+    )
     return ops.roster_vote(obs, GRP, "name", roster, ["l_orderkey", "l_linenumber"])
 
 
@@ -193,6 +196,23 @@ def sequence_weights(spark, sf):
     )
 
 
+@query(
+    "ag11_weigh_sequences",
+    f"""with {SEQS}, c as (select array_to_string(seq, ',') as seq, count(*) as n from seqs group by 1),
+w as (select seq, 1 - n / (max(n) over ()) as weight, n from c),
+known as (select seq, weight from w where n > 1)
+select array_to_string(s.seq, ',') as seq, round(coalesce(k.weight, 1), 6) as weight
+from seqs s left join known k on k.seq = array_to_string(s.seq, ',')""",
+)
+def weigh_sequences(spark, sf):
+    """Every sequence with its weight; those seen once are unknown to the table of weights."""
+    each = seqs(spark, sf)
+    weights = ops.sequence_weights(each, "seq").filter("n > 1")
+    return ops.weigh_sequences(each, weights, "seq").select(
+        F.array_join("seq", ",").alias("seq"), F.round("weight", 6).alias("weight")
+    )
+
+
 PREDS = """preds as (select d.doc_id, d.lang as attr, quality as truth, 1 - toxic as predicted,
    n_chars::bigint * 100000 as t from documents d join labels using (doc_id))"""
 

@@ -17,6 +17,7 @@ from spanline.catalog.stand_ins import (
 from spanline.session import scratch_path
 from spanline.sources import readers as rd
 from spanline.sources import sinks as sk
+from spanline.sources.publish import FolderService, publish_documents
 from spanline.timeunits import micros
 
 
@@ -323,6 +324,48 @@ def route_with_pauses(spark, sf):
     return out
 
 
+@query(
+    "snk05_publish",
+    """select o_orderkey, o_orderstatus as status, o_totalprice as price from orders""",
+)
+def publish_and_read(spark, sf):
+    """Every order published as a document by id, and the released run read back."""
+    service = FolderService(scratch_path(spark, "published"))
+    docs = sk.to_documents(
+        table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"]
+    )
+    publish_documents(docs, service, "orders", "o_orderkey")
+    back = F.from_json("doc", "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE")
+    return service.read(spark, "orders").select(back.alias("d")).select(
+        "d.o_orderkey", F.col("d.o_orderstatus").alias("status"), F.col("d.o_totalprice").alias("price")
+    )
+
+
+@query(
+    "snk06_route_typed",
+    """select case event_type when 'error' then 'pauses' when 'click' then 'click' when 'view' then 'view'
+  else 'other' end as source, event_id, case when event_type <> 'view' then user_id end as user_id,
+  case when event_type <> 'click' then value end as value from events""",
+)
+def route_typed(spark, sf):
+    """One pass into typed tables, every row of each read back."""
+    path = scratch_path(spark, "one-pass")
+    kind = F.col("event_type")
+    log = table(spark, sf, "events").select(
+        F.when(kind == "error", "PAUSE_START").otherwise(kind).alias("type"), "event_id", "user_id", "value"
+    )
+    columns = {"click": ["event_id", "user_id"], "view": ["event_id", "value"]}
+    sk.route_typed(log, "type", path, columns)
+    rest = ["event_id", "user_id", "value"]
+    parts = [("click", "click", columns["click"]), ("view", "view", columns["view"]),
+             ("other", sk.OTHER, rest), ("pauses", sk.PAUSES, rest)]
+    out = None
+    for name, route, cols in parts:
+        one = sk.read_typed(spark, path, route, cols).withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 @query("snk07_purge_ids", "select doc_id, lang as mode from documents where doc_id not in (select doc_id from labels where quality = 0)")
 def purge_ids(spark, sf):
     path, target = scratch_path(spark, "before"), scratch_path(spark, "after")

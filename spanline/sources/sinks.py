@@ -98,6 +98,41 @@ def route_events(
     df.filter(F.col(type_col).contains(pause_mark)).write.mode("overwrite").parquet(pause_path)
 
 
+PAUSES = "_pauses"
+
+
+def route_typed(
+    df: DataFrame,
+    type_col: str,
+    path: str,
+    columns: Mapping[str, Sequence[str]],
+    pause_mark: str = "PAUSE",
+) -> None:
+    """:func:`route_events` in one pass over the log, read back with :func:`read_typed`.
+
+    One write under ``route=...`` folders.  A type with columns named stores nulls in its other
+    columns, which cost Parquet nothing; pauses and the rest keep every column.  A type whose
+    name holds the pause mark is a pause, whether it has columns named or not.
+    """
+    kind = F.col(type_col)
+    named = {k: cols for k, cols in columns.items() if pause_mark not in k}
+    route = F.when(kind.contains(pause_mark), PAUSES).when(kind.isin(*named), kind).otherwise(OTHER)
+    typed = df.withColumn("route", route)
+    for c in df.columns:
+        lacking = [k for k, cols in named.items() if c not in cols]
+        if lacking:
+            typed = typed.withColumn(c, F.when(~F.col("route").isin(*lacking), F.col(c)))
+    _spread(typed, "route").write.mode("overwrite").partitionBy("route").parquet(path)
+
+
+def read_typed(
+    spark: SparkSession, path: str, route: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """One table of :func:`route_typed`: a type, ``OTHER`` or ``PAUSES``; only its folder is read."""
+    df = spark.read.parquet(path).filter(F.col("route") == route).drop("route")
+    return df if columns is None else df.select(*columns)
+
+
 def route_by_type(df: DataFrame, type_col: str, path: str) -> None:
     """One log under ``type=...`` directories in a single pass."""
     _spread(df, type_col).write.mode("overwrite").partitionBy(type_col).parquet(path)

@@ -13,6 +13,7 @@ MODULES = (
     "feature_queries",
     "stream_queries",
     "plan_queries",
+    "refine_queries",
 )
 
 

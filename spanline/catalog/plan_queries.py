@@ -44,7 +44,7 @@ def recording_labels(spark, sf):
     )
 
 
-def _rounds(spark, sf):
+def rounds_and_parts(spark, sf):
     return rounds.rounds_of_recordings(
         recording_labels(spark, sf), "grp", rounds.RoundRules().scaled(240), ("event_id",),
         events_layout(spark, sf),
@@ -53,12 +53,12 @@ def _rounds(spark, sf):
 
 @query("rounds_of_recordings")
 def rounds_of_recordings(spark, sf):
-    return _rounds(spark, sf)[0]
+    return rounds_and_parts(spark, sf)[0]
 
 
 @query("match_documents")
 def match_documents(spark, sf):
-    docs = rounds.match_documents(_rounds(spark, sf)[0], "grp")
+    docs = rounds.match_documents(rounds_and_parts(spark, sf)[0], "grp")
     return docs.select("grp", "game_number", "part", F.to_json("rounds").alias("rounds"))
 
 

@@ -273,11 +273,12 @@ def refine_boundary(
     step: int,
     t: str = "t",
     layout: Layout | None = None,
+    tail: int = 0,
 ) -> DataFrame:
     """Replace coarse bounds by the earliest / latest matching fine sample near them.
 
     The begin looks one ``step`` back, the end one ``step`` to both sides; ``fine``
-    holds the samples with the wanted label.
+    holds the samples with the wanted label.  A found end is ``tail`` behind its sample.
     """
     f = fine.select(*keys, F.col(t).alias("_t"))
     df = coarse.withColumns({"_from": F.col("b") - step, "_to": F.col("e") + step})
@@ -287,7 +288,7 @@ def refine_boundary(
     return df.withColumns(
         {
             "b": F.when(first <= F.col("b"), first).otherwise(F.col("b")),
-            "e": F.when(last >= F.col("e") - step, last).otherwise(F.col("e")),
+            "e": F.when(last >= F.col("e") - step, last + tail).otherwise(F.col("e")),
         }
     ).drop("_from", "_to", "_a", "_z")
 

@@ -324,20 +324,15 @@ def route_with_pauses(spark, sf):
     return out
 
 
-@query(
-    "snk05_publish",
-    """select o_orderkey, o_orderstatus as status, o_totalprice as price from orders""",
-)
+@query("snk05_publish", "select doc_id, lang, md5(text) as text_md5 from documents")
 def publish_and_read(spark, sf):
-    """Every order published as a document by id, and the released run read back."""
+    """Every document published by id with its whole text, and the released run read back."""
     service = FolderService(scratch_path(spark, "published"))
-    docs = sk.to_documents(
-        table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"]
-    )
-    publish_documents(docs, service, "orders", "o_orderkey")
-    back = F.from_json("doc", "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE")
-    return service.read(spark, "orders").select(back.alias("d")).select(
-        "d.o_orderkey", F.col("d.o_orderstatus").alias("status"), F.col("d.o_totalprice").alias("price")
+    docs = sk.to_documents(table(spark, sf, "documents").select("doc_id", "lang", "text"), ["doc_id"])
+    publish_documents(docs, service, "documents", "doc_id")
+    back = F.from_json("doc", "doc_id BIGINT, lang STRING, text STRING").alias("d")
+    return service.read(spark, "documents").select(back).select(
+        "d.doc_id", "d.lang", F.md5("d.text").alias("text_md5")
     )
 
 

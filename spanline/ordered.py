@@ -14,6 +14,10 @@ them to :func:`scan`.  There are two plans for the same result:
   checkpoint before they are used twice, so a lost executor cannot change them; scans
   that follow each other share the pieces.  All other timelines take the first plan.
 
+Tables of many rows a core are dealt to tasks of about ``TASK_ROWS`` rows in the first
+plan: the sorts of a chain all live in one task, and Spark alone would deal a large table to
+as many tasks as there are cores.
+
 Nothing is dropped, capped or sampled in either plan.
 """
 
@@ -25,18 +29,32 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from spanline.session import cut_lineage, max_group_rows
 
 MAX_HOT_KEYS = 100_000
+#: Rows a task should hold; fixed here, so that memory per task does not grow with the table.
+TASK_ROWS = 100_000
 _PIECE = "_piece"
 _FIRST = "_piece_first"
 _LAST = "_piece_last"
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks of about ``TASK_ROWS`` rows, or 0 where the cores have fewer each."""
+    if rows <= TASK_ROWS * spark.sparkContext.defaultParallelism:
+        return 0
+    return math.ceil(rows / TASK_ROWS)
+
+
+def deal(df: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """Deal rows by key; Spark leaves out a second dealing by the same keys and number."""
+    return df.repartition(tasks, *keys) if tasks and keys else df
+
+
 @dataclass(frozen=True)
 class Layout:
     """How big the timelines of a table are; decides the plan of a scan."""
@@ -45,6 +63,7 @@ class Layout:
     pieces: int = 1
     keys: tuple[str, ...] = ()
     hot: DataFrame | None = None  # keys of the timelines over the limit
+    tasks: int = 0  # tasks to deal a large table to; 0 leaves it to Spark
 
     @staticmethod
     def inspect(df: DataFrame, keys: Sequence[str]) -> "Layout":
@@ -64,16 +83,19 @@ class Layout:
         spark = sizes.sparkSession
         limit = max_group_rows(spark)
         over = F.when(F.col("n") > limit, F.col("n"))
-        row = sizes.agg(F.count(over).alias("groups"), F.sum(over).alias("rows")).first()
+        row = sizes.agg(
+            F.count(over).alias("groups"), F.sum(over).alias("rows"), F.sum("n").alias("all")
+        ).first()
+        tasks = tasks_for(spark, row["all"] or 0)
         if not row["groups"]:
-            return Layout(False)
+            return Layout(False, tasks=tasks)
         # pieces of the hot rows alone, a few for each core at most
         pieces = min(math.ceil(2 * row["rows"] / limit), 8 * spark.sparkContext.defaultParallelism)
         keys = tuple(c for c in sizes.columns if c != "n")
         # beyond that many, all timelines go through pieces
         named = keys and row["groups"] <= MAX_HOT_KEYS
         hot = cut_lineage(sizes.filter(F.col("n") > limit).select(*keys)) if named else None
-        return Layout(True, max(2, pieces), keys, hot)
+        return Layout(True, max(2, pieces), keys, hot, tasks)
 
 
 class Step:
@@ -277,7 +299,7 @@ def scan(
     keys, order = list(keys), list(order)
     layout = layout or Layout.inspect(df, keys)
     if not layout.split:
-        return _scan_plain(df, keys, order, steps)
+        return _scan_plain(deal(df, keys, layout.tasks), keys, order, steps)
     if _PIECE in df.columns:
         hot = df.filter(F.col(_PIECE).isNotNull())
         rest = df.filter(F.col(_PIECE).isNull())
@@ -288,7 +310,7 @@ def scan(
         rest = df.join(marks, on, "left_anti").withColumn(_PIECE, F.lit(None).cast("int"))
     else:  # counted on other keys
         return _scan_split(df, keys, order, steps, layout, more)
-    done = _scan_plain(rest, keys, order, steps)
+    done = _scan_plain(deal(rest, keys, layout.tasks), keys, order, steps)
     return _scan_split(hot, keys, order, steps, layout, more).unionByName(
         done if more else done.drop(_PIECE)
     )

@@ -554,7 +554,7 @@ def exclude_transition_zone(spark, sf):
 )
 def exclude_boundary(spark, sf):
     points = frames(spark, sf).select("grp", "t", "event_id", "label")
-    return ops.exclude_boundary(points, iv(spark, sf), GRP)
+    return ops.exclude_boundary(points, iv(spark, sf), GRP, layout=events_layout(spark, sf))
 
 
 @query(

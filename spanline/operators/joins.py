@@ -15,7 +15,17 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanline.ordered import Layout, Next, RunSum, nearest_rows, scan
+from spanline.ordered import (
+    LastValue,
+    Layout,
+    Next,
+    NextValue,
+    Prev,
+    RunSum,
+    Step,
+    nearest_rows,
+    scan,
+)
 from spanline.session import cut_lineage
 
 
@@ -134,25 +144,51 @@ def label_grid(
 ) -> DataFrame:
     """One label per grid point and attribute; an empty timeline gives the defaults.
 
-    ``iv`` has an ``attr`` column.  Points are laid out once per attribute, looked
-    up in one pass and pivoted over the named attributes.
+    ``iv`` has an ``attr`` column.  A label is that of the first interval ending after the
+    point, past the end that of the last (:func:`asof_forward`).  Points and the intervals of
+    all attributes meet in one pass per direction; a point repeated counts once.
     """
-    long = grid.select(*keys, t).withColumn(
-        "attr", F.explode(F.array(*[F.lit(a) for a in attrs]))
-    )
-    looked = asof_forward(long, iv, [*keys, "attr"], t, "_label", layout)
-    wide = looked.groupBy(*keys, t).pivot("attr", list(attrs)).agg(F.first("_label"))
-    for a in attrs:
-        wide = wide.withColumn(a, F.coalesce(a, F.lit((defaults or {}).get(a, "n/a"))))
-    return wide
+    keys = list(keys)
+    points = grid.select(
+        *keys, F.col(t).alias("_at"), F.lit(1).alias("_tag"),
+        F.lit(None).cast(iv.schema["b"].dataType).alias("_tie"),
+    )
+    ends = iv.filter(F.col("attr").isin(*attrs)).select(
+        *keys, F.col("e").alias("_at"), F.lit(0).alias("_tag"), F.col("b").alias("_tie"),
+        F.col("attr").alias("_attr"), F.struct(F.col("status").alias("s")).alias("_row"),
+    )
+    steps: dict[str, Step] = {"_before": Prev(F.struct("_tag", "_at"))}
+    for i, a in enumerate(attrs):
+        own = F.when(F.col("_attr") == a, F.col("_row"))
+        steps |= {f"_prev{i}": LastValue(own), f"_next{i}": NextValue(own)}
+    rows = points.unionByName(ends, allowMissingColumns=True)
+    done = scan(rows, keys, ["_at", "_tag", "_tie"], steps, layout)
+    # points of one time follow each other
+    first = ~F.col("_before").eqNullSafe(F.struct("_tag", "_at"))
+    labels = [
+        F.coalesce(
+            F.coalesce(f"_next{i}", f"_prev{i}")["s"], F.lit((defaults or {}).get(a, "n/a"))
+        ).alias(a)
+        for i, a in enumerate(attrs)
+    ]
+    return done.filter((F.col("_tag") == 1) & first).select(*keys, F.col("_at").alias(t), *labels)
 
 
 def exclude_boundary(
-    points: DataFrame, iv: DataFrame, keys: Sequence[str], t: str = "t"
+    points: DataFrame,
+    iv: DataFrame,
+    keys: Sequence[str],
+    t: str = "t",
+    layout: Layout | None = None,
 ) -> DataFrame:
-    """Drop samples exactly on an interval begin."""
-    begins = iv.select(*keys, F.col("b").alias(t)).distinct()
-    return points.join(begins, [*keys, t], "left_anti")
+    """Drop samples exactly on an interval begin; those without a key or a time stay."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    begins = iv.select(*keys, "b").filter(known & F.col("b").isNotNull())
+    hit = nearest_rows(points, begins, keys, t, "b", before="_begin", layout=layout)
+    on = F.coalesce(F.col("_begin.b") == F.col(t), F.lit(False))
+    return hit.filter(~on).select(*points.columns)
 
 
 def exclude_transition_zone(

@@ -11,7 +11,7 @@ from spanline.operators.features import adaptive_sample, split_train_val
 from spanline.operators.intervals import uniform_grid
 from spanline.operators.joins import exclude_boundary, label_grid
 from spanline.operators.tables import mask_unknown
-from spanline.ordered import Layout
+from spanline.ordered import Layout, deal
 
 
 def samples_from_truth(
@@ -37,12 +37,14 @@ def samples_from_truth(
     keys = [key]
     per = F.floor((F.col("e") - F.col("b")) / step_us) + 1
     layout = Layout.of_sizes(
-        sequences.groupBy(*keys).agg((F.sum(per) * len(attrs)).alias("n"))
+        sequences.groupBy(*keys).agg(F.sum(per).alias("n"))
     )
+    # dealt before the grid is laid out: its points, far more than sequences, stay in place
+    sequences, truth = (deal(df, keys, layout.tasks) for df in (sequences, truth))
     grid = uniform_grid(sequences, keys, step_us, trim_us)
     if dense is not None:
         grid = adaptive_sample(grid, dense, keys, every, layout)
-    grid = exclude_boundary(grid, truth, keys)
+    grid = exclude_boundary(grid, truth, keys, layout=layout)
     labelled = label_grid(grid, truth, keys, attrs, defaults=defaults, layout=layout)
     if entity is not None:
         labelled = mask_unknown(labelled, entity, [a for a in attrs if a != entity])

@@ -49,3 +49,29 @@ def test_chain_is_dealt_once(spark, few_rows):
     hit = joins.state_at(iv, iv.select("k", "b", "e", "status"), ["k"], "b", out="s", layout=layout)
     # one exchange of each encoding, none of their union
     assert plan(hit).count("Exchange hashpartitioning") <= 2
+
+
+def test_grid_stays_in_place(spark, few_rows):
+    day = 24 * 3_600_000_000
+    seqs = spark.createDataFrame([(1, 0, day), (2, 0, 2 * day), (None, 0, day)], "g long, b long, e long")
+    truth = spark.createDataFrame(
+        [(1, "x", 0, day // 2, "u"), (1, "x", day // 2 + 1, day, "v"), (1, "y", 3_700_000_000, day, "w"),
+         (None, "y", 3_700_000_000, day, "n")],
+        "g long, attr string, b long, e long, status string",
+    )
+    out = samples.samples_from_truth(seqs, truth, "g", ["x", "y"], 3_600_000_000, trim_us=100_000_000).drop("split")
+    assert "Join" not in plan(out)  # the grid was joined to begins, then pivoted
+    rows = {(r.g, r.t): (r.x, r.y) for r in out.collect()}
+    assert rows[1, 100_000_000] == ("u", "w")
+    assert rows[1, 100_000_000 + 20 * 3_600_000_000] == ("v", "w")
+    assert (1, 3_700_000_000) not in rows and rows[None, 3_700_000_000] == ("n/a", "n")
+    assert rows[2, 100_000_000] == ("n/a", "n/a")
+
+
+def test_repeated_points_count_once(spark):
+    grid = spark.createDataFrame([(1, 5), (1, 5), (1, None), (1, None), (1, 9)], "g int, t long")
+    iv = spark.createDataFrame([(1, "x", 0, 5, "u"), (1, "x", 5, 8, "v")], "g int, attr string, b long, e long, status string")
+    got = joins.label_grid(grid, iv, ["g"], ["x"]).collect()
+    assert sorted(map(str, got)) == sorted(
+        ["Row(g=1, t=5, x='v')", "Row(g=1, t=None, x='u')", "Row(g=1, t=9, x='v')"]
+    )

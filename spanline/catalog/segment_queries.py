@@ -19,7 +19,7 @@ from spanline.catalog.stand_ins import (
 )
 from spanline.operators import derive as dv
 from spanline.operators import segment as sg
-from spanline.session import small_table
+from spanline.session import cut_lineage, small_table
 from spanline.timeunits import DAY, HOUR, micros
 
 
@@ -379,7 +379,8 @@ select grp, r.g as gained, r.u as used, r.d as ended from f""",
 def lifecycle_suppressed(spark, sf):
     """Lifecycles with repeats of the special hero's charge dropped or merged."""
     lay = events_layout(spark, sf)
-    alive = alive_iv(spark, sf)
+    # looked up five times: stored, so that no task encodes it for each anew
+    alive = cut_lineage(alive_iv(spark, sf))
     base = dv.lifecycle(
         iv(spark, sf), GRP, ("view", "click", "purchase"), alive, None,
         max_gap=3 * HOUR, tick=1_000_000, same_hero_after=HOUR // 2, long_after=HOUR, layout=lay,

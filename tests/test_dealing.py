@@ -75,3 +75,10 @@ def test_repeated_points_count_once(spark):
     assert sorted(map(str, got)) == sorted(
         ["Row(g=1, t=5, x='v')", "Row(g=1, t=None, x='u')", "Row(g=1, t=9, x='v')"]
     )
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
+def test_suppressed_lifecycles_store_their_states(spark):
+    load()
+    out = QUERIES["w30_lifecycle_suppressed"](spark, SF)
+    assert plan(out).count("Window [") <= 20

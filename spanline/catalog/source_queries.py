@@ -14,6 +14,7 @@ from spanline.catalog.stand_ins import (
     sessions,
     table,
 )
+from spanline.ordered import deal, tasks_for
 from spanline.session import scratch_path
 from spanline.sources import readers as rd
 from spanline.sources import sinks as sk
@@ -182,8 +183,11 @@ def _stats_docs(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity", "l_tax"
     )
-    # one exchange on the document key serves all four levels
-    li = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey").agg(
+    # one exchange on the document key serves all four levels; tasks of a bounded number of
+    # lines group them without spilling
+    tasks = tasks_for(spark, lines.count())
+    dealt = deal(lines, ["l_orderkey"], tasks) if tasks else lines.repartition("l_orderkey")
+    li = dealt.groupBy("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey").agg(
         F.sum("l_quantity").alias("qty"), F.max("l_tax").alias("tax")
     )
     stats = F.create_map(F.lit("qty"), F.col("qty"), F.lit("tax"), F.col("tax"))
@@ -219,7 +223,7 @@ select match, game, team, player, hero, stat, round(value, 4) as value from r"""
 )
 def flatten_stats(spark, sf):
     path = scratch_path(spark, "stats")
-    sk.write_docs(_stats_docs(spark, sf), path)
+    sk.write_docs(_stats_docs(spark, sf), path, "gzip")
     docs = spark.read.schema(rd.STATS_SCHEMA).json(path)
     return rd.flatten_stats(docs).withColumn("value", F.round("value", 4))
 

@@ -47,9 +47,9 @@ def to_documents(df: DataFrame, keys: Sequence[str], out: str = "doc") -> DataFr
     return df.select(*keys, F.to_json(F.struct(*keys, *rest)).alias(out))
 
 
-def write_docs(df: DataFrame, path: str) -> None:
-    """One JSON object per line, nested columns kept."""
-    df.write.mode("overwrite").json(path)
+def write_docs(df: DataFrame, path: str, compression: str = "none") -> None:
+    """One JSON object per line, nested columns kept; a compressed file is read by one task."""
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def publish(

@@ -82,3 +82,12 @@ def test_suppressed_lifecycles_store_their_states(spark):
     load()
     out = QUERIES["w30_lifecycle_suppressed"](spark, SF)
     assert plan(out).count("Window [") <= 20
+
+
+def test_docs_compressed(spark, tmp_path):
+    docs = spark.range(2000).select("id", F.array(F.struct(F.lit("name").alias("n"))).alias("g"))
+    path = str(tmp_path / "docs")
+    sinks.write_docs(docs, path, "gzip")
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert spark.read.json(path).count() == 2000

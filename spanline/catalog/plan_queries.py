@@ -80,14 +80,14 @@ def player_labels(spark, sf):
     ).select("round", "side", "slot", "t", "event_id", "p.attr", "p.label")
 
 
-def _annotated(spark, sf):
+def _annotated(spark, sf, lines=None):
     npcs = small_table(spark, [("turret", "click")], "npc string, hero string")
     labels = player_labels(spark, sf)
     ends = labels.groupBy("round").agg(F.max("t").alias("end"))
     return annotate.annotate_rounds(
         labels, observations(spark, sf), abilities(spark), npcs, ["turret"],
         annotate.PlayerRules().scaled(7200), ("event_id",), "error", events_layout(spark, sf),
-        ends, (["signup"], ["primary", "melee"]),
+        ends, (["signup"], ["primary", "melee"]), lines,
     )
 
 
@@ -179,15 +179,16 @@ def round_states(spark, sf):
         "effect string, relation string, cause string, lead_us bigint",
     )
     living = small_table(spark, [("asleep", HOUR)], "effect string, lead_us bigint")
+    rules, order, lay = annotate.PlayerRules().scaled(7200), ("event_id",), events_layout(spark, sf)
+    lines = annotate.clean_timelines(labels, rules, order, lay)
     effects = annotate.player_effects(
-        labels, causes, {"hacked": (4 * HOUR, 3 * HOUR)}, living,
-        annotate.PlayerRules().scaled(7200), ("event_id",), "normal", events_layout(spark, sf),
+        labels, causes, {"hacked": (4 * HOUR, 3 * HOUR)}, living, rules, order, "normal", lay, lines
     )
     properties = round_properties(spark, sf).select(
         "round", "t", "kind", F.lit(None).cast("string").alias("side"),
         F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("string").alias("who"), "detail",
     )
-    return _annotated(spark, sf).unionByName(effects).unionByName(properties)
+    return _annotated(spark, sf, lines).unionByName(effects).unionByName(properties)
 
 
 @query(

@@ -53,7 +53,7 @@ class PlayerRules:
 def clean_timelines(
     labels: DataFrame, rules: PlayerRules, order: Sequence[str], layout: Layout
 ) -> dict[str, DataFrame]:
-    """Cleaned intervals of the hero, alive and charge attributes per player slot."""
+    """Intervals of the hero and alive attributes, cleaned, and of charge and status per player slot."""
     keys = ["round", "side", "slot"]
 
     # One pass over the samples encodes every attribute; the intervals are far fewer
@@ -70,6 +70,7 @@ def clean_timelines(
         "hero": cut_lineage(anchor_smooth(raw("hero"), keys, rules.hero, layout=layout)),
         "alive": cut_lineage(filter_min_duration(raw("alive"), keys, alive, layout=layout)),
         "charge": raw("charge"),
+        "status": raw("status"),
     }
 
 
@@ -85,6 +86,7 @@ def annotate_rounds(
     layout: Layout | None = None,
     ends: DataFrame | None = None,
     denied: tuple[Sequence[str], Sequence[str]] = ((), ()),
+    lines: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """All events of all rounds as ``(round, t, kind, side, slot, who, detail)``.
 
@@ -93,12 +95,13 @@ def annotate_rounds(
     and attributed to the deaths.  Entries whose victim is no player, or a charge of
     ``denied[0]`` ended by an ability of ``denied[1]``, become spans of their own.  One
     victim has one event at one time: kills go before NPC spans, those before
-    resurrections.  ``ends (round, end)`` bounds deaths and weighs short entries.
+    resurrections.  ``ends (round, end)`` bounds deaths and weighs short entries.  ``lines``
+    are the :func:`clean_timelines` of ``labels``, where the caller has them.
     """
     rules = rules or PlayerRules()
     slots = ["round", "side", "slot"]
     layout = layout or Layout.inspect(labels, ["round"])
-    lines = clean_timelines(labels, rules, order, layout)
+    lines = lines or clean_timelines(labels, rules, order, layout)
     hero, alive, charge = lines["hero"], lines["alive"], lines["charge"]
     dead = alive.filter(F.col("status") == "dead").select(*slots, "b", "e")
 
@@ -187,20 +190,20 @@ def player_effects(
     order: Sequence[str] = (),
     normal: str = "normal",
     layout: Layout | None = None,
+    lines: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Status effects of all players, shaped like the events of :func:`annotate_rounds`.
 
     ``labels`` hold the attributes hero, alive and status per slot.  An effect needs a cause
     among the heroes of its round (``causes``: effect, relation, cause, lead_us) and, where
     ``alive_rules (effect, lead_us)`` name it, a living victim; ``who`` is the effect,
-    ``detail`` its exclusive end.
+    ``detail`` its exclusive end.  ``lines`` are the :func:`clean_timelines` of ``labels``.
     """
     rules = rules or PlayerRules()
     slots = ["round", "side", "slot"]
     layout = layout or Layout.inspect(labels, ["round"])
-    lines = clean_timelines(labels, rules, order, layout)
-    seen = labels.filter(F.col("attr") == "status")
-    seen = run_length_encode(seen, slots, "t", "label", order, layout).drop("n")
+    lines = lines or clean_timelines(labels, rules, order, layout)
+    seen = lines["status"]
     alive = lines["alive"].filter(F.col("status") == "alive")
     found = derive.effects(
         seen, lines["hero"], causes, ["round"], caps, rules.tick, normal, layout, alive, alive_rules

@@ -84,6 +84,14 @@ def test_suppressed_lifecycles_store_their_states(spark):
     assert plan(out).count("Window [") <= 20
 
 
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
+def test_rounds_are_encoded_once(spark, monkeypatch):
+    calls, own = [], annotate.clean_timelines
+    monkeypatch.setattr(annotate, "clean_timelines", lambda *a: calls.append(1) or own(*a))
+    plan_queries.round_states(spark, SF)
+    assert len(calls) == 1
+
+
 def test_docs_compressed(spark, tmp_path):
     docs = spark.range(2000).select("id", F.array(F.struct(F.lit("name").alias("n"))).alias("g"))
     path = str(tmp_path / "docs")
